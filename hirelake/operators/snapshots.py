@@ -127,17 +127,14 @@ def pack_histograms(histograms: DataFrame, max_names: int = 100_000) -> DataFram
 
 def unpack_histograms(snapshots: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Long form of map-typed snapshot columns, given as {column: dimension}."""
-    entries = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,bigint>"))),
-                    lambda e, d=d: F.struct(F.lit(d).alias("dimension"), e["key"].alias("name"), e["value"].alias("count")),
-                )
-                for c, d in columns.items()
-            ]
+    def labelled(column: str, dimension: str) -> Column:
+        pairs = F.map_entries(F.coalesce(F.col(column), F.create_map().cast("map<string,bigint>")))
+        return F.transform(
+            pairs,
+            lambda e: F.struct(F.lit(dimension).alias("dimension"), e["key"].alias("name"), e["value"].alias("count")),
         )
-    )
+
+    entries = F.concat(*[labelled(c, d) for c, d in columns.items()])
     return snapshots.select("company_id", "snapshot_date", F.inline(entries))
 
 

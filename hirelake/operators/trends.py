@@ -103,11 +103,13 @@ def latest_snapshot(companies: DataFrame, snapshots: DataFrame) -> DataFrame:
     return companies.join(last_per_key(snapshots, ["company_id"], [F.col("snapshot_date")]), "company_id", "left")
 
 
-def company_history(snapshots: DataFrame, company_id, as_of_day, days: int = 31) -> DataFrame:
+def company_history(snapshots: DataFrame, as_of_day, days: int = 31, company_id=None) -> DataFrame:
+    """Snapshot rows of the trailing days, newest first; of one company if given."""
     since = F.date_sub(day_literal(as_of_day), days)
-    return snapshots.filter((F.col("company_id") == company_id) & (F.col("snapshot_date") >= since)).orderBy(
-        F.desc("snapshot_date")
-    )
+    rows = snapshots.filter(F.col("snapshot_date") >= since)
+    if company_id is not None:
+        rows = rows.filter(F.col("company_id") == company_id)
+    return rows.orderBy(F.desc("snapshot_date"), "company_id")
 
 
 def _lagged_value(name: str, lag: int) -> Column:

@@ -1 +1,12 @@
+"""Registered queries over the given tables."""
 
+from hirelake.plans import company_queries, job_queries  # noqa: F401  (they register their queries)
+from hirelake.plans.registry import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLES)

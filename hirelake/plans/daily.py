@@ -57,9 +57,9 @@ def enrich_run(
     """
     jobs = queue_ops.expire_jobs(jobs, as_of)
     queue = queue_ops.expire_queue(queue, jobs, as_of)
-    batch = queue_ops.claim(queue, jobs, as_of, budget, **options)
+    batch = queue_ops.run_batch(queue, jobs, as_of, budget, **options)
     claimed = queue_ops.mark_claimed(queue, batch, as_of)
-    working = claimed.join(batch.select("queue_id"), "queue_id", "left_semi")
+    working = batch.withColumn("attempts", batch["attempts"] + 1)
     valid, rejected = enrich.validate_records(extracted.filter("data IS NOT NULL"))
     results = (
         valid.selectExpr(
@@ -78,7 +78,7 @@ def enrich_run(
             )
         )
     )
-    decided = queue_ops.attach_results(queue_ops.decide(working, jobs, as_of), results)
+    decided = queue_ops.attach_results(working, results)
     completed = decided.filter("outcome = 'completed'").select("queue_id", "job_id", "content_hash", "schema_version")
     facts = jobs.select(
         "job_id", "provider", "location", "employment_type", "workplace_type", "raw_payload", "description_text"

@@ -36,7 +36,7 @@ def lifecycle_writer(spark: SparkSession, root: str, sources: str, cut=None) ->
         spark_ = postings.sparkSession
         state = versioned("jobs", batch_id, JOB_SCHEMA)
         queue = versioned("queue", batch_id, QUEUE_SCHEMA)
-        known = read_rows(spark_, f"{sources}/batch={batch_id - 1}" if batch_id else sources)
+        known = read_rows(spark_, f"{root}/sources/batch={batch_id - 1}" if batch_id else sources)
         crawls = postings.groupBy("source_id").agg(
             F.max("crawl_run_id").alias("crawl_run_id"),
             F.max("started_at").alias("started_at"),
