@@ -9,7 +9,7 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from hirelake.functions.scalar import collapse
 
@@ -34,13 +34,13 @@ def _slug(name: str) -> str:
     return slug or "company-" + hashlib.sha256(name.encode()).hexdigest()[:10]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """Identity key of a company name: NFKC, case-folded, whitespace collapsed."""
     return _per_distinct(names, _key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_slug(names: pd.Series) -> pd.Series:
     """URL slug of a company name."""
     return _per_distinct(names, _slug)
@@ -98,7 +98,7 @@ def _page_text(markup: str) -> str:
     return "\n".join(page.runs)
 
 
-@F.pandas_udf("decoded string, text string")
+@F.pandas_udf(T.StructType().add("decoded", "string").add("text", "string"))
 def decode_html(content: pd.Series) -> pd.DataFrame:
     """Entity-decoded HTML and its visible text, one line per text run."""
     # Empty content has neither markup nor text.

@@ -1,6 +1,7 @@
 """Registered queries over the given tables."""
 
-from hirelake.plans import company_queries, job_queries  # noqa: F401  (they register their queries)
+# Importing a module registers its queries.
+from hirelake.plans import company_queries, inventory_queries, job_queries  # noqa: F401
 from hirelake.plans.registry import ORACLES, QUERIES
 
 

@@ -114,7 +114,7 @@ queued AS (SELECT *, CASE WHEN reason IS NULL AND is_created AND baseline THEN '
     _CRAWL_SQL
     + """SELECT source_id, external_job_id, job_id, is_created, is_changed, is_reactivated, is_removed,
   CASE WHEN reason IS NULL THEN 'eligible' ELSE 'not_eligible' END AS eligibility, reason AS eligibility_reason, queue_reason,
-  CAST(CASE queue_reason WHEN 'bootstrap' THEN 3 WHEN 'new_job' THEN 1 WHEN 'changed_job' THEN 2 END AS BIGINT) AS queue_priority
+  CAST(CASE queue_reason WHEN 'bootstrap' THEN 3 WHEN 'new_job' THEN 1 WHEN 'changed_job' THEN 2 END AS DOUBLE) AS queue_priority
 FROM queued""",
 )
 def j18(spark, sf):
@@ -122,7 +122,7 @@ def j18(spark, sf):
     return plain(
         rows.select(
             "source_id", "external_job_id", "job_id", "is_created", "is_changed", "is_reactivated", "is_removed",
-            "eligibility", "eligibility_reason", "queue_reason", "queue_priority",
+            "eligibility", "eligibility_reason", "queue_reason", F.col("queue_priority").cast("double"),
         )
     )
 
@@ -364,7 +364,7 @@ def canonical(spark, sf):
 _CANONICAL_PLAIN = f"""SELECT job_id, external_job_id, source_id, company_id, company_name, original_title,
   strftime(posted_at, '{TS}') AS posted_at, active, freshness_hours, freshness_source, job_age_bucket, standardized_title,
   job_family, seniority, array_to_string(required_skills, '|') AS required_skills, city, state, country, salary_min, salary_max,
-  CAST(years_experience_min AS BIGINT) AS years_experience_min, CAST(skill_count AS BIGINT) AS skill_count, workplace_type,
+  CAST(years_experience_min AS DOUBLE) AS years_experience_min, CAST(skill_count AS BIGINT) AS skill_count, workplace_type,
   employment_type, classification_confidence, version_count, strftime(last_changed_at, '{TS}') AS last_changed_at,
   title_changed, location_changed, salary_changed, days_active FROM canonical"""
 _CANONICAL_COLUMNS = (
@@ -378,7 +378,8 @@ _CANONICAL_COLUMNS = (
 
 @query("p21_canonical_jobs", _CANONICAL_SQL + _CANONICAL_PLAIN)
 def p21(spark, sf):
-    return plain(canonical(spark, sf).select(*_CANONICAL_COLUMNS))
+    years = F.col("years_experience_min").cast("double")
+    return plain(canonical(spark, sf).select(*_CANONICAL_COLUMNS).withColumn("years_experience_min", years))
 
 
 @query(
