@@ -111,6 +111,11 @@ def lookup(key: Column, table: dict[str, str], default: Column | None = None) ->
     return out.otherwise(default if default is not None else F.lit(None).cast("string"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also when ``use`` has lambdas over it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strings(c: Column) -> Column:
     """NULL-safe list of strings."""
     return F.coalesce(c, F.array().cast("array<string>"))

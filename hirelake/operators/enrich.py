@@ -19,6 +19,7 @@ from hirelake.functions.scalar import (
     employment_type,
     fold,
     instant,
+    let,
     nonnegative_int,
     place_label,
     salary_period,
@@ -112,36 +113,50 @@ V2_KEYS = (
 # --- merging lists inside one record ----------------------------------------
 
 
+def _first_of_key(rows: Column) -> Column:
+    """First element of every run of equal keys in a sorted list."""
+    return let(rows, lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["key"] != x["key"])))
+
+
 def _merge_entries(entries: Column, key, name, levels: tuple[str, ...]) -> Column:
     """One entry per key in first-seen order, the strongest requirement winning.
 
-    Between equally strong entries the earlier one is kept.
+    Between equally strong entries the earlier one is kept.  Two sorts by key
+    give each key's first position and its strongest entry, so a long list
+    costs n log n.
     """
 
-    def rank(requirement: Column) -> Column:
+    def weakness(requirement: Column) -> Column:
         out = None
-        for i, level in enumerate(levels):
+        for i, level in enumerate(reversed(levels)):
             out = F.when(requirement == level, i) if out is None else out.when(requirement == level, i)
-        return out.otherwise(-1)
+        return out.otherwise(len(levels))
 
     keyed = F.transform(
         F.coalesce(entries, F.from_json(F.lit("[]"), f"array<{ENTRY}>")),
         lambda e, i: F.struct(
             key(e["name"]).alias("key"),
-            F.struct(
-                rank(e["requirement"]).alias("rank"),
-                (-i).alias("order"),
-                name(e["name"]).alias("name"),
-                e["requirement"].alias("requirement"),
-            ).alias("entry"),
+            weakness(e["requirement"]).alias("weakness"),
+            i.alias("pos"),
+            name(e["name"]).alias("name"),
+            e["requirement"].alias("requirement"),
         ),
     )
 
-    def strongest(k: Column) -> Column:
-        return F.array_max(F.transform(F.filter(keyed, lambda x: x["key"] == k), lambda x: x["entry"]))
+    def merged(rows: Column) -> Column:
+        positions = F.transform(rows, lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos")))
+        pairs = F.zip_with(
+            _first_of_key(F.array_sort(positions)),
+            _first_of_key(F.array_sort(rows)),
+            lambda first, best: F.struct(
+                first["pos"].alias("pos"), best["name"].alias("name"), best["requirement"].alias("requirement")
+            ),
+        )
+        return F.transform(
+            F.array_sort(pairs), lambda x: F.struct(x["name"].alias("name"), x["requirement"].alias("requirement"))
+        )
 
-    best = F.transform(F.array_distinct(F.transform(keyed, lambda x: x["key"])), strongest)
-    return F.transform(best, lambda b: F.struct(b["name"].alias("name"), b["requirement"].alias("requirement")))
+    return let(keyed, merged)
 
 
 def skill_name(c: Column) -> Column:
