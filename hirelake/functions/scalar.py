@@ -6,8 +6,10 @@ from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, functions as F
 
-# Whitespace as a Unicode-aware text trim sees it.
-WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Whitespace as a Unicode-aware text trim sees it: the characters, and a pattern
+# whose first test rules out visible ASCII.
+WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WS = r"[[^\x21-\x84]&&[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 
 # Applicant-tracking providers.
 SUPPORTED_PROVIDERS = ("greenhouse", "ashby", "lever")
@@ -87,7 +89,7 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def collapse(c: Column | str) -> Column:

@@ -1,16 +1,18 @@
 """Description compaction: drop company, benefits and legal boilerplate lines.
 
-Each line gets a one-letter tag (section start to drop, section start to keep,
-legal line, other).  Dropped sections are then removed with one possessive
-regular expression over the tagged text, so the cost stays linear in the length
-of the description and nothing leaves the row.
+The whole text is rewritten by a few regular expressions: headings that start a
+section to drop or to keep are marked, every dropped section is removed with
+one possessive match, then single legal lines go.  The cost stays linear in the
+length of the description and nothing leaves the row or the generated code.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from hirelake.functions.scalar import WS, col, strip
+from hirelake.functions.scalar import WS, col, let, strip
 
 # Headings and phrases that decide what a section is.
 BOILERPLATE_HEADINGS = (
@@ -45,17 +47,46 @@ MAX_HEADING_CHARS = 100
 MAX_SENTENCE_HEADING_WORDS = 8
 MIN_COMPACTED_CHARS = 500
 
-_TAG = "\x01"
+# Marks a heading inside the text being rewritten; removed from the input first.
+_DROP, _KEEP = "\x01", "\x02"
+_MARKS = f"[{_DROP}{_KEEP}]"
+# Line-wise, case-insensitive, and only "\n" ends a line.
+_LINES = "(?dimu)"
+_DASHES = r"[:\-–—]"
+# Whitespace and words within one line.
+BLANK = WS.replace(r"\s", r" \t\f\r\x0b")
+_WORD = r"\S"
+
+
+def _any_of(phrases: tuple[str, ...], blank: str = " ") -> str:
+    """Alternation of literal phrases, longest first."""
+    ordered = sorted(phrases, key=len, reverse=True)
+    return "|".join(re.escape(p).replace(r"\ ", blank) for p in ordered)
+
+
+def _heading(names: str) -> str:
+    return rf"^(?=.{{1,{MAX_HEADING_CHARS}}}$)(?:{names}){BLANK}*{_DASHES}*$"
+
+
+_ROLE_ABOUT = _any_of(ROLE_ABOUT_HEADINGS, f"{BLANK}+")
+# "About ..." of any kind but the role: short, not a long sentence, not dashes only.
+_ABOUT = (
+    rf"^(?=.{{1,{MAX_HEADING_CHARS}}}$)(?!(?:{_ROLE_ABOUT}){BLANK}*{_DASHES}*$)"
+    rf"(?!(?:{_WORD}++{BLANK}++){{{MAX_SENTENCE_HEADING_WORDS}}}[^\n]*\.$)about{BLANK}+(?!{_DASHES}+$){_WORD}.*$"
+)
+_BOILERPLATE = _any_of(tuple(h for h in BOILERPLATE_HEADINGS if not h.startswith("about ")), f"{BLANK}+")
+BOILERPLATE_PATTERN = rf"{_LINES}{_heading(_BOILERPLATE)}|{_ABOUT}"
+RELEVANT_PATTERN = rf"{_LINES}{_heading(_any_of(RELEVANT_HEADINGS, f'{BLANK}+'))}"
+LEGAL_PATTERN = "(?iu)" + _any_of(LEGAL_PHRASES)
+CITIZENSHIP_PATTERN = "(?iu)" + _any_of(CITIZENSHIP_PHRASES)
 
 
-def _contains_any(c: Column, phrases: tuple[str, ...]) -> Column:
-    quoted = "|".join(p.replace("(", r"\(").replace(")", r"\)").replace(".", r"\.") for p in phrases)
-    return F.lower(c).rlike(quoted)
+# --- single lines -----------------------------------------------------------
 
 
 def heading_key(c: Column | str) -> Column:
     """Lower-cased heading without trailing colon or dashes."""
-    key = F.regexp_replace(F.lower(strip(c)), r"[:\-–—]+$", "")
+    key = F.regexp_replace(F.lower(strip(c)), rf"{_DASHES}+$", "")
     return strip(F.regexp_replace(key, f"{WS}+", " "))
 
 
@@ -76,36 +107,52 @@ def is_relevant_heading(c: Column | str) -> Column:
 
 
 def is_legal_line(c: Column | str) -> Column:
-    return _contains_any(col(c), LEGAL_PHRASES)
-
-
-def description_lines(c: Column | str) -> Column:
-    """Non-empty lines with normalised newlines and blanks."""
-    text = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\r\n?", "\n")
-    tidy = F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
-    return F.filter(tidy, lambda x: x != "")
+    return col(c).rlike(LEGAL_PATTERN)
 
 
 def line_tag(line: Column) -> Column:
+    """B(oilerplate heading), R(elevant heading), L(egal) or N of a tidy line."""
     return (
-        F.when(is_heading(line) & is_boilerplate_heading(line), "B")
-        .when(is_heading(line) & is_relevant_heading(line), "R")
+        F.when(line.rlike(BOILERPLATE_PATTERN), "B")
+        .when(line.rlike(RELEVANT_PATTERN), "R")
         .when(is_legal_line(line), "L")
         .otherwise("N")
     )
 
 
+# --- whole descriptions -----------------------------------------------------
+
+
+def tidy_lines(c: Column | str) -> Column:
+    """The text with trimmed non-empty lines and single blanks."""
+    text = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\r\n?", "\n")
+    text = F.regexp_replace(text, r"[ \t]+", " ")
+    return strip(F.regexp_replace(text, rf"{BLANK}*+\n{WS}*+", "\n"))
+
+
+def description_lines(c: Column | str) -> Column:
+    return F.filter(F.split(tidy_lines(c), "\n"), lambda x: x != "")
+
+
+def _without_sections(tidy: Column) -> Column:
+    marked = F.regexp_replace(F.regexp_replace(tidy, _MARKS, ""), BOILERPLATE_PATTERN, f"{_DROP}$0")
+    marked = F.regexp_replace(marked, RELEVANT_PATTERN, f"{_KEEP}$0")
+    # A dropped heading and every line up to the next kept heading.
+    kept = F.regexp_replace(marked, rf"(?dm)^{_DROP}[^\n]*+(?:\n(?!{_KEEP})[^\n]*+)*+\n?+", "")
+    kept = F.regexp_replace(kept, rf"{_LINES}^(?!{_KEEP}).*(?:{_any_of(LEGAL_PHRASES)}).*$\n?+", "")
+    return strip(F.replace(kept, F.lit(_KEEP), F.lit("")))
+
+
 def compact_description(c: Column | str) -> Column:
     """The description without boilerplate; the full lines if too little is left."""
-    # The tag character must not occur in the text itself.
-    lines = F.transform(description_lines(c), lambda x: F.replace(x, F.lit(_TAG), F.lit("")))
-    tagged = F.array_join(F.transform(lines, lambda x: F.concat(F.lit(_TAG), line_tag(x), x)), "\n")
-    # Everything from a dropped heading up to the next kept heading, then single legal lines.
-    kept = F.regexp_replace(tagged, rf"{_TAG}B[^\n]*+(?:\n{_TAG}[BLN][^\n]*+)*+\n?+", "")
-    kept = F.regexp_replace(kept, rf"{_TAG}L[^\n]*+\n?+", "")
-    kept = strip(F.regexp_replace(kept, f"{_TAG}[RN]", ""))
-    return F.when(F.length(kept) < MIN_COMPACTED_CHARS, F.array_join(lines, "\n")).otherwise(kept)
+    return let(
+        F.struct(tidy_lines(c).alias("tidy")),
+        lambda t: let(
+            F.struct(t["tidy"].alias("tidy"), _without_sections(t["tidy"]).alias("kept")),
+            lambda r: F.when(F.length(r["kept"]) < MIN_COMPACTED_CHARS, r["tidy"]).otherwise(r["kept"]),
+        ),
+    )
 
 
 def mentions_citizenship(c: Column | str) -> Column:
-    return F.coalesce(_contains_any(col(c), CITIZENSHIP_PHRASES), F.lit(False))
+    return F.coalesce(col(c).rlike(CITIZENSHIP_PATTERN), F.lit(False))

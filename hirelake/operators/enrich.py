@@ -207,13 +207,16 @@ def _location_errors(text: Column) -> Column:
     return F.exists(items, lambda e: ~F.coalesce(F.array_sort(F.map_keys(e)) == keys, F.lit(False)))
 
 
-def record_errors(data: Column, record: Column) -> Column:
-    """Names of the rules an extracted record breaks; empty when it is valid."""
-    present = F.coalesce(F.json_object_keys(data), F.array().cast("array<string>"))
+def record_errors(fields: Column, record: Column) -> Column:
+    """Names of the rules an extracted record breaks; empty when it is valid.
+
+    ``fields`` maps each key of the record to its JSON text.
+    """
+    present = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
     required = F.array(*(F.lit(k) for k in RECORD_FIELDS))
 
     def raw(field: str) -> Column:
-        return F.get_json_object(data, f"$.{field}")
+        return fields[field]
 
     def rule(name: str, broken: Column) -> Column:
         return F.when(F.coalesce(broken, F.lit(False)), F.lit(name))
@@ -250,8 +253,10 @@ def record_errors(data: Column, record: Column) -> Column:
 
 def validate_records(extracted: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
     """(valid rows with a cleaned ``record``, rejected rows with ``errors``)."""
-    staged = extracted.withColumn("record", F.from_json(data, RECORD_SCHEMA))
-    staged = staged.withColumn("errors", record_errors(F.col(data), F.col("record")))
+    staged = extracted.withColumn("record", F.from_json(data, RECORD_SCHEMA)).withColumn(
+        "_fields", F.from_json(data, "map<string,string>")
+    )
+    staged = staged.withColumn("errors", record_errors(F.col("_fields"), F.col("record"))).drop("_fields")
     valid = staged.filter(F.size("errors") == 0).drop("errors").withColumn("record", clean_record(F.col("record")))
     return valid, staged.filter(F.size("errors") > 0).drop("record")
 

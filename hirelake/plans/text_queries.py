@@ -137,7 +137,9 @@ d AS (SELECT *, coalesce(place, 'Anywhere') AS p FROM base)
 
 
 def _found(x: str, pattern: str) -> str:
-    quoted = pattern.replace("'", "''")
+    # Word boundaries spelled out, because RE2's \b only knows ASCII letters.
+    parts = [r"(?:^|[^\p{L}\p{N}_])" + p[2:] if p.startswith(r"\b") else p for p in pattern.split("|")]
+    quoted = "|".join(parts).replace(r"\b", r"(?:$|[^\p{L}\p{N}_])").replace("'", "''")
     return f"coalesce(regexp_matches(lower(trim({x})), '{quoted}'), FALSE)"
 
 
@@ -480,7 +482,7 @@ _FACTS = {
   CASE o_orderstatus WHEN 'O' THEN CAST(120000 AS DOUBLE) ELSE CAST(110000 AS DOUBLE) END AS salary_max,
   CASE o_orderstatus WHEN 'O' THEN 'EUR' ELSE 'usd' END AS salary_currency, CASE o_orderstatus WHEN 'F' THEN 'hour' ELSE 'year' END AS salary_period,
   CASE o_orderstatus WHEN 'O' THEN 'Paris HQ|Lyon' ELSE 'Paris HQ' END AS offices,
-  CASE o_orderstatus WHEN 'O' THEN 'Paris, France' WHEN 'F' THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'Berlin' ELSE 'Austin' END || '|Oslo' ELSE 'Austin|Dallas' END AS cities,
+  CASE o_orderstatus WHEN 'O' THEN 'Paris, France' WHEN 'F' THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'Berlin' ELSE 'Austin' END || '|Oslo|Berlin, USA' ELSE 'Austin|Dallas' END AS cities,
   CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'U.S. citizen' END AS citizenship_requirement {_VALID}""",
 )
 def l21(spark, sf):
