@@ -253,12 +253,18 @@ def record_errors(fields: Column, record: Column) -> Column:
 
 def validate_records(extracted: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
     """(valid rows with a cleaned ``record``, rejected rows with ``errors``)."""
-    staged = extracted.withColumn("record", F.from_json(data, RECORD_SCHEMA)).withColumn(
-        "_fields", F.from_json(data, "map<string,string>")
+    # Bound as one value, so that a filter on the errors does not parse the text once per rule.
+    parsed = F.struct(
+        F.from_json(data, RECORD_SCHEMA).alias("record"), F.from_json(data, "map<string,string>").alias("fields")
     )
-    staged = staged.withColumn("errors", record_errors(F.col("_fields"), F.col("record"))).drop("_fields")
-    valid = staged.filter(F.size("errors") == 0).drop("errors").withColumn("record", clean_record(F.col("record")))
-    return valid, staged.filter(F.size("errors") > 0).drop("record")
+    checked = let(
+        parsed, lambda p: F.struct(p["record"].alias("record"), record_errors(p["fields"], p["record"]).alias("errors"))
+    )
+    staged = extracted.withColumn("_checked", checked)
+    kept = [F.col(c) for c in extracted.columns]
+    valid = staged.filter(F.size("_checked.errors") == 0).select(*kept, F.col("_checked.record").alias("record"))
+    rejected = staged.filter(F.size("_checked.errors") > 0).select(*kept, F.col("_checked.errors").alias("errors"))
+    return valid.withColumn("record", clean_record(F.col("record"))), rejected
 
 
 def _replace(record: Column, **fields: Column) -> Column:

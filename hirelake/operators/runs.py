@@ -163,7 +163,7 @@ def model_counts(decided: DataFrame) -> DataFrame:
 
 def system_health(runs: DataFrame, sources: DataFrame, queue: DataFrame, snapshots: DataFrame) -> DataFrame:
     """One row: last run, active sources, pending queue rows, latest snapshot day."""
-    last = runs.agg(F.max_by(F.struct("status", "finished_at"), "started_at").alias("r")).select(
+    last = runs.agg(F.max_by(F.struct("status", "finished_at"), F.struct("started_at", "run_id")).alias("r")).select(
         F.col("r.status").alias("last_pipeline_status"), F.col("r.finished_at").alias("last_pipeline_finish_time")
     )
     parts = (

@@ -1,7 +1,7 @@
 """Registered queries over the given tables."""
 
 # Importing a module registers its queries.
-from hirelake.plans import company_queries, inventory_queries, job_queries, text_queries  # noqa: F401
+from hirelake.plans import company_queries, inventory_queries, job_queries, search_queries, text_queries  # noqa: F401
 from hirelake.plans.registry import ORACLES, QUERIES
 
 

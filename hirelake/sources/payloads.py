@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hirelake.functions.payload import content_hash, parse_payload, structured_context
+from hirelake.functions.scalar import let
 from hirelake.functions.unicode import decode_html
 
 POSTING_COLUMNS = (
@@ -30,7 +31,7 @@ def read_boards(spark: SparkSession, path: str, provider: str) -> DataFrame:
 def posting_list(provider: Column, body: Column) -> Column:
     """JSON text of the postings array of a response, NULL when it has none."""
     listed = F.when(provider == "lever", body).otherwise(F.get_json_object(body, "$.jobs"))
-    return F.when(F.json_array_length(listed).isNotNull(), listed)
+    return let(listed, lambda x: F.when(F.json_array_length(x).isNotNull(), x))
 
 
 def split_boards(boards: DataFrame) -> tuple[DataFrame, DataFrame]:
