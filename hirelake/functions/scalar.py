@@ -106,11 +106,9 @@ def fold(c: Column | str) -> Column:
 
 
 def lookup(key: Column, table: dict[str, str], default: Column | None = None) -> Column:
-    """A small literal table as one CASE expression."""
-    out = None
-    for k, v in table.items():
-        out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
-    return out.otherwise(default if default is not None else F.lit(None).cast("string"))
+    """A small literal table; the key is computed once."""
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return found if default is None else F.coalesce(found, default)
 
 
 def let(value: Column, use) -> Column:
@@ -263,7 +261,7 @@ def freshness_source(posted_at: Column, posted_at_source: Column) -> Column:
 
 def hours_old(c: Column, as_of: Column) -> Column:
     hours = (F.unix_micros(as_of) - F.unix_micros(c)) / F.lit(3600000000.0)
-    return F.coalesce(F.greatest(F.lit(0.0), hours), F.lit(float("inf")))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), hours)).otherwise(F.lit(float("inf")))
 
 
 def on_day(c: Column, the_day: Column) -> Column:

@@ -20,6 +20,7 @@ from hirelake.functions.scalar import (
     fold,
     instant,
     let,
+    lookup,
     nonnegative_int,
     place_label,
     salary_period,
@@ -118,7 +119,7 @@ def _first_of_key(rows: Column) -> Column:
     return let(rows, lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["key"] != x["key"])))
 
 
-def _merge_entries(entries: Column, key, name, levels: tuple[str, ...]) -> Column:
+def _merge_entries(entries: Column, clean, key, levels: tuple[str, ...]) -> Column:
     """One entry per key in first-seen order, the strongest requirement winning.
 
     Between equally strong entries the earlier one is kept.  Two sorts by key
@@ -126,21 +127,20 @@ def _merge_entries(entries: Column, key, name, levels: tuple[str, ...]) -> Colum
     costs n log n.
     """
 
-    def weakness(requirement: Column) -> Column:
-        out = None
-        for i, level in enumerate(reversed(levels)):
-            out = F.when(requirement == level, i) if out is None else out.when(requirement == level, i)
-        return out.otherwise(len(levels))
+    strength = F.create_map(*[F.lit(x) for i, level in enumerate(levels, 1) for x in (level, i)])
+
+    def entry(name: Column, requirement: Column, pos: Column) -> Column:
+        return F.struct(
+            key(name).alias("key"),
+            (-F.coalesce(F.try_element_at(strength, requirement), F.lit(0))).alias("weakness"),
+            pos.alias("pos"),
+            name.alias("name"),
+            requirement.alias("requirement"),
+        )
 
     keyed = F.transform(
         F.coalesce(entries, F.from_json(F.lit("[]"), f"array<{ENTRY}>")),
-        lambda e, i: F.struct(
-            key(e["name"]).alias("key"),
-            weakness(e["requirement"]).alias("weakness"),
-            i.alias("pos"),
-            name(e["name"]).alias("name"),
-            e["requirement"].alias("requirement"),
-        ),
+        lambda e, i: let(clean(e["name"]), lambda n: entry(n, e["requirement"], i)),
     )
 
     def merged(rows: Column) -> Column:
@@ -160,25 +160,21 @@ def _merge_entries(entries: Column, key, name, levels: tuple[str, ...]) -> Colum
 
 
 def skill_name(c: Column) -> Column:
-    tidy = collapse(c)
-    alias = F.lower(tidy)
-    out = None
-    for spelling, proper in SKILL_ALIASES.items():
-        out = F.when(alias == spelling, proper) if out is None else out.when(alias == spelling, proper)
-    return out.otherwise(tidy)
+    """Proper spelling of a skill."""
+    return let(collapse(c), lambda tidy: lookup(F.lower(tidy), SKILL_ALIASES, tidy))
 
 
-def skill_key(c: Column) -> Column:
-    """Letters and digits of the canonical name, case-folded."""
-    return F.regexp_replace(fold(skill_name(c)), r"[^\p{L}\p{N}]", "")
+def skill_key(name: Column) -> Column:
+    """Letters and digits of the proper spelling, case-folded."""
+    return F.regexp_replace(fold(name), r"[^\p{L}\p{N}]", "")
 
 
 def merge_skills(entries: Column) -> Column:
-    return _merge_entries(entries, skill_key, skill_name, SKILL_REQUIREMENTS)
+    return _merge_entries(entries, skill_name, skill_key, SKILL_REQUIREMENTS)
 
 
 def merge_certifications(entries: Column) -> Column:
-    return _merge_entries(entries, lambda c: fold(collapse(c)), collapse, CERTIFICATION_REQUIREMENTS)
+    return _merge_entries(entries, collapse, fold, CERTIFICATION_REQUIREMENTS)
 
 
 # --- validation -------------------------------------------------------------

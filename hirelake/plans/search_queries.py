@@ -254,7 +254,7 @@ def o6(spark, sf):
 @query(
     "x24_hours_old",
     cte("jobs") + f"""SELECT job_id, CASE WHEN posted_at IS NULL THEN TRUE ELSE FALSE END AS undated,
-  round(coalesce(greatest(0, epoch(TIMESTAMP '{EVENTS_AS_OF}' - posted_at) / 3600.0), -1), 3) AS hours FROM jobs""",
+  round(CASE WHEN posted_at IS NULL THEN -1 ELSE greatest(0, epoch(TIMESTAMP '{EVENTS_AS_OF}' - posted_at) / 3600.0) END, 3) AS hours FROM jobs""",
 )
 def x24(spark, sf):
     hours = fn.hours_old(F.col("posted_at"), fn.instant(EVENTS_AS_OF))
