@@ -256,10 +256,15 @@ def validate_records(extracted: DataFrame, data: str = "data") -> tuple[DataFram
     checked = let(
         parsed, lambda p: F.struct(p["record"].alias("record"), record_errors(p["fields"], p["record"]).alias("errors"))
     )
-    staged = extracted.withColumn("_checked", checked)
-    kept = [F.col(c) for c in extracted.columns]
-    valid = staged.filter(F.size("_checked.errors") == 0).select(*kept, F.col("_checked.record").alias("record"))
-    rejected = staged.filter(F.size("_checked.errors") > 0).select(*kept, F.col("_checked.errors").alias("errors"))
+    kept = [c for c in extracted.columns if c != "errors"]
+
+    def rows(wanted) -> DataFrame:
+        # A generator of zero or one row checks each record once; a filter on a
+        # computed column would check it again for the output.
+        return extracted.select(*kept, F.inline(F.filter(F.array(checked), wanted)))
+
+    valid = rows(lambda x: F.size(x["errors"]) == 0).drop("errors")
+    rejected = rows(lambda x: F.size(x["errors"]) > 0).drop("record")
     return valid.withColumn("record", clean_record(F.col("record"))), rejected
 
 

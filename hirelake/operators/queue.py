@@ -245,13 +245,17 @@ def decide(batch: DataFrame, jobs: DataFrame, as_of) -> DataFrame:
         "job_id", F.col("content_hash").alias("_hash"), "active", "enrichment_eligibility", "posted_at", "provider",
         "location", "raw_payload", "description_text", F.lit(True).alias("_exists"),
     )
-    items = classify_scope(batch.join(current, "job_id", "left"))
     runtime = eligibility_reason(F.col("posted_at"), F.lit(None).cast("boolean"), as_of)
     stale = F.col("_exists").isNull() | ~F.col("_hash").eqNullSafe(F.col("content_hash"))
     blocked = ~F.col("enrichment_eligibility").eqNullSafe(F.lit("eligible")) | runtime.isNotNull()
+    settled = F.when(stale, "stale").when(~F.col("active") | blocked, "not_eligible")
+    items = batch.join(current, "job_id", "left").withColumn("_settled", settled)
+    # Scope is only worked out for rows that get that far.
+    for name in ("location", "raw_payload", "description_text"):
+        items = items.withColumn(name, F.when(F.col("_settled").isNull(), F.col(name)))
+    items = classify_scope(items)
     outcome = (
-        F.when(stale, "stale")
-        .when(~F.col("active") | blocked, "not_eligible")
+        F.when(F.col("_settled").isNotNull(), F.col("_settled"))
         .when(F.col("us_scope") == "non_us", "skipped_non_us")
         .when(F.col("us_scope") == "unknown", "deferred_scope")
         .otherwise("apply")
