@@ -25,12 +25,15 @@ def crawl(
 ) -> CrawlOutput:
     """Board responses to the next state: normalise, assign companies, compare, record.
 
-    A malformed response is quarantined and its crawl counts as failed.
+    A malformed response is quarantined and its crawl counts as failed.  Pass
+    ``cut`` (``session.cut_lineage``) for anything but tiny inputs: postings,
+    companies and the diff each feed several outputs and are then computed once.
     """
+    settle = cut or (lambda df: df)
     good, bad = split_boards(boards)
-    batch = normalize_postings(raw_postings(good)).drop("crawl_run_id")
-    companies = company_ops.ensure_companies(companies, batch, as_of, name="company")
-    batch = company_ops.assign_companies(batch, sources, companies)
+    batch = settle(normalize_postings(raw_postings(good)).drop("crawl_run_id"))
+    companies = settle(company_ops.ensure_companies(companies, batch, as_of, name="company"))
+    batch = settle(company_ops.assign_companies(batch, sources, companies))
     failures = bad.select("source_id", "error").dropDuplicates(["source_id"])
     known = crawls.drop("error", "status").join(failures, "source_id", "left")
     outcome = known.selectExpr("*", "CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status")
@@ -48,16 +51,18 @@ class EnrichmentOutput:
 
 
 def enrich_run(
-    queue: DataFrame, jobs: DataFrame, extracted: DataFrame, enrichments: DataFrame, as_of, budget: int, **options
-) -> EnrichmentOutput:
+    queue: DataFrame, jobs: DataFrame, extracted: DataFrame, enrichments: DataFrame, as_of, budget: int, cut=None,
+    **options,
+) -> EnrichmentOutput:
     """One enrichment run over records that were already extracted.
 
     ``extracted``: queue_id, data (JSON text) or error with error_class,
     retryable and retry_after_seconds, plus model and token columns.
     """
-    jobs = queue_ops.expire_jobs(jobs, as_of)
-    queue = queue_ops.expire_queue(queue, jobs, as_of)
-    batch = queue_ops.run_batch(queue, jobs, as_of, budget, **options)
+    settle = cut or (lambda df: df)
+    jobs = settle(queue_ops.expire_jobs(jobs, as_of))
+    queue = settle(queue_ops.expire_queue(queue, jobs, as_of))
+    batch = settle(queue_ops.run_batch(queue, jobs, as_of, budget, **options))
     claimed = queue_ops.mark_claimed(queue, batch, as_of)
     working = batch.withColumn("attempts", batch["attempts"] + 1)
     valid, rejected = enrich.validate_records(extracted.filter("data IS NOT NULL"))
@@ -78,7 +83,7 @@ def enrich_run(
             )
         )
     )
-    decided = queue_ops.attach_results(working, results)
+    decided = settle(queue_ops.attach_results(working, results))
     completed = decided.filter("outcome = 'completed'").select("queue_id", "job_id", "content_hash", "schema_version")
     facts = jobs.select(
         "job_id", "provider", "location", "employment_type", "workplace_type", "raw_payload", "description_text"
