@@ -64,11 +64,9 @@ def ensure_companies(existing: DataFrame, names: DataFrame, as_of, name: str = "
 
 def assign_companies(postings: DataFrame, sources: DataFrame, companies: DataFrame) -> DataFrame:
     """Set ``company_id`` and ``company``: the source's company wins over the posting's name."""
-    owner = sources.select("source_id", F.col("company_id").alias("_source_company")).join(
-        companies.select(F.col("company_id").alias("_source_company"), F.col("name").alias("_source_name")),
-        "_source_company",
-        "left",
-    )
+    names = companies.select(F.col("company_id").alias("_source_company"), F.col("name").alias("_source_name"))
+    owned = sources.select("source_id", F.col("company_id").alias("_source_company"))
+    owner = lookup_join(owned, names, ["_source_company"], spread=["source_id"])
     # Distinct posting names are joined to companies once, not per posting.
     keyed = (
         postings.select("company")

@@ -12,6 +12,7 @@ from hirelake.functions.scalar import (
     provider_stored,
     stored_slug,
 )
+from hirelake.operators.joins import lookup_join
 from hirelake.sources.store import absent, keep_old, prefer_new, upsert
 
 # Statuses from most to least advanced.
@@ -184,11 +185,9 @@ def merge_duplicates(candidates: DataFrame) -> DataFrame:
 
 def active_sources(sources: DataFrame, companies: DataFrame, limit: int | None = None) -> DataFrame:
     """Active sources with their company name, by id."""
-    rows = (
-        sources.filter(F.col("status") == "active")
-        .join(companies.select("company_id", F.col("name").alias("company_name")), "company_id", "left")
-        .orderBy("source_id")
-    )
+    names = companies.select("company_id", F.col("name").alias("company_name"))
+    active = sources.filter(F.col("status") == "active")
+    rows = lookup_join(active, names, ["company_id"], spread=["source_id"]).orderBy("source_id")
     return rows if limit is None else rows.limit(limit)
 
 

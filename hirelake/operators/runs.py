@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.scalar import instant, seconds_between
+from hirelake.operators.joins import lookup_join
 
 ISSUE_SEVERITIES = ("critical", "error", "warning")
 HEALTHY = ("success", "partial_success")
@@ -33,13 +34,13 @@ def in_time_order(rows: DataFrame, time: str, key: str) -> DataFrame:
 
 
 def crawl_rows(crawls: DataFrame, sources: DataFrame, companies: DataFrame, as_of, run_id=None) -> DataFrame:
-    """Crawls with their source and company; sources are attached in reduced form."""
+    """Crawls with their source and company."""
     if run_id is not None:
         crawls = crawls.filter(F.col("pipeline_run_id") == run_id)
-    owners = sources.select("source_id", "provider", "canonical_url", "company_id").join(
-        companies.select("company_id", F.col("name").alias("company_name")), "company_id", "left"
-    )
-    return with_duration(crawls, as_of).join(owners, "source_id", "left")
+    names = companies.select("company_id", F.col("name").alias("company_name"))
+    known = sources.select("source_id", "provider", "canonical_url", "company_id")
+    owners = lookup_join(known, names, ["company_id"], spread=["source_id"])
+    return lookup_join(with_duration(crawls, as_of), owners, ["source_id"], spread=["crawl_run_id"])
 
 
 def crawl_class() -> Column:

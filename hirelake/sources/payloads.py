@@ -58,76 +58,82 @@ _ASHBY = "struct<id: string, title: string, location: string, employmentType: st
 _LEVER = "struct<id: string, text: string, categories: struct<location: string, commitment: string>, workplaceType: string, description: string, descriptionPlain: string, hostedUrl: string, applyUrl: string>"
 
 
-def _select(df: DataFrame, **columns) -> DataFrame:
-    null = F.lit(None).cast("string")
-    computed = {c: columns.get(c, null) for c in POSTING_COLUMNS}
-    kept = [c for c in ("source_id", "crawl_run_id", "pos", "raw_payload", "provider") if c in df.columns]
-    return df.select(*[F.col(c) if c in kept and c not in columns else computed[c].alias(c) for c in POSTING_COLUMNS])
-
-
-def normalize_greenhouse(postings: DataFrame) -> DataFrame:
-    staged = postings.withColumn("_p", F.from_json("raw_payload", _GREENHOUSE))
-    staged = staged.withColumn("_html", decode_html(F.col("_p.content")))
-    return _select(
-        staged,
-        external_job_id=F.col("_p.id"),
-        company=F.col("_p.company_name"),
-        title=F.col("_p.title"),
-        location=F.col("_p.location.name"),
-        posted_at=F.col("_p.first_published").try_cast("timestamp"),
-        posted_at_source=F.lit("greenhouse.first_published"),
-        description_text=F.col("_html.text"),
-        description_html=F.col("_html.decoded"),
-        job_url=F.col("_p.absolute_url"),
-    )
-
-
-def normalize_ashby(postings: DataFrame) -> DataFrame:
-    staged = postings.withColumn("_p", F.from_json("raw_payload", _ASHBY))
-    return _select(
-        staged,
-        external_job_id=F.col("_p.id"),
-        company=F.col("board"),
-        title=F.col("_p.title"),
-        location=F.col("_p.location"),
-        employment_type=F.col("_p.employmentType"),
-        workplace_type=F.col("_p.workplaceType"),
-        posted_at=F.col("_p.publishedAt").try_cast("timestamp"),
-        posted_at_source=F.lit("ashby.publishedAt"),
-        description_text=F.col("_p.descriptionPlain"),
-        description_html=F.col("_p.descriptionHtml"),
-        job_url=F.col("_p.jobUrl"),
-        apply_url=F.col("_p.applyUrl"),
-    )
+def _greenhouse(p: Column, html: Column) -> dict[str, Column]:
+    return {
+        "external_job_id": p["id"],
+        "company": p["company_name"],
+        "title": p["title"],
+        "location": p["location"]["name"],
+        "posted_at": p["first_published"],
+        "posted_at_source": F.when(p.isNotNull(), "greenhouse.first_published"),
+        "description_text": html["text"],
+        "description_html": html["decoded"],
+        "job_url": p["absolute_url"],
+    }
+
+
+def _ashby(p: Column, board: Column) -> dict[str, Column]:
+    return {
+        "external_job_id": p["id"],
+        "company": F.when(p.isNotNull(), board),
+        "title": p["title"],
+        "location": p["location"],
+        "employment_type": p["employmentType"],
+        "workplace_type": p["workplaceType"],
+        "posted_at": p["publishedAt"],
+        "posted_at_source": F.when(p.isNotNull(), "ashby.publishedAt"),
+        "description_text": p["descriptionPlain"],
+        "description_html": p["descriptionHtml"],
+        "job_url": p["jobUrl"],
+        "apply_url": p["applyUrl"],
+    }
+
+
+def _lever(p: Column, board: Column) -> dict[str, Column]:
+    """This provider gives no posting date."""
+    return {
+        "external_job_id": p["id"],
+        "company": F.when(p.isNotNull(), board),
+        "title": p["text"],
+        "location": p["categories"]["location"],
+        "employment_type": p["categories"]["commitment"],
+        "workplace_type": p["workplaceType"],
+        "description_text": p["descriptionPlain"],
+        "description_html": p["description"],
+        "job_url": p["hostedUrl"],
+        "apply_url": p["applyUrl"],
+    }
+
+
+_SCHEMAS = {"greenhouse": _GREENHOUSE, "ashby": _ASHBY, "lever": _LEVER}
 
 
-def normalize_lever(postings: DataFrame) -> DataFrame:
-    staged = postings.withColumn("_p", F.from_json("raw_payload", _LEVER))
-    return _select(
-        staged,
-        external_job_id=F.col("_p.id"),
-        company=F.col("board"),
-        title=F.col("_p.text"),
-        location=F.col("_p.categories.location"),
-        employment_type=F.col("_p.categories.commitment"),
-        workplace_type=F.col("_p.workplaceType"),
-        posted_at=F.lit(None).cast("timestamp"),
-        description_text=F.col("_p.descriptionPlain"),
-        description_html=F.col("_p.description"),
-        job_url=F.col("_p.hostedUrl"),
-        apply_url=F.col("_p.applyUrl"),
+def normalize_postings(postings: DataFrame, hashed: bool = True) -> DataFrame:
+    """Postings of all providers in one shape, with their content hash.
+
+    One pass over the input: each row is parsed with its own provider's schema,
+    the other two stay NULL, and every column takes the value that is given.
+    """
+    staged = postings
+    for name, schema in _SCHEMAS.items():
+        parsed = F.when(F.col("provider") == name, F.from_json("raw_payload", schema))
+        staged = staged.withColumn(f"_{name}", parsed)
+    staged = staged.withColumn("_html", decode_html(F.col("_greenhouse.content")))
+    board = F.col("board")
+    shapes = (
+        _greenhouse(F.col("_greenhouse"), F.col("_html")),
+        _ashby(F.col("_ashby"), board),
+        _lever(F.col("_lever"), board),
     )
 
+    def value(name: str) -> Column:
+        if not any(name in shape for shape in shapes):
+            return F.col(name)
+        given = F.coalesce(*[shape[name] for shape in shapes if name in shape])
+        return (given.try_cast("timestamp") if name == "posted_at" else given).alias(name)
 
-NORMALIZERS = {"greenhouse": normalize_greenhouse, "ashby": normalize_ashby, "lever": normalize_lever}
-
-
-def normalize_postings(postings: DataFrame, hashed: bool = True) -> DataFrame:
-    """Postings of all providers in one shape, with their content hash."""
-    out = None
-    for provider, normalize in NORMALIZERS.items():
-        part = normalize(postings.filter(F.col("provider") == provider))
-        out = part if out is None else out.unionByName(part)
+    known = staged.filter(F.col("provider").isin(*_SCHEMAS))
+    out = known.select(*[value(c) for c in POSTING_COLUMNS])
     return with_content_hash(out) if hashed else out
 
 
