@@ -780,8 +780,9 @@ def l15(spark, sf):
     + _DECIDED_SQL[len(cte("queue", "order_jobs")):]
     + f""", ready AS (SELECT q.*, row_number() OVER (ORDER BY priority, created_at, queue_id) AS turn FROM reasons q
   WHERE {_DUE} AND queue_id IN (SELECT q2.queue_id FROM queue q2 JOIN order_jobs j ON j.job_id = q2.job_id AND j.content_hash = q2.content_hash WHERE {_WORKABLE})),
-cut AS (SELECT max(turn) AS last FROM (SELECT turn FROM ready WHERE first = 'apply' ORDER BY turn LIMIT 100))
-SELECT queue_id, first AS outcome FROM ready, cut WHERE turn <= last""",
+-- With fewer rows to apply than the budget, everything due is processed.
+cut AS (SELECT max(turn) AS last, count(*) AS used FROM (SELECT turn FROM ready WHERE first = 'apply' ORDER BY turn LIMIT 100))
+SELECT queue_id, first AS outcome FROM ready, cut WHERE used < 100 OR turn <= last""",
 )
 def l13_run(spark, sf):
     return q.run_batch(*queue_and_jobs(spark, sf), ORDERS_AS_OF, 100).select("queue_id", "outcome")
