@@ -30,6 +30,7 @@ from hirelake.functions.scalar import (
     workplace_type,
 )
 from hirelake.functions.text import compact_description, mentions_citizenship
+from hirelake.operators.quality import missing_and_extra
 from hirelake.sources.store import last_per_key, upsert
 
 LOCATION = "struct<city: string, state: string, state_code: string, country: string, country_code: string>"
@@ -111,6 +112,13 @@ V2_KEYS = (
 )
 
 
+def key_differences(data: Column, schema_version: str = "v3") -> Column:
+    """STRUCT(missing, extra) top-level keys of a record against its version's contract."""
+    required = tuple(RECORD_FIELDS) if schema_version == "v3" else V2_KEYS
+    present = F.coalesce(F.json_object_keys(data), F.array().cast("array<string>"))
+    return missing_and_extra(present, F.array(*(F.lit(k) for k in required)))
+
+
 # --- merging lists inside one record ----------------------------------------
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hirelake.functions.scalar import instant
+from hirelake.functions.scalar import instant, on_day
 
 COUNTS = (
     "current_open_jobs", "total_jobs_seen", "jobs_with_posted_at", "jobs_without_posted_at", "posted_today",
@@ -41,8 +41,8 @@ def posting_counts(jobs: DataFrame, as_of) -> DataFrame:
             F.count(F.lit(1)).alias("total_jobs_seen"),
             F.count(posted).alias("jobs_with_posted_at"),
             _count(posted.isNull()).alias("jobs_without_posted_at"),
-            _count(F.to_date(posted) == today).alias("posted_today"),
-            _count(F.to_date(posted) == F.date_sub(today, 1)).alias("posted_yesterday"),
+            _count(on_day(posted, today)).alias("posted_today"),
+            _count(on_day(posted, F.date_sub(today, 1))).alias("posted_yesterday"),
             _count((posted >= ago(7)) & (posted <= now)).alias("posted_last_7_days"),
             _count((posted >= ago(14)) & (posted < ago(7))).alias("posted_previous_7_days"),
             _count(last_15).alias("posted_last_15_days"),

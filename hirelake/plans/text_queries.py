@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hirelake.functions import payload as pay, scalar as fn, scope, text
 from hirelake.functions.unicode import decode_html
 from hirelake.operators import enrich
-from hirelake.operators.quality import missing_and_extra
 from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
 from hirelake.plans.standins import ORDERS_AS_OF, cte, plain, standin, table
@@ -454,8 +453,7 @@ def p16(spark, sf):
   CASE WHEN o_orderpriority = '2-HIGH' AND o_totalprice > 400000 THEN 'extra' ELSE '' END AS extra FROM orders""",
 )
 def u06(spark, sf):
-    required = F.array(*(F.lit(k) for k in enrich.RECORD_FIELDS))
-    found = missing_and_extra(F.json_object_keys("data"), required)
+    found = enrich.key_differences(F.col("data"))
     return plain(extracted(spark, sf).select("job_id", found.alias("k")).select("job_id", "k.missing", "k.extra"))
 
 

@@ -9,7 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake.operators import companies as comp, enrich, inventory as inv, lifecycle as life, snapshots as snap, trends
+from hirelake.operators import companies as comp, enrich, inventory as inv, lifecycle as life, runs, snapshots as snap, trends
 from hirelake.operators.hiring_stats import hiring_stats
 from hirelake.operators.joins import lookup_join
 from hirelake.operators.quality import violations
@@ -278,6 +278,36 @@ def test_trusted_facts_survive(spark):
     assert rec["citizenship_requirement"] is None
 
 
+def test_stored_json_fills_only_missing_columns(spark):
+    data = json.dumps({"seniority": "senior", "job_family": "", "required_skills": ["SQL"], "soft_skills": ["Talk"], "years_experience_min": "3", "salary_min": "10.5", "locations": [{"region": "Texas"}]})
+    rows = spark.createDataFrame(
+        [("mid", None, [], ["kept"], None, None, None, None, data), (None, None, None, [], 7, None, None, None, data), (None, None, None, None, None, None, None, None, "{}")],
+        "seniority string, job_family string, required_skills array<string>, skills array<string>, years_experience_min int, salary_min double, state string, skill_count int, data string",
+    )
+    filled = [tuple(r)[:8] for r in enrich.backfill_columns(rows).collect()]
+    assert filled[0] == ("mid", None, ["SQL"], ["kept"], 3, 10.5, "Texas", 1)
+    assert filled[1] == ("senior", None, ["SQL"], ["SQL", "Talk"], 7, 10.5, "Texas", 2)
+    assert filled[2] == (None, None, [], [], None, None, None, 0)
+
+
+def test_deterministic_fields_and_version_2_keys(spark):
+    raw = json.dumps({"salary_range": {"min": 1}, "payRange": {"min": 2}, "createdAt": 17, "publishedAt": None, "updatedAt": "2026-01-01"})
+    rows = spark.createDataFrame([("Lever", "x1", raw), (None, "x2", None)], "provider string, external_job_id string, raw_payload string")
+    first, second = enrich.deterministic_fields(rows).collect()
+    assert json.loads(first["salary_json"]) == {"min": 1}
+    assert first["employer_timestamps"] == {"createdAt": "17", "updatedAt": "2026-01-01"}
+    assert tuple(first["ats_identifiers"]) == ("lever", "x1") and second["structured_context"]["locations"] == []
+    old = dict.fromkeys(enrich.V2_KEYS) | {"surprise": 1}
+    del old["benefits"]
+    found = spark.createDataFrame([(json.dumps(old),)], "d string").select(enrich.key_differences(F.col("d"), "v2").alias("k")).first()["k"]
+    assert (found["missing"], found["extra"]) == (["benefits"], ["surprise"])
+
+
+def test_warning_crawls(spark):
+    crawls = spark.createDataFrame([("w", None), ("", True), (None, False), ("", None)], "warning string, deactivation_skipped boolean")
+    assert runs.warning_crawls(crawls).first()[0] == 2
+
+
 ENRICHMENTS = (
     "enrichment_id string, job_id string, content_hash string, schema_version string, created_at timestamp, data string, "
     "standardized_title string, seniority string, required_skills array<string>, preferred_skills array<string>, "
