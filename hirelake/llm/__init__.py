@@ -1,7 +1,7 @@
 """Operations of a training-data pipeline: ten operators and their queries."""
 
 # Importing a module registers its queries.
-from hirelake.llm import bpe, decontaminate, line_dedup, simhash  # noqa: F401
+from hirelake.llm import bpe, decontaminate, langid, line_dedup, simhash  # noqa: F401
 from hirelake.llm.registry import ORACLES, QUERIES
 
 
