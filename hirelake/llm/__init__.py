@@ -1,7 +1,16 @@
 """Operations of a training-data pipeline: ten operators and their queries."""
 
 # Importing a module registers its queries.
-from hirelake.llm import bpe, decontaminate, langid, licenses, line_dedup, pii, simhash  # noqa: F401
+from hirelake.llm import (  # noqa: F401
+    bpe,
+    decontaminate,
+    langid,
+    licenses,
+    line_dedup,
+    near_vectors,
+    pii,
+    simhash,
+)
 from hirelake.llm.registry import ORACLES, QUERIES
 
 
