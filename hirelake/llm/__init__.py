@@ -3,6 +3,7 @@
 # Importing a module registers its queries.
 from hirelake.llm import (  # noqa: F401
     bpe,
+    chat,
     decontaminate,
     langid,
     licenses,
@@ -10,6 +11,7 @@ from hirelake.llm import (  # noqa: F401
     near_vectors,
     pii,
     simhash,
+    url_filter,
 )
 from hirelake.llm.registry import ORACLES, QUERIES
 
