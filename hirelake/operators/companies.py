@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.scalar import instant
 from hirelake.functions.unicode import display_name, distinct_slug, name_key, name_slug
-from hirelake.operators.joins import lookup_join
 from hirelake.sources.store import first_per_key
 
 
@@ -36,9 +35,7 @@ def missing_companies(existing: DataFrame, names: DataFrame, as_of, name: str =
     fresh = fresh.withColumn("slug", name_slug("name"))
     taken = existing.select("slug", F.lit(True).alias("_taken")).distinct()
     owner = fresh.groupBy("slug").agg(F.min("normalized_name").alias("_owner"))
-    placed = lookup_join(
-        fresh, owner.join(taken, "slug", "left"), ["slug"], spread=["normalized_name"]
-    )
+    placed = fresh.join(owner.join(taken, "slug", "left"), "slug", "left")
     plain = F.col("_taken").isNull() & (F.col("_owner") == F.col("normalized_name"))
     return placed.select(
         new_company_id(F.col("normalized_name")).alias("company_id"),
@@ -66,7 +63,7 @@ def assign_companies(postings: DataFrame, sources: DataFrame, companies: DataFra
     """Set ``company_id`` and ``company``: the source's company wins over the posting's name."""
     names = companies.select(F.col("company_id").alias("_source_company"), F.col("name").alias("_source_name"))
     owned = sources.select("source_id", F.col("company_id").alias("_source_company"))
-    owner = lookup_join(owned, names, ["_source_company"], spread=["source_id"])
+    owner = owned.join(names, "_source_company", "left")
     # Distinct posting names are joined to companies once, not per posting.
     keyed = (
         postings.select("company")
@@ -75,8 +72,8 @@ def assign_companies(postings: DataFrame, sources: DataFrame, companies: DataFra
         .join(companies.select("normalized_name", F.col("company_id").alias("_named_company")), "normalized_name")
         .select("company", "_named_company")
     )
-    with_owner = lookup_join(postings, owner, ["source_id"], spread=["external_job_id"])
-    joined = lookup_join(with_owner, keyed, ["company"], spread=["external_job_id"])
+    with_owner = postings.join(owner, "source_id", "left")
+    joined = with_owner.join(keyed, "company", "left")
     return (
         joined.withColumn("company_id", F.coalesce("_source_company", "_named_company"))
         .withColumn("company", F.coalesce("_source_name", "company"))

@@ -35,7 +35,7 @@ from hirelake.sources.store import last_per_key, upsert
 
 LOCATION = "struct<city: string, state: string, state_code: string, country: string, country_code: string>"
 ENTRY = "struct<name: string, requirement: string>"
-# Field types of a version-3 record; every key is required and no other is allowed.
+# Field types of a version-3 record; every key is required and no other is allowed.
 RECORD_FIELDS = {
     "standardized_title": "string",
     "job_family": "string",
@@ -78,6 +78,7 @@ ENUMS = {
     "salary_period": ("hour", "day", "week", "month", "year", "unknown"),
     "visa_sponsorship": ("available", "not_available", "unknown"),
 }
+# Requirement levels, weakest first.
 SKILL_REQUIREMENTS = ("mentioned", "preferred", "required")
 CERTIFICATION_REQUIREMENTS = ("preferred", "required")
 # Spellings of one skill.
@@ -91,7 +92,7 @@ SKILL_ALIASES = {
 }
 LIST_FIELDS = ("domain_tags", "education_fields", "offices")
 REQUIRED_LISTS = ("skills", "certifications", "locations", *LIST_FIELDS)
-# Required keys of the older version-2 record.
+# Required keys of the older version-2 record.
 V2_KEYS = (
     "standardized_title", "job_family", "job_subfamily", "related_roles", "role_track", "seniority",
     "leadership_level", "people_management", "role_keywords", "responsibility_tags", "domain_tags",
@@ -540,6 +541,7 @@ def json_list(data: Column, *paths: str) -> Column:
     return F.concat(*(F.coalesce(F.from_json(F.get_json_object(data, p), "array<string>"), empty) for p in paths))
 
 
+# Keys of stored records that have a column.
 PROMOTED_TEXT = (
     "standardized_title", "job_family", "job_subfamily", "role_track", "seniority", "leadership_level",
     "education_required", "education_preferred", "education_level", "workplace_type", "employment_type",

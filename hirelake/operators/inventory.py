@@ -12,7 +12,6 @@ from hirelake.functions.scalar import (
     provider_stored,
     stored_slug,
 )
-from hirelake.operators.joins import lookup_join
 from hirelake.sources.store import absent, keep_old, prefer_new, upsert
 
 # Statuses from most to least advanced.
@@ -187,7 +186,7 @@ def active_sources(sources: DataFrame, companies: DataFrame, limit: int | None =
     """Active sources with their company name, by id."""
     names = companies.select("company_id", F.col("name").alias("company_name"))
     active = sources.filter(F.col("status") == "active")
-    rows = lookup_join(active, names, ["company_id"], spread=["source_id"]).orderBy("source_id")
+    rows = active.join(names, "company_id", "left").orderBy("source_id")
     return rows if limit is None else rows.limit(limit)
 
 

@@ -1,44 +1,9 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Join hints whose size bound is known from the plan."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
-# A dimension is broadcast only after a bounded count shows it has at most this
-# many rows; lookup dimensions are a few narrow columns wide (about 100 bytes).
-BROADCAST_ROWS = 1_000_000
-# Beyond that: copies of each dimension row, to spread a hot key over tasks.
-SALTS = 64
-
-
-def fits_broadcast(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Counts at most ``rows + 1`` rows of the dimension."""
-    return rows > 0 and dimension.limit(rows + 1).count() <= rows
-
-
-def lookup_join(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Attach dimension rows (unique on ``on``) to facts whose keys may be skewed.
-
-    A dimension of checked size is broadcast, so the facts are not shuffled.
-    A larger one is joined with salted keys: facts by a hash of ``spread``
-    columns, which must vary within a key, and dimension rows once per salt;
-    what remains uneven is split at run time by the adaptive skew join.
-    """
-    if fits_broadcast(dimension, broadcast_rows):
-        return facts.join(F.broadcast(dimension), list(on), how)
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
-
 
 def one_row(df: DataFrame) -> DataFrame:
     """Mark an ungrouped aggregate as broadcastable: it has exactly one row."""

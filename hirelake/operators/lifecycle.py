@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.scalar import instant
 from hirelake.operators.eligibility import eligibility_reason, status_of
-from hirelake.operators.joins import lookup_join
 from hirelake.sources.store import absent, last_per_key
 
 KEY = ["source_id", "external_job_id"]
@@ -106,7 +105,7 @@ def diff(state: DataFrame, batch: DataFrame, decisions: DataFrame) -> DataFrame:
     crawled = decisions.select(
         "source_id", "crawl_run_id", "started_at", "succeeded", "may_remove", "baseline", "last_success_at"
     )
-    rows = lookup_join(joined, crawled, ["source_id"], spread=["external_job_id"])
+    rows = joined.join(crawled, "source_id", "left")
     seen = F.col("in_batch") & F.coalesce("succeeded", F.lit(False))
     known = F.col("in_state")
     return (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.scalar import instant, seconds_between
-from hirelake.operators.joins import lookup_join
 
 ISSUE_SEVERITIES = ("critical", "error", "warning")
 HEALTHY = ("success", "partial_success")
@@ -39,8 +38,8 @@ def crawl_rows(crawls: DataFrame, sources: DataFrame, companies: DataFrame, as_o
         crawls = crawls.filter(F.col("pipeline_run_id") == run_id)
     names = companies.select("company_id", F.col("name").alias("company_name"))
     known = sources.select("source_id", "provider", "canonical_url", "company_id")
-    owners = lookup_join(known, names, ["company_id"], spread=["source_id"])
-    return lookup_join(with_duration(crawls, as_of), owners, ["source_id"], spread=["crawl_run_id"])
+    owners = known.join(names, "company_id", "left")
+    return with_duration(crawls, as_of).join(owners, "source_id", "left")
 
 
 def crawl_class() -> Column:

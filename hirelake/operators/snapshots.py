@@ -2,13 +2,13 @@
 
 Histograms are kept in long form (company, day, dimension, name, count): it
 aggregates with map-side combining, prunes by dimension and never builds a
-company's whole vocabulary in one task.  ``pack_histograms`` gives the
-name-to-count map form for companies whose vocabulary is within a bound.
+company's whole vocabulary in one task.  Maps that come in from elsewhere are
+unpacked to it; the largest entries are ranked in it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hirelake.functions.scalar import comma_label, day as day_literal, nonblank_items
 
@@ -112,19 +112,6 @@ def daily_activity(
     )
 
 
-def pack_histograms(histograms: DataFrame, max_names: int = 100_000) -> DataFrame:
-    """Map form per company, day and dimension.
-
-    A map is one value in one task, so a group with more than ``max_names``
-    names gets a NULL map; its counts stay available in the long form.
-    """
-    key = ["company_id", "snapshot_date", "dimension"]
-    sizes = histograms.groupBy(*key).agg(F.count(F.lit(1)).alias("names"))
-    fitting = histograms.join(sizes.filter(F.col("names") <= max_names).select(*key), key, "left_semi")
-    maps = fitting.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", "count"))).alias("counts"))
-    return sizes.join(maps, key, "left")
-
-
 def unpack_histograms(snapshots: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Long form of map-typed snapshot columns, given as {column: dimension}."""
     def labelled(column: str, dimension: str) -> Column:
@@ -138,16 +125,15 @@ def unpack_histograms(snapshots: DataFrame, columns: dict[str, str]) -> DataFram
     return snapshots.select("company_id", "snapshot_date", F.inline(entries))
 
 
-def top_entries(histogram: Column, limit: int = 8) -> Column:
-    """Largest entries of a name-to-count map."""
-
-    def larger_first(a: Column, b: Column) -> Column:
-        return (
-            F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1)
-            .when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
-        )
+def top_entries(histograms: DataFrame, limit: int = 8) -> DataFrame:
+    """The largest names of each company, day and dimension, ties by name.
 
-    return F.slice(F.array_sort(F.map_entries(histogram), larger_first), 1, limit)
+    Ranks up to the limit are kept before the shuffle as well, so a company
+    with a large vocabulary costs no more than its rows.
+    """
+    order = Window.partitionBy("company_id", "snapshot_date", "dimension").orderBy(F.col("count").desc(), "name")
+    ranked = histograms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.select("company_id", "snapshot_date", "dimension", "rank", "name", "count")
 
 
 def tracking_summary(companies: DataFrame, snapshots: DataFrame) -> DataFrame:

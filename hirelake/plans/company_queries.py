@@ -15,6 +15,7 @@ from hirelake.plans.standins import (
     plain,
     snapshots,
     standin,
+    table,
 )
 
 
@@ -269,22 +270,33 @@ _DAY = "2024-01-24"
 @query(
     "a03_daily_activity",
     cte("companies", "jobs", "job_events")
-    + f"""SELECT c.company_id, '{_DAY}' AS snapshot_date,
+    + f"""SELECT *, CASE WHEN total_open_jobs > 0 THEN enriched_jobs / total_open_jobs ELSE 0 END AS enrichment_coverage FROM (
+SELECT c.company_id, '{_DAY}' AS snapshot_date,
   (SELECT count(*) FROM jobs j WHERE j.company_id = c.company_id AND j.active AND j.is_us_job) AS total_open_jobs,
   count(e.job_id) FILTER (WHERE e.event_type = 'created' AND json_extract_string(e.metadata, '$.baseline') IS DISTINCT FROM 'true') AS new_jobs,
   count(e.job_id) FILTER (WHERE e.event_type = 'removed') AS removed_jobs,
-  count(e.job_id) FILTER (WHERE e.event_type = 'changed') AS changed_jobs
+  count(e.job_id) FILTER (WHERE e.event_type = 'changed') AS changed_jobs,
+  (SELECT count(*) FROM jobs j WHERE j.company_id = c.company_id AND j.active AND j.is_us_job AND j.k < 40) AS enriched_jobs
 FROM companies c LEFT JOIN jobs j ON j.company_id = c.company_id AND j.is_us_job
 LEFT JOIN job_events e ON e.job_id = j.job_id AND CAST(e.occurred_at AS DATE) = DATE '{_DAY}'
-GROUP BY c.company_id""",
+GROUP BY c.company_id)""",
 )
 def a03(spark, sf):
     jobs = standin(spark, sf, "jobs")
-    none = jobs.filter("false").select("company_id")
-    rows = snap.daily_activity(
-        standin(spark, sf, "companies"), jobs, standin(spark, sf, "job_events"), none, _DAY
+    # Records of some jobs, a part of them of older content, and one schema too many.
+    enrichments = jobs.filter("k < 70").selectExpr(
+        "job_id",
+        "CASE WHEN k < 40 OR k >= 60 THEN content_hash ELSE 'older' END AS content_hash",
+        "CASE WHEN k < 60 THEN 'v3' ELSE 'v2' END AS schema_version",
+    )
+    records = snap.current_records(jobs, enrichments)
+    rows = snap.daily_activity(standin(spark, sf, "companies"), jobs, standin(spark, sf, "job_events"), records, _DAY)
+    return plain(
+        rows.select(
+            "company_id", "snapshot_date", "total_open_jobs", "new_jobs", "removed_jobs", "changed_jobs", "enriched_jobs",
+            "enrichment_coverage",
+        )
     )
-    return plain(rows.select("company_id", "snapshot_date", "total_open_jobs", "new_jobs", "removed_jobs", "changed_jobs"))
 
 
 def order_records(spark, sf):
@@ -501,29 +513,27 @@ def w6(spark, sf):
 
 @query(
     "j09_unnest_histogram_maps",
-    cte("histograms")
-    + "SELECT company_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, dimension, name, count FROM histograms",
+    """WITH keyed AS (SELECT event_id AS company_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot_date, props, unnest(json_keys(props)) AS name FROM events)
+SELECT company_id, snapshot_date, unnest(['role', 'skill']) AS dimension, name,
+  CAST(json_extract_string(props, '$.' || name) AS BIGINT) AS count FROM keyed""",
 )
 def j09(spark, sf):
-    packed = snap.pack_histograms(histograms(spark, sf))
-    wide = packed.groupBy("company_id", "snapshot_date").agg(
-        *[
-            F.max_by("counts", F.when(F.col("dimension") == d, F.lit(1))).alias(f"{d}_counts")
-            for d in ("role", "skill")
-        ]
+    # The maps come in as JSON objects.
+    maps = table(spark, sf, "events").selectExpr(
+        "event_id AS company_id",
+        "CAST(ts AS DATE) AS snapshot_date",
+        "from_json(props, 'map<string,bigint>') AS role_counts",
+        "from_json(props, 'map<string,bigint>') AS skill_counts",
     )
-    return plain(snap.unpack_histograms(wide, {"role_counts": "role", "skill_counts": "skill"}))
+    return plain(snap.unpack_histograms(maps, {"role_counts": "role", "skill_counts": "skill"}))
 
 
 @query(
     "o4_top_entries",
     cte("histograms")
-    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY company_id, snapshot_date ORDER BY count DESC, name) AS rn
-  FROM histograms WHERE dimension = 'role')
-SELECT company_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, name, count FROM ranked WHERE rn <= 3""",
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY company_id, snapshot_date, dimension ORDER BY count DESC, name) AS rank
+  FROM histograms)
+SELECT company_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, dimension, rank, name, count FROM ranked WHERE rank <= 3""",
 )
 def o4(spark, sf):
-    roles = histograms(spark, sf).filter("dimension = 'role'")
-    packed = snap.pack_histograms(roles)
-    top = packed.select("company_id", "snapshot_date", F.inline(snap.top_entries(F.col("counts"), 3)))
-    return plain(top.withColumnsRenamed({"key": "name", "value": "count"}))
+    return plain(snap.top_entries(histograms(spark, sf), 3))

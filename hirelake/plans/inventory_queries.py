@@ -120,10 +120,10 @@ def a13(spark, sf):
 
 @query(
     "o9_sorted_candidates",
-    _MERGED_SQL + "SELECT provider, source_slug, board_id FROM merged ORDER BY provider, source_slug LIMIT 100",
+    _MERGED_SQL + "SELECT provider, source_slug, board_id FROM merged ORDER BY provider, source_slug",
 )
 def o9(spark, sf):
-    return merged(spark, sf).select("provider", "source_slug", "board_id").orderBy("provider", "source_slug").limit(100)
+    return merged(spark, sf).select("provider", "source_slug", "board_id").orderBy("provider", "source_slug")
 
 
 @query(

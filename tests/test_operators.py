@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import companies as comp, enrich, inventory as inv, lifecycle as life, runs, snapshots as snap, trends
 from hirelake.operators.hiring_stats import hiring_stats
-from hirelake.operators.joins import lookup_join
 from hirelake.operators.quality import violations
 from hirelake.plans import daily
 from hirelake.session import cut_lineage
@@ -116,15 +115,6 @@ def test_upsert_policies_and_publication(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
 
 
-def test_lookup_join_keeps_every_row_of_a_hot_key(spark):
-    facts = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 1 ELSE id END AS k")
-    dim = spark.range(0, 2000, 2).selectExpr("id AS k", "'d' AS label").unionByName(spark.createDataFrame([(1, "hot")], "k bigint, label string"))
-    plain = facts.join(dim, "k", "left")
-    for rows in (10_000, 100):  # broadcast, and salted beyond the bound
-        got = lookup_join(facts, dim, ["k"], spread=["id"], broadcast_rows=rows)
-        assert got.count() == 2000 and got.exceptAll(plain.select(*got.columns)).isEmpty()
-
-
 # --- crawl ------------------------------------------------------------------
 
 SOURCES = "source_id bigint, status string, company_id string, last_attempt_at timestamp, last_crawled_at timestamp, last_success_at timestamp, last_failure_at timestamp, last_job_count bigint, consecutive_failures int, last_error string"
@@ -350,11 +340,13 @@ def test_enrichment_run_and_publication(spark, two_days):
     assert hiring_stats(first.companies, jobs, NOW, first.companies.first()["company_id"]).count() == 1
 
 
-def test_histogram_maps_respect_the_bound(spark):
-    rows = [(1, "skill", f"s{i}", i) for i in range(5)] + [(2, "skill", "only", 7)]
-    long = spark.createDataFrame(rows, "company_id int, dimension string, name string, count bigint").withColumn("snapshot_date", F.to_date(F.lit("2026-01-01")))
-    packed = {r["company_id"]: r for r in snap.pack_histograms(long, max_names=3).collect()}
-    assert packed[1]["counts"] is None and packed[1]["names"] == 5 and packed[2]["counts"] == {"only": 7}
+def test_top_entries_of_a_large_vocabulary(spark):
+    long = spark.range(200_000).selectExpr("1 AS company_id", "DATE '2026-01-01' AS snapshot_date", "'skill' AS dimension", "concat('s', id) AS name", "id % 1000 AS count")
+    got = [(r["rank"], r["name"], r["count"]) for r in snap.top_entries(long, 2).orderBy("rank").collect()]
+    assert got == [(1, "s100999", 999), (2, "s101999", 999)]
+
+
+def test_market_snapshot_of_nothing(spark):
     none = trends.market_snapshot(empty(spark, "company_id int, snapshot_date date, total_open_jobs bigint, new_jobs bigint, removed_jobs bigint, changed_jobs bigint, enriched_jobs bigint"))
     row = none.first()
     assert row["snapshot_date"] is None and row["total_open_jobs"] == 0
