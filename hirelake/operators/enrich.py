@@ -188,93 +188,142 @@ def merge_certifications(entries: Column) -> Column:
 
 # --- validation -------------------------------------------------------------
 
+# How the shape of a value is written by schema_of_variant, as patterns.
+_ENTRY_SHAPE = "OBJECT<name: STRING, requirement: STRING>"
+_PLACE_SHAPE = "OBJECT<" + ", ".join(
+    f"{k}: (?:STRING|VOID)" for k in ("city", "country", "country_code", "state", "state_code")
+) + ">"
+_NUMBER_SHAPE = r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))"
+_SHAPES = {
+    "string": "(?:STRING|VOID)",
+    "int": f"(?:{_NUMBER_SHAPE}|VOID)",
+    "double": f"(?:{_NUMBER_SHAPE}|VOID)",
+    "boolean": "(?:BOOLEAN|VOID)",
+    "array<string>": "ARRAY<(?:STRING|VOID)>",
+    f"array<{ENTRY}>": f"ARRAY<(?:{_ENTRY_SHAPE}|VOID)>",
+    f"array<{LOCATION}>": f"ARRAY<(?:{_PLACE_SHAPE}|VOID)>",
+}
+# Keys are listed in order, so one pattern describes a whole record.
+_RECORD_SHAPE = "^OBJECT<" + ", ".join(f"{k}: {_SHAPES[RECORD_FIELDS[k]]}" for k in sorted(RECORD_FIELDS)) + ">$"
+# Years are read as numbers first: 3.0 is 3, and 3.5 is no number of years.
+_YEARS = tuple(k for k, kind in RECORD_FIELDS.items() if kind == "int")
+_RAW_SCHEMA = RECORD_SCHEMA.replace(": int", ": double")
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
 
-def _entry_errors(text: Column, levels: tuple[str, ...], reserved: tuple[str, ...] = ()) -> Column:
-    """True when some entry has wrong keys, a blank or reserved name, or an unknown requirement."""
-    items = F.from_json(text, "array<map<string,string>>")
+def _entry_errors(entries: Column, levels: tuple[str, ...], reserved: tuple[str, ...] = ()) -> Column:
+    """True when some entry is null, has a blank or reserved name, or an unknown requirement."""
 
     def wrong(e: Column) -> Column:
         name = collapse(e["name"])
-        bad = (
-            e.isNull()
-            | ~F.array_sort(F.map_keys(e)).eqNullSafe(F.array(F.lit("name"), F.lit("requirement")))
-            | F.coalesce(name == "", F.lit(True))
-            | ~F.coalesce(e["requirement"].isin(*levels), F.lit(False))
-        )
+        bad = F.coalesce(name == "", F.lit(True)) | ~F.coalesce(e["requirement"].isin(*levels), F.lit(False))
         return bad | F.coalesce(F.lower(name).isin(*reserved), F.lit(False)) if reserved else bad
 
-    return F.exists(items, wrong)
-
+    return F.exists(entries, wrong)
 
-def _location_errors(text: Column) -> Column:
-    keys = F.array(*(F.lit(k) for k in ("city", "country", "country_code", "state", "state_code")))
-    items = F.from_json(text, "array<map<string,string>>")
-    return F.exists(items, lambda e: ~F.coalesce(F.array_sort(F.map_keys(e)) == keys, F.lit(False)))
 
+def _shape_rules(shape: Column, data: Column) -> list[Column]:
+    """Names of what is wrong with the keys and types of a record; NULL for what is right."""
+    required = F.array(*(F.lit(k) for k in RECORD_FIELDS))
+    present = F.coalesce(F.json_object_keys(data), F.array().cast("array<string>"))
 
-def record_errors(fields: Column, record: Column) -> Column:
-    """Names of the rules an extracted record breaks; empty when it is valid.
+    def mistyped(field: str, pattern: str) -> Column:
+        return shape.rlike(rf"[<,] ?{field}: ") & ~shape.rlike(rf"[<,] ?{field}: {pattern}(?:, |>)")
+
+    scalars = [mistyped(f, _SHAPES[k]) for f, k in RECORD_FIELDS.items() if not k.startswith("array")]
+    lists = [mistyped(f, "ARRAY<.*>") for f in REQUIRED_LISTS]
+    items = [mistyped(f, _SHAPES["array<string>"]) & ~mistyped(f, "ARRAY<.*>") for f in LIST_FIELDS]
+    entries = {f: _SHAPES[RECORD_FIELDS[f]] for f in ("skills", "certifications", "locations")}
+    return [
+        F.when(F.size(F.array_except(required, present)) > 0, "missing_keys"),
+        F.when(F.size(F.array_except(present, required)) > 0, "extra_keys"),
+        F.when(_any(scalars), "type"),
+        F.when(_any(lists), "list"),
+        F.when(_any(items), "item_type"),
+        *[F.when(mistyped(f, pattern) & ~mistyped(f, "ARRAY<.*>"), f) for f, pattern in entries.items()],
+        F.when(shape.isNull() | ~shape.startswith("OBJECT<"), "not_an_object"),
+    ]
 
-    ``fields`` maps each key of the record to its JSON text.
-    """
-    present = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
-    required = F.array(*(F.lit(k) for k in RECORD_FIELDS))
 
-    def raw(field: str) -> Column:
-        return fields[field]
+def _value_rules(raw: Column, places: Column) -> list[Column]:
+    """Names of the rules that the values of a record break; NULL for the others."""
 
     def rule(name: str, broken: Column) -> Column:
         return F.when(F.coalesce(broken, F.lit(False)), F.lit(name))
 
     def out_of(field: str, low: float, high: float | None = None) -> Column:
-        value = record[field]
+        value = raw[field]
         return (value < low) | (value > high) if high is not None else value < low
 
-    mistyped = [
-        raw(f).isNotNull() & record[f].isNull()
-        for f, kind in RECORD_FIELDS.items()
-        if kind in ("int", "double", "boolean")
-    ]
-    unlisted = [F.json_array_length(raw(f)).isNull() for f in REQUIRED_LISTS]
-    rules = [
-        rule("missing_keys", F.size(F.array_except(required, present)) > 0),
-        rule("extra_keys", F.size(F.array_except(present, required)) > 0),
-        *[rule(f"enum_{f}", ~F.coalesce(record[f].isin(*v), F.lit(False))) for f, v in ENUMS.items()],
-        rule("type", reduce(lambda a, b: a | b, mistyped)),
-        rule("list", reduce(lambda a, b: a | b, unlisted)),
-        rule("skills", _entry_errors(raw("skills"), SKILL_REQUIREMENTS, SKILL_REQUIREMENTS)),
-        rule("certifications", _entry_errors(raw("certifications"), CERTIFICATION_REQUIREMENTS)),
-        rule("locations", _location_errors(raw("locations"))),
-        rule("years_bounds", out_of("years_experience_min", 0, 80)),
-        rule("years_bounds", out_of("years_experience_max", 0, 80)),
-        rule("salary_bounds", out_of("salary_min", 0)),
-        rule("salary_bounds", out_of("salary_max", 0)),
-        rule("years_range", record["years_experience_min"] > record["years_experience_max"]),
-        rule("salary_range", record["salary_min"] > record["salary_max"]),
-        rule("confidence", F.coalesce(~record["confidence"].between(0.0, 1.0), F.lit(True))),
+    return [
+        *[rule(f"enum_{f}", ~F.coalesce(raw[f].isin(*v), F.lit(False))) for f, v in ENUMS.items()],
+        rule("type", _any([raw[f] != F.floor(raw[f]) for f in _YEARS])),
+        rule("item_type", _any([F.exists(raw[f], lambda x: x.isNull()) for f in LIST_FIELDS])),
+        rule("skills", _entry_errors(raw["skills"], SKILL_REQUIREMENTS, SKILL_REQUIREMENTS)),
+        rule("certifications", _entry_errors(raw["certifications"], CERTIFICATION_REQUIREMENTS)),
+        rule("locations", F.exists(places, lambda x: x.isNull() | (F.size(x) != 5))),
+        rule("years_bounds", _any([out_of(f, 0, 80) for f in _YEARS])),
+        rule("salary_bounds", out_of("salary_min", 0) | out_of("salary_max", 0)),
+        rule("years_range", raw["years_experience_min"] > raw["years_experience_max"]),
+        rule("salary_range", raw["salary_min"] > raw["salary_max"]),
+        rule("confidence", F.coalesce(~raw["confidence"].between(0.0, 1.0), F.lit(True))),
     ]
-    return F.array_distinct(F.filter(F.array(*rules), lambda r: r.isNotNull()))
 
 
-def validate_records(extracted: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
-    """(valid rows with a cleaned ``record``, rejected rows with ``errors``)."""
-    # Bound as one value, so that a filter on the errors does not parse the text once per rule.
-    parsed = F.struct(
-        F.from_json(data, RECORD_SCHEMA).alias("record"), F.from_json(data, "map<string,string>").alias("fields")
+# Order in which the rules a record breaks are listed.
+RULES = (
+    "not_an_object", "missing_keys", "extra_keys", *(f"enum_{f}" for f in ENUMS), "type", "list", "item_type", "skills",
+    "certifications", "locations", "years_bounds", "salary_bounds", "years_range", "salary_range", "confidence",
+)
+
+
+def check_records(extracted: DataFrame, data: str = "data") -> DataFrame:
+    """Every row with its typed ``record`` and the ``errors`` it has (none: valid).
+
+    The text is parsed once for its values and once for its shape, each a
+    column of its own that the rules refer to.
+    """
+    kept = [c for c in extracted.columns if c not in ("errors", "record")]
+    variant = F.try_parse_json(F.col(data))
+    parsed = extracted.select(
+        *kept,
+        F.col(data).alias("_data"),
+        F.from_json(data, _RAW_SCHEMA).alias("_raw"),
+        F.schema_of_variant(variant).alias("_shape"),
+        F.try_variant_get(variant, "$.locations", "array<map<string,string>>").alias("_places"),
     )
-    checked = let(
-        parsed, lambda p: F.struct(p["record"].alias("record"), record_errors(p["fields"], p["record"]).alias("errors"))
+    shaped = F.coalesce(F.col("_shape").rlike(_RECORD_SHAPE), F.lit(False))
+    values = F.array_compact(F.array(*_value_rules(F.col("_raw"), F.col("_places"))))
+    # Most records have the right shape, which one pattern tells.
+    shapes = F.when(shaped, F.array().cast("array<string>")).otherwise(
+        F.array_compact(F.array(*_shape_rules(F.col("_shape"), F.col("_data")), F.lit(None).cast("string")))
     )
-    kept = [c for c in extracted.columns if c != "errors"]
+    found = parsed.select(*kept, "_raw", shaped.alias("_shaped"), F.array_union(shapes, values).alias("_found"))
+    # A shape that no rule names is a wrong type still.
+    named = F.when(~F.col("_shaped") & (F.size("_found") == 0), F.array(F.lit("type"))).otherwise(F.col("_found"))
+    record = _replace(F.col("_raw"), **{f: F.col(f"_raw.{f}").cast("int") for f in _YEARS})
+    listed = F.array_intersect(F.array(*(F.lit(r) for r in RULES)), named)
+    return found.select(*kept, record.alias("record"), listed.alias("errors"))
 
-    def rows(wanted) -> DataFrame:
-        # A generator of zero or one row checks each record once; a filter on a
-        # computed column would check it again for the output.
-        return extracted.select(*kept, F.inline(F.filter(F.array(checked), wanted)))
 
-    valid = rows(lambda x: F.size(x["errors"]) == 0).drop("errors")
-    rejected = rows(lambda x: F.size(x["errors"]) > 0).drop("record")
-    return valid.withColumn("record", clean_record(F.col("record"))), rejected
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows with a cleaned ``record``, rejected rows with ``errors``)."""
+    kept = [c for c in checked.columns if c not in ("errors", "record")]
+
+    def rows(wanted: Column, column: str) -> DataFrame:
+        # A generator of zero or one row, so that no filter moves below the checks and repeats them.
+        return checked.select(*kept, F.inline(F.when(wanted, F.array(F.struct(column)))))
+
+    valid = rows(F.size("errors") == 0, "record")
+    return valid.withColumn("record", clean_record(F.col("record"))), rows(F.size("errors") > 0, "errors")
+
+
+def validate_records(extracted: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
+    """``split_checked`` of ``check_records``; settle the latter where both parts are used."""
+    return split_checked(check_records(extracted, data))
 
 
 def _replace(record: Column, **fields: Column) -> Column:

@@ -65,7 +65,7 @@ def enrich_run(
     batch = settle(queue_ops.run_batch(queue, jobs, as_of, budget, **options))
     claimed = queue_ops.mark_claimed(queue, batch, as_of)
     working = batch.withColumn("attempts", batch["attempts"] + 1)
-    valid, rejected = enrich.validate_records(extracted.filter("data IS NOT NULL"))
+    valid, rejected = enrich.split_checked(settle(enrich.check_records(extracted.filter("data IS NOT NULL"))))
     results = (
         valid.selectExpr(
             "queue_id", "true AS is_valid", "CAST(NULL AS STRING) AS error", "CAST(NULL AS STRING) AS error_class",
