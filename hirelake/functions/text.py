@@ -1,18 +1,21 @@
 """Description compaction: drop company, benefits and legal boilerplate lines.
 
-The whole text is rewritten by a few regular expressions: headings that start a
-section to drop or to keep are marked, every dropped section is removed with
-one possessive match, then single legal lines go.  The cost stays linear in the
-length of the description and nothing leaves the row or the generated code.
+A description is tidied by a few regular expressions that never rescan a run of
+blanks, cut into lines, and each line is marked by a lookup of its heading (few
+lines are short enough to be one) or by plain substring searches.  One
+possessive match then removes every dropped section.  Each step is a column of
+its own, so that none is computed twice, and the cost is linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from hirelake.functions.scalar import WS, col, let, strip
+from hirelake.functions.scalar import col, strip
 
 # Headings and phrases that decide what a section is.
 BOILERPLATE_HEADINGS = (
@@ -47,77 +50,57 @@ MAX_HEADING_CHARS = 100
 MAX_SENTENCE_HEADING_WORDS = 8
 MIN_COMPACTED_CHARS = 500
 
-# Marks a heading inside the text being rewritten; removed from the input first.
-_DROP, _KEEP = "\x01", "\x02"
-_MARKS = f"[{_DROP}{_KEEP}]"
-# Line-wise, case-insensitive, and only "\n" ends a line.
-_LINES = "(?dimu)"
-_DASHES = r"[:\-–—]"
-# Whitespace and words within one line.
-BLANK = WS.replace(r"\s", r" \t\f\r\x0b")
-_WORD = r"\S"
+# Marks of lines to drop with their section, to keep, and to drop alone; removed from the input first.
+_DROP, _KEEP, _LEGAL = "\x01", "\x02", "\x03"
+_MARKS = f"[{_DROP}{_KEEP}{_LEGAL}]"
+_DASHES = ":-–—"
+# Whitespace within a line, and any.
+BLANK = r"[ \t\f\r\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_ANY_BLANK = BLANK.replace(r" \t", r" \t\n")
 
 
-def _any_of(phrases: tuple[str, ...], blank: str = " ") -> str:
+def _any_of(phrases: tuple[str, ...]) -> str:
     """Alternation of literal phrases, longest first."""
-    ordered = sorted(phrases, key=len, reverse=True)
-    return "|".join(re.escape(p).replace(r"\ ", blank) for p in ordered)
+    return "|".join(re.escape(p) for p in sorted(phrases, key=len, reverse=True))
 
 
-def _heading(names: str) -> str:
-    return rf"^(?=.{{1,{MAX_HEADING_CHARS}}}$)(?:{names}){BLANK}*{_DASHES}*$"
-
-
-_ROLE_ABOUT = _any_of(ROLE_ABOUT_HEADINGS, f"{BLANK}+")
-# "About ..." of any kind but the role: short, not a long sentence, not dashes only.
-_ABOUT = (
-    rf"^(?=.{{1,{MAX_HEADING_CHARS}}}$)(?!(?:{_ROLE_ABOUT}){BLANK}*{_DASHES}*$)"
-    rf"(?!(?:{_WORD}++{BLANK}++){{{MAX_SENTENCE_HEADING_WORDS}}}[^\n]*\.$)about{BLANK}+(?!{_DASHES}+$){_WORD}.*$"
-)
-_BOILERPLATE = _any_of(tuple(h for h in BOILERPLATE_HEADINGS if not h.startswith("about ")), f"{BLANK}+")
-BOILERPLATE_PATTERN = rf"{_LINES}{_heading(_BOILERPLATE)}|{_ABOUT}"
-RELEVANT_PATTERN = rf"{_LINES}{_heading(_any_of(RELEVANT_HEADINGS, f'{BLANK}+'))}"
-LEGAL_PATTERN = "(?iu)" + _any_of(LEGAL_PHRASES)
 CITIZENSHIP_PATTERN = "(?iu)" + _any_of(CITIZENSHIP_PHRASES)
 
 
 # --- single lines -----------------------------------------------------------
 
 
-def heading_key(c: Column | str) -> Column:
-    """Lower-cased heading without trailing colon or dashes."""
-    key = F.regexp_replace(F.lower(strip(c)), rf"{_DASHES}+$", "")
-    return strip(F.regexp_replace(key, f"{WS}+", " "))
-
+def _heading_of(line: Column) -> Column:
+    """The lower-cased line without trailing dashes if it is short enough to be a heading."""
+    bare = F.rtrim(strip(F.lower(line)), F.lit(_DASHES))
+    return F.when(F.length(line) <= MAX_HEADING_CHARS, strip(F.regexp_replace(bare, f"{_ANY_BLANK}+", " ")))
 
-def is_heading(c: Column | str) -> Column:
-    """Short enough, not a bullet and not a long sentence."""
-    line = strip(c)
-    sentence = line.endswith(".") & (F.size(F.split(line, f"{WS}+")) > MAX_SENTENCE_HEADING_WORDS)
-    return (line != "") & (F.length(line) <= MAX_HEADING_CHARS) & ~line.rlike(r"^[-•*]") & ~sentence
 
+def _is_sentence(line: Column) -> Column:
+    return line.endswith(".") & (F.size(F.split(line, f"{_ANY_BLANK}+")) > MAX_SENTENCE_HEADING_WORDS)
 
-def is_boilerplate_heading(c: Column | str) -> Column:
-    key = heading_key(c)
-    return F.when(key.startswith("about "), ~key.isin(*ROLE_ABOUT_HEADINGS)).otherwise(key.isin(*BOILERPLATE_HEADINGS))
 
+def _is_legal(line: Column) -> Column:
+    lowered = F.lower(line)
+    return reduce(or_, (F.contains(lowered, F.lit(p)) for p in LEGAL_PHRASES))
 
-def is_relevant_heading(c: Column | str) -> Column:
-    return heading_key(c).isin(*RELEVANT_HEADINGS)
 
-
-def is_legal_line(c: Column | str) -> Column:
-    return col(c).rlike(LEGAL_PATTERN)
+def _tagged(line: Column, heading: Column) -> Column:
+    about = heading.startswith("about ")
+    drops = F.when(about, ~heading.isin(*ROLE_ABOUT_HEADINGS) & ~_is_sentence(line)).otherwise(
+        heading.isin(*BOILERPLATE_HEADINGS)
+    )
+    return (
+        F.when(heading.isNotNull() & drops, "B")
+        .when(heading.isNotNull() & heading.isin(*RELEVANT_HEADINGS), "R")
+        .when(_is_legal(line), "L")
+        .otherwise("N")
+    )
 
 
 def line_tag(line: Column) -> Column:
     """B(oilerplate heading), R(elevant heading), L(egal) or N of a tidy line."""
-    return (
-        F.when(line.rlike(BOILERPLATE_PATTERN), "B")
-        .when(line.rlike(RELEVANT_PATTERN), "R")
-        .when(is_legal_line(line), "L")
-        .otherwise("N")
-    )
+    return _tagged(line, _heading_of(line))
 
 
 # --- whole descriptions -----------------------------------------------------
@@ -127,31 +110,38 @@ def tidy_lines(c: Column | str) -> Column:
     """The text with trimmed non-empty lines and single blanks."""
     text = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\r\n?", "\n")
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    return strip(F.regexp_replace(text, rf"{BLANK}*+\n{WS}*+", "\n"))
+    # A run of blanks is entered at its first one only.
+    text = F.regexp_replace(text, rf"(?<!{BLANK}){BLANK}++(?=\n)", "")
+    return strip(F.regexp_replace(text, rf"\n{_ANY_BLANK}++", "\n"))
 
 
 def description_lines(c: Column | str) -> Column:
     return F.filter(F.split(tidy_lines(c), "\n"), lambda x: x != "")
 
 
-def _without_sections(tidy: Column) -> Column:
-    marked = F.regexp_replace(F.regexp_replace(tidy, _MARKS, ""), BOILERPLATE_PATTERN, f"{_DROP}$0")
-    marked = F.regexp_replace(marked, RELEVANT_PATTERN, f"{_KEEP}$0")
-    # A dropped heading and every line up to the next kept heading.
-    kept = F.regexp_replace(marked, rf"(?dm)^{_DROP}[^\n]*+(?:\n(?!{_KEEP})[^\n]*+)*+\n?+", "")
-    kept = F.regexp_replace(kept, rf"{_LINES}^(?!{_KEEP}).*(?:{_any_of(LEGAL_PHRASES)}).*$\n?+", "")
-    return strip(F.replace(kept, F.lit(_KEEP), F.lit("")))
+def compact_descriptions(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add ``out``: the description without boilerplate; its full lines if too little is left."""
+    marks = {"B": _DROP, "R": _KEEP, "L": _LEGAL}
 
+    def marked(line: Column) -> Column:
+        tag = line["tag"]
+        mark = reduce(lambda w, m: w.when(tag == m[0], m[1]), marks.items(), F.when(tag.isNull(), "")).otherwise("")
+        return F.concat(mark, line["line"])
 
-def compact_description(c: Column | str) -> Column:
-    """The description without boilerplate; the full lines if too little is left."""
-    return let(
-        F.struct(tidy_lines(c).alias("tidy")),
-        lambda t: let(
-            F.struct(t["tidy"].alias("tidy"), _without_sections(t["tidy"]).alias("kept")),
-            lambda r: F.when(F.length(r["kept"]) < MIN_COMPACTED_CHARS, r["tidy"]).otherwise(r["kept"]),
-        ),
+    staged = df.withColumn("_tidy", tidy_lines(F.regexp_replace(F.coalesce(col(column), F.lit("")), _MARKS, "")))
+    staged = staged.withColumn(
+        "_lines", F.transform(F.split("_tidy", "\n"), lambda x: F.struct(x.alias("line"), _heading_of(x).alias("heading")))
+    )
+    staged = staged.withColumn(
+        "_tags", F.transform("_lines", lambda x: F.struct(_tagged(x["line"], x["heading"]).alias("tag"), x["line"].alias("line")))
     )
+    text = F.array_join(F.transform("_tags", marked), "\n")
+    # A dropped heading and every line up to the next heading to keep.
+    text = F.regexp_replace(text, rf"(?dm)^{_DROP}[^\n]*+(?:\n(?!{_KEEP})[^\n]*+)*+\n?+", "")
+    text = F.regexp_replace(text, rf"(?dm)^{_LEGAL}[^\n]*+\n?+", "")
+    staged = staged.withColumn("_kept", strip(F.replace(text, F.lit(_KEEP), F.lit(""))))
+    chosen = F.when(F.length("_kept") < MIN_COMPACTED_CHARS, F.col("_tidy")).otherwise(F.col("_kept"))
+    return staged.withColumn(out, chosen).drop("_tidy", "_lines", "_tags", "_kept")
 
 
 def mentions_citizenship(c: Column | str) -> Column:

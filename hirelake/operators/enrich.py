@@ -29,7 +29,7 @@ from hirelake.functions.scalar import (
     us_country_code,
     workplace_type,
 )
-from hirelake.functions.text import compact_description, mentions_citizenship
+from hirelake.functions.text import compact_descriptions, mentions_citizenship
 from hirelake.operators.quality import missing_and_extra
 from hirelake.sources.store import last_per_key, upsert
 
@@ -644,9 +644,6 @@ def backfill_columns(enrichments: DataFrame, data: str = "data") -> DataFrame:
 
 def classifier_payload(df: DataFrame) -> DataFrame:
     """What an extraction model is given: title, company and compacted description."""
-    return df.select(
-        *[c for c in ("job_id", "content_hash") if c in df.columns],
-        F.col("title").alias("original_title"),
-        "company",
-        compact_description("description_text").alias("description"),
-    )
+    kept = [c for c in ("job_id", "content_hash") if c in df.columns]
+    rows = df.select(*kept, F.col("title").alias("original_title"), "company", "description_text")
+    return compact_descriptions(rows, "description_text", "description").drop("description_text")

@@ -131,8 +131,8 @@ def result_counts(results: DataFrame) -> DataFrame:
 def facets(jobs: DataFrame, as_of) -> DataFrame:
     """(group, value, label, count) of every filter option over all loaded jobs.
 
-    Age and years options are listed even at zero.  Each job emits its options
-    once; the counts combine on the map side.
+    Age and years options are listed even at zero.  A job emits a list as long
+    as its values; the counts combine on the map side.
     """
 
     def option(group: str, value: Column, label: Column, hit: Column) -> Column:
@@ -141,28 +141,30 @@ def facets(jobs: DataFrame, as_of) -> DataFrame:
         )
 
     def plain(group: str, value: Column, prefix: str = "") -> Column:
-        given = F.filter(F.array(value), lambda v: v.isNotNull() & (v != ""))
-        return F.transform(given, lambda v: option(group, F.concat(F.lit(prefix), v), v, F.lit(1)))
+        return option(group, F.concat(F.lit(prefix), F.nullif(value, F.lit(""))), value, F.lit(1))
 
     def fixed(group: str, value: str, hit: Column) -> Column:
-        return F.array(option(group, F.lit(value), F.lit(value), F.coalesce(hit, F.lit(False)).cast("int")))
+        return option(group, F.lit(value), F.lit(value), F.coalesce(hit, F.lit(False)).cast("int"))
 
-    skills = F.transform(
-        _skill_keys(),
-        lambda k: option("skill", k, F.array_min(F.filter("skills", lambda s: F.lower(s) == k)), F.lit(1)),
-    )
-    options = F.concat(
+    scalars = F.array(
         *[fixed("datePosted", str(h), within_hours(h, as_of)) for h in AGE_HOURS],
-        F.transform(_places(), lambda p: option("location", p, p, F.lit(1))),
         plain("role", F.col("job_family"), "family:"),
         plain("role", F.col("job_subfamily"), "subfamily:"),
         plain("experience", F.col("seniority"), "seniority:"),
         *[fixed("experience", v, experience_matches(v)) for v in ("years:entry", "years:mid", "years:senior")],
-        skills,
         *[plain(group, F.col(column)) for group, column in TEXT_FACETS.items()],
     )
+    nothing = F.lit(None).cast("string")
+    options = F.concat(
+        scalars,
+        F.transform(_places(), lambda p: option("location", p, p, F.lit(1))),
+        # A key counts once a job; its spellings only add labels.
+        F.transform(_skill_keys(), lambda k: option("skill", k, nothing, F.lit(1))),
+        F.transform("skills", lambda s: option("skill", F.lower(s), s, F.lit(0))),
+    )
     return (
         jobs.select(F.inline(options))
+        .where("value IS NOT NULL")
         .groupBy("group", "value")
         .agg(F.min("label").alias("label"), F.sum("hit").alias("count"))
     )

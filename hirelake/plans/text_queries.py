@@ -63,7 +63,7 @@ joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS everything,
 SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN length(kept) < 500 THEN everything ELSE kept END AS t FROM joined)""",
 )
 def t05(spark, sf):
-    compact = postings(spark, sf).select("doc_id", text.compact_description("description_text").alias("t"))
+    compact = text.compact_descriptions(postings(spark, sf), "description_text", "t")
     return plain(compact.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest")))
 
 
