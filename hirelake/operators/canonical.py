@@ -47,20 +47,23 @@ def public_jobs(jobs: DataFrame, as_of=None, max_age_hours: int | None = None, r
 
 def enrichment_facts(jobs: DataFrame, enrichments: DataFrame, schema_version: str = "v3") -> DataFrame:
     """Per job: latest record of the current content, and the salary range of other contents."""
-    columns = [c for c in enrichments.columns if c != "job_id"]
     current = F.col("content_hash") == F.col("_job_hash")
     usable = current & (F.col("schema_version") == schema_version)
     salary = F.struct("salary_min", "salary_max")
     newest = F.when(usable, F.struct("created_at", "enrichment_id"))
-    return (
+    # The winner is chosen on narrow columns; its record is joined back.
+    facts = (
         enrichments.join(jobs.select("job_id", F.col("content_hash").alias("_job_hash")), "job_id")
         .groupBy("job_id")
         .agg(
-            F.max_by(F.struct(*columns), newest).alias("e"),
+            F.max(newest)["enrichment_id"].alias("_winner"),
             F.min(F.when(~current, salary)).alias("_lowest_salary"),
             F.max(F.when(~current, salary)).alias("_highest_salary"),
         )
     )
+    columns = [c for c in enrichments.columns if c != "job_id"]
+    records = enrichments.select("job_id", F.col("enrichment_id").alias("_winner"), F.struct(*columns).alias("e"))
+    return facts.join(records, ["job_id", "_winner"], "left").drop("_winner")
 
 
 def version_facts(versions: DataFrame) -> DataFrame:
