@@ -59,8 +59,13 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     At most SAMPLE_ROWS * SAMPLE_CHARS characters a language come to the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     pick = Window.partitionBy("lang").orderBy("at", "sample")
+    # Digests are even: those beyond twice the share that is wanted go before the ranking.
+    share = labelled.groupBy("lang").agg((F.lit(2.0 * SAMPLE_ROWS) / F.count("*")).alias("share"))
+    least = (F.col("share") - 0.5) * float(1 << 64)
     sample = (
         labelled.select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, SAMPLE_CHARS).alias("sample"))
+        .join(share, "lang")
+        .where(F.col("at") <= least)
         .withColumn("place", F.row_number().over(pick))
         .where(F.col("place") <= SAMPLE_ROWS)
     )
