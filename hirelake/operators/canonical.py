@@ -56,14 +56,19 @@ def enrichment_facts(jobs: DataFrame, enrichments: DataFrame, schema_version: st
         enrichments.join(jobs.select("job_id", F.col("content_hash").alias("_job_hash")), "job_id")
         .groupBy("job_id")
         .agg(
-            F.max(newest)["enrichment_id"].alias("_winner"),
+            F.max(newest).alias("_winner"),
             F.min(F.when(~current, salary)).alias("_lowest_salary"),
             F.max(F.when(~current, salary)).alias("_highest_salary"),
         )
     )
     columns = [c for c in enrichments.columns if c != "job_id"]
-    records = enrichments.select("job_id", F.col("enrichment_id").alias("_winner"), F.struct(*columns).alias("e"))
-    return facts.join(records, ["job_id", "_winner"], "left").drop("_winner")
+    records = enrichments.select(F.col("job_id").alias("_job"), F.struct(*columns).alias("e"))
+    won = (
+        (F.col("job_id") == F.col("_job"))
+        & (F.col("e.enrichment_id") == F.col("_winner.enrichment_id"))
+        & F.col("e.created_at").eqNullSafe(F.col("_winner.created_at"))
+    )
+    return facts.join(records, won, "left").drop("_winner", "_job")
 
 
 def version_facts(versions: DataFrame) -> DataFrame:
@@ -100,6 +105,9 @@ def canonical_jobs(
     Every side is first reduced to one row per job, so the joins share the
     hash partitioning on ``job_id`` and none can be skewed.
     """
+    missing = {*JOB_COLUMNS} - {*jobs.columns} | {*ENRICHMENT_COLUMNS} - {*enrichments.columns}
+    if missing:
+        raise ValueError(f"the view needs columns {sorted(missing)}")
     now = instant(as_of)
     joined = (
         jobs.join(enrichment_facts(jobs, enrichments, schema_version), "job_id", "left")
@@ -114,14 +122,14 @@ def canonical_jobs(
     )
     return joined.select(
         "job_id",
-        *[F.col(c) for c in JOB_COLUMNS if c in jobs.columns],
+        *JOB_COLUMNS,
         F.col("company").alias("company_name"),
         F.col("title").alias("original_title"),
         freshness_hours(seen, now).alias("freshness_hours"),
         freshness_source(F.col("posted_at"), F.col("posted_at_source")).alias("freshness_source"),
         F.col("last_seen_at").alias("last_verified_at"),
         age_bucket(seen, now).alias("job_age_bucket"),
-        *[e[c].alias(c) for c in ENRICHMENT_COLUMNS if c in enrichments.columns],
+        *[e[c].alias(c) for c in ENRICHMENT_COLUMNS],
         F.coalesce(e["skill_count"], F.lit(0)).alias("skill_count"),
         F.coalesce(e["workplace_type"], F.col("workplace_type")).alias("workplace_type"),
         F.coalesce(e["employment_type"], F.col("employment_type")).alias("employment_type"),

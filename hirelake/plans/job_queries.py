@@ -330,15 +330,20 @@ _CANONICAL_SQL = (
     cte("order_jobs", "enrichments", "job_versions", "order_events")
     + _CURRENT
     + f""", canonical AS (SELECT j.job_id, j.external_job_id, j.source_id, j.company_id, j.company AS company_name, j.title AS original_title,
-  j.posted_at, j.first_seen_at, j.active, j.location,
+  j.provider, j.job_url, j.apply_url, j.posted_at, j.posted_at_source, j.first_seen_at, j.last_seen_at, j.removed_at, j.active,
+  j.observed_new_after, j.observed_new_before, j.location, j.description_html, j.last_seen_at AS last_verified_at,
   round(greatest(0, epoch({_T} - coalesce(j.posted_at, j.first_seen_at)) / 3600.0), 2) AS freshness_hours,
   CASE WHEN j.posted_at IS NOT NULL THEN coalesce(j.posted_at_source, 'posted_at') ELSE 'first_seen_at' END AS freshness_source,
   CASE WHEN {_T} - coalesce(j.posted_at, j.first_seen_at) < INTERVAL 24 HOUR THEN 'under_24h'
     WHEN {_T} - coalesce(j.posted_at, j.first_seen_at) < INTERVAL 4 DAY THEN '1_3_days'
     WHEN {_T} - coalesce(j.posted_at, j.first_seen_at) < INTERVAL 8 DAY THEN '4_7_days'
     WHEN {_T} - coalesce(j.posted_at, j.first_seen_at) < INTERVAL 31 DAY THEN '8_30_days' ELSE '30_plus_days' END AS job_age_bucket,
-  e.standardized_title, e.job_family, e.seniority, e.required_skills, e.city, e.state, e.country, e.salary_min, e.salary_max,
-  e.years_experience_min, e.years_experience_max,
+  e.standardized_title, e.job_family, e.job_subfamily, e.related_roles, e.role_track, e.seniority, e.leadership_level,
+  e.role_keywords, e.responsibility_tags, e.skills, e.required_skills, e.preferred_skills, e.soft_skills,
+  e.years_experience_min, e.years_experience_max, e.education_required, e.education_preferred, e.education_level,
+  e.education_fields, e.certifications, e.locations, e.preferred_locations, e.city, e.state, e.state_code, e.country,
+  e.country_code, e.relocation_available, e.salary_min, e.salary_max, e.salary_currency, e.salary_period, e.visa_sponsorship,
+  e.work_authorization_required, e.citizenship_requirement, e.security_clearance_required, e.security_clearance_level,
   coalesce(e.skill_count, 0) AS skill_count, coalesce(e.workplace_type, j.workplace_type) AS workplace_type,
   coalesce(e.employment_type, j.employment_type) AS employment_type, e.confidence AS classification_confidence,
   coalesce(v.n, 0) + 1 AS version_count, c.last_changed_at,
@@ -361,25 +366,41 @@ def canonical(spark, sf):
     )
 
 
-_CANONICAL_PLAIN = f"""SELECT job_id, external_job_id, source_id, company_id, company_name, original_title,
-  strftime(posted_at, '{TS}') AS posted_at, active, freshness_hours, freshness_source, job_age_bucket, standardized_title,
-  job_family, seniority, array_to_string(required_skills, '|') AS required_skills, city, state, country, salary_min, salary_max,
-  CAST(years_experience_min AS DOUBLE) AS years_experience_min, CAST(skill_count AS BIGINT) AS skill_count, workplace_type,
-  employment_type, classification_confidence, version_count, strftime(last_changed_at, '{TS}') AS last_changed_at,
-  title_changed, location_changed, salary_changed, days_active FROM canonical"""
-_CANONICAL_COLUMNS = (
-    "job_id", "external_job_id", "source_id", "company_id", "company_name", "original_title", "posted_at", "active",
-    "freshness_hours", "freshness_source", "job_age_bucket", "standardized_title", "job_family", "seniority",
-    "required_skills", "city", "state", "country", "salary_min", "salary_max", "years_experience_min", "skill_count",
-    "workplace_type", "employment_type", "classification_confidence", "version_count", "last_changed_at",
-    "title_changed", "location_changed", "salary_changed", "days_active",
+# Columns of the view by how they are compared.
+_VIEW_TIMES = (
+    "posted_at", "first_seen_at", "last_seen_at", "removed_at", "observed_new_after", "observed_new_before",
+    "last_verified_at", "last_changed_at",
 )
+_VIEW_LISTS = (
+    "related_roles", "role_keywords", "responsibility_tags", "skills", "required_skills", "preferred_skills", "soft_skills",
+    "education_fields", "certifications", "locations", "preferred_locations",
+)
+_VIEW_OTHERS = (
+    "job_id", "external_job_id", "source_id", "company_id", "provider", "company_name", "original_title",
+    "standardized_title", "job_url", "apply_url", "posted_at_source", "active", "freshness_hours", "freshness_source",
+    "job_age_bucket", "job_family", "job_subfamily", "role_track", "seniority", "leadership_level", "skill_count",
+    "years_experience_min", "years_experience_max", "education_required", "education_preferred", "education_level",
+    "location", "city", "state", "state_code", "country", "country_code", "workplace_type", "relocation_available",
+    "employment_type", "salary_min", "salary_max", "salary_currency", "salary_period", "visa_sponsorship",
+    "work_authorization_required", "citizenship_requirement", "security_clearance_required", "security_clearance_level",
+    "classification_confidence", "version_count", "title_changed", "location_changed", "salary_changed", "days_active",
+    "description_text", "description_html",
+)
+_CANONICAL_PLAIN = "SELECT " + ", ".join(
+    [
+        *(f"strftime({c}, '{TS}') AS {c}" for c in _VIEW_TIMES),
+        *(f"array_to_string({c}, '|') AS {c}" for c in _VIEW_LISTS),
+        *(f"CAST({c} AS DOUBLE) AS {c}" if c.startswith("years_") else c for c in _VIEW_OTHERS),
+    ]
+) + " FROM canonical"
 
 
 @query("p21_canonical_jobs", _CANONICAL_SQL + _CANONICAL_PLAIN)
 def p21(spark, sf):
-    years = F.col("years_experience_min").cast("double")
-    return plain(canonical(spark, sf).select(*_CANONICAL_COLUMNS).withColumn("years_experience_min", years))
+    # Every column of the view, and no other.
+    view = canonical(spark, sf)
+    assert sorted(view.columns) == sorted((*_VIEW_TIMES, *_VIEW_LISTS, *_VIEW_OTHERS))
+    return plain(view.withColumns({c: F.col(c).cast("double") for c in ("years_experience_min", "years_experience_max")}))
 
 
 @query(

@@ -160,6 +160,11 @@ STANDINS: dict[str, tuple[str, dict[str, str]]] = {
             "enrichment_eligibility": "CASE WHEN o_orderpriority = '2-HIGH' THEN 'not_eligible' ELSE 'eligible' END",
             "enrichment_eligibility_reason": "CASE WHEN o_orderpriority = '2-HIGH' THEN 'non_us' END",
             "description_text": "'Order ' || CAST(o_orderkey AS STRING) || ' of priority ' || o_orderpriority",
+            "description_html": "CASE WHEN o_orderstatus = 'O' THEN '<p>' || o_orderpriority || '</p>' END",
+            "job_url": "'https://boards.example/' || CAST(o_orderkey AS STRING)",
+            "apply_url": "CASE WHEN o_totalprice > 90000 THEN 'https://boards.example/apply/' || CAST(o_orderkey AS STRING) END",
+            "observed_new_after": "CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate END",
+            "observed_new_before": "CASE WHEN o_orderpriority = '5-LOW' THEN o_orderdate + INTERVAL '1' DAY END",
         },
     ),
     "enrichments": (
@@ -187,6 +192,31 @@ STANDINS: dict[str, tuple[str, dict[str, str]]] = {
             "salary_min": "l_extendedprice",
             "salary_max": "CASE WHEN l_discount > 0.02 THEN l_extendedprice END",
             "confidence": "l_discount * 11",
+            "job_subfamily": "CASE WHEN l_quantity < 30 THEN 'subfamily ' || l_linestatus END",
+            "related_roles": "LIST('Related ' || l_returnflag)",
+            "role_track": "CASE WHEN l_tax > 0.03 THEN 'track ' || l_returnflag END",
+            "leadership_level": "CASE WHEN l_tax > 0.05 THEN 'lead ' || l_linestatus END",
+            "role_keywords": "LIST(l_linestatus, 'keyword')",
+            "responsibility_tags": "LIST('duty ' || l_returnflag)",
+            "skills": "LIST('Python', 'SQL ' || l_returnflag, 'SQL ' || l_linestatus)",
+            "soft_skills": "LIST('soft ' || l_linestatus)",
+            "education_required": "CASE WHEN l_discount > 0.03 THEN 'required ' || l_returnflag END",
+            "education_preferred": "CASE WHEN l_discount > 0.06 THEN 'preferred ' || l_returnflag END",
+            "education_level": "CASE WHEN l_quantity < 40 THEN 'bachelor' ELSE 'unknown' END",
+            "education_fields": "LIST('field ' || l_returnflag)",
+            "certifications": "LIST('cert ' || l_linestatus)",
+            "locations": "LIST('place ' || l_returnflag, 'place ' || l_linestatus)",
+            "preferred_locations": "LIST('wish ' || l_returnflag)",
+            "state_code": "CASE WHEN l_tax > 0.04 THEN 'TX' END",
+            "country_code": "CASE WHEN l_tax > 0.06 THEN 'US' END",
+            "relocation_available": "l_quantity > 25",
+            "salary_currency": "CASE WHEN l_discount > 0.01 THEN 'USD' END",
+            "salary_period": "CASE WHEN l_discount > 0.04 THEN 'year' ELSE 'unknown' END",
+            "visa_sponsorship": "CASE WHEN l_quantity > 45 THEN 'available' ELSE 'unknown' END",
+            "work_authorization_required": "CASE WHEN l_tax > 0.01 THEN l_quantity > 10 END",
+            "citizenship_requirement": "CASE WHEN l_tax > 0.07 THEN 'citizen' END",
+            "security_clearance_required": "CASE WHEN l_discount > 0.05 THEN l_quantity > 35 END",
+            "security_clearance_level": "CASE WHEN l_quantity > 48 THEN 'secret' END",
             "input_tokens": "CAST(l_quantity AS BIGINT)",
             "output_tokens": "CAST(l_quantity AS BIGINT) - 2",
             "thought_tokens": "CAST(0 AS BIGINT)",
