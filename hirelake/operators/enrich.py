@@ -534,6 +534,31 @@ def project_legacy(record: Column) -> dict[str, Column]:
     }
 
 
+# Types of the legacy columns of the jobs table.
+LEGACY_SCHEMA = {
+    "job_family": "string", "job_subfamily": "string", "related_roles": "array<string>", "skills": "array<string>",
+    "seniority": "string", "years_experience_min": "int", "years_experience_max": "int",
+    "ai_locations": f"array<{LOCATION[:-1]}, remote: boolean>>", "classification_confidence": "double",
+}
+
+
+def apply_legacy(jobs: DataFrame, valid: DataFrame) -> DataFrame:
+    """Jobs with the legacy columns of the record of their current content;
+    columns the jobs lack are added, other jobs keep theirs."""
+    projected = project_legacy(F.col("record"))
+    records = valid.select(
+        "job_id", "content_hash", *[v.cast(LEGACY_SCHEMA[c]).alias(f"_{c}") for c, v in projected.items()], F.lit(True).alias("_done")
+    ).dropDuplicates(["job_id", "content_hash"])
+    columns = [*jobs.columns, *(c for c in projected if c not in jobs.columns)]
+    joined = jobs.join(records, ["job_id", "content_hash"], "left")
+
+    def value(c: str) -> Column:
+        old = F.col(c) if c in jobs.columns else F.lit(None).cast(LEGACY_SCHEMA[c])
+        return (F.when(F.col("_done"), F.col(f"_{c}")).otherwise(old) if c in projected else old).alias(c)
+
+    return joined.select(*[value(c) for c in columns])
+
+
 def enrichment_rows(valid: DataFrame, as_of) -> DataFrame:
     """Rows of the enrichment table for valid records (job_id, content_hash, schema_version, record)."""
     kept = [c for c in ("model", "input_tokens", "output_tokens", "thought_tokens", "cached_tokens", "total_tokens") if c in valid.columns]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.scalar import instant, on_day
+from hirelake.sources.store import upsert
 
 COUNTS = (
     "current_open_jobs", "total_jobs_seen", "jobs_with_posted_at", "jobs_without_posted_at", "posted_today",
@@ -142,6 +143,16 @@ def list_companies(companies: DataFrame, stats: DataFrame, limit: int = 50, offs
     return ranked.offset(offset).limit(limit) if offset else ranked.limit(limit)
 
 
+def count_published(companies: DataFrame, stats: DataFrame) -> DataFrame:
+    """The total beside a page of the company list."""
+    return published(companies, stats).agg(F.count(F.lit(1)).alias("total"))
+
+
+def merge_stats(stored: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """Stored statistics with those of refreshed companies (one or all) put in."""
+    return upsert(stored, refreshed, ["company_id"])
+
+
 def momentum() -> Column:
     growth = F.coalesce(F.col("weekly_growth_percent"), F.lit(0).cast("decimal(12,2)"))
     week, before, change = F.col("posted_last_7_days"), F.col("posted_previous_7_days"), F.col("weekly_change")

@@ -2,8 +2,8 @@
 
 The whole batch is compared with the state in a single full outer join on
 (source_id, external_job_id).  That key is unique on both sides, so a source
-holding most of the postings still spreads over all tasks; per-source facts
-(baseline, mass-drop decision) are attached with a salted lookup.
+holding most of the postings still spreads over all tasks; the join that
+attaches per-source facts is split at run time where a source is hot.
 """
 
 from __future__ import annotations
@@ -253,6 +253,22 @@ def source_summary(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     return decisions.join(counted, "source_id", "left").fillna(0, ["jobs_new", "jobs_changed", "jobs_removed"])
 
 
+def crawl_run_rows(decisions: DataFrame, as_of) -> DataFrame:
+    """The crawl runs as they ended: status, times, count, warning, and whether removal was skipped."""
+    ok, anomaly = F.col("succeeded"), F.col("anomaly").isNotNull()
+    return decisions.select(
+        "crawl_run_id",
+        "source_id",
+        F.when(ok, "success").otherwise("failed").alias("status"),
+        "started_at",
+        instant(as_of).alias("finished_at"),
+        F.when(ok, F.col("job_count")).alias("job_count"),
+        F.when(ok, F.col("anomaly")).alias("warning"),
+        (ok & anomaly).alias("deactivation_skipped"),
+        F.when(~ok, F.col("error")).alias("error"),
+    )
+
+
 def crawl_summary(per_source: DataFrame) -> DataFrame:
     ok = F.col("succeeded")
 
@@ -275,7 +291,7 @@ def next_sources(sources: DataFrame, decisions: DataFrame, as_of, max_failures:
     """Source bookkeeping after the crawl; repeated failure deactivates a source."""
     now = instant(as_of)
     outcome = decisions.select(
-        "source_id", "succeeded", "job_count", F.col("anomaly").isNull().alias("_trusted"), F.col("error").alias("_error")
+        "source_id", "started_at", "succeeded", "job_count", F.col("anomaly").isNull().alias("_trusted"), F.col("error").alias("_error")
     )
     joined = sources.join(outcome, "source_id", "left")
     ok, failed = F.coalesce("succeeded", F.lit(False)), F.coalesce(~F.col("succeeded"), F.lit(False))
@@ -305,6 +321,7 @@ class CrawlResult:
     queue: DataFrame
     sources: DataFrame
     per_source: DataFrame
+    crawl_runs: DataFrame
 
 
 def apply_crawl(
@@ -338,4 +355,5 @@ def apply_crawl(
         queue=queue_entries(rows, queue, as_of, schema_version),
         sources=next_sources(sources, decisions, as_of),
         per_source=source_summary(rows, decisions),
+        crawl_runs=crawl_run_rows(decisions, as_of),
     )

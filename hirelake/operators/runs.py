@@ -134,14 +134,19 @@ def run_status(crawl_failures: Column, enrichment_failures: Column) -> Column:
     return F.when((crawl_failures > 0) | (enrichment_failures > 0), "partial_success").otherwise("success")
 
 
+TOKENS = ("input_tokens", "output_tokens", "thought_tokens", "cached_tokens", "total_tokens")
+
+
 def enrichment_summary(decided: DataFrame) -> DataFrame:
-    """Outcome counts and token sums of a run (decided rows with usage columns)."""
+    """Outcome counts and token sums of a run (decided rows with usage columns).
+
+    Tokens count wherever a call returned usage, also if its result was stale.
+    """
     outcome = F.col("outcome")
 
     def count(*names: str) -> Column:
         return F.count(F.when(outcome.isin(*names), 1))
 
-    tokens = ("input_tokens", "output_tokens", "thought_tokens", "cached_tokens", "total_tokens")
     return decided.agg(
         F.count(F.lit(1)).alias("processed"),
         count("completed", "failed").alias("model_calls"),
@@ -149,13 +154,17 @@ def enrichment_summary(decided: DataFrame) -> DataFrame:
         count("failed").alias("failed"),
         count("stale").alias("stale"),
         count("skipped_non_us").alias("skipped_non_us"),
-        *[F.coalesce(F.sum(F.when(outcome == "completed", F.col(t))), F.lit(0)).alias(t) for t in tokens],
+        *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TOKENS],
     )
 
 
+def has_usage() -> Column:
+    return F.coalesce(*TOKENS).isNotNull()
+
+
 def model_counts(decided: DataFrame) -> DataFrame:
     return (
-        decided.filter(F.col("outcome") == "completed")
+        decided.filter(has_usage())
         .groupBy(F.coalesce("model", F.lit("unknown")).alias("model"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

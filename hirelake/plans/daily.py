@@ -88,10 +88,10 @@ def enrich_run(
     facts = jobs.select(
         "job_id", "provider", "location", "employment_type", "workplace_type", "raw_payload", "description_text"
     )
-    ready = enrich.merge_trusted_facts(valid.join(completed, "queue_id").join(facts, "job_id"))
+    ready = settle(enrich.merge_trusted_facts(valid.join(completed, "queue_id").join(facts, "job_id")))
     return EnrichmentOutput(
         queue=queue_ops.apply_queue_outcomes(claimed, decided, as_of),
-        jobs=queue_ops.apply_job_outcomes(jobs, decided, as_of),
+        jobs=enrich.apply_legacy(queue_ops.apply_job_outcomes(jobs, decided, as_of), ready),
         enrichments=enrich.upsert_enrichments(enrichments, enrich.enrichment_rows(ready, as_of)),
         decided=decided,
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from hirelake.functions import scalar as fn
@@ -11,8 +9,9 @@ from hirelake.operators import canonical as canon, runs as run, search
 from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
 from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, SCHEMAS, cte, plain, snapshots, standin, table
-from hirelake.session import configure, shared_dir
-from hirelake.streaming.crawl_stream import daily_event_counts
+from hirelake.operators.lifecycle import JOB_SCHEMA, SOURCE_SCHEMA
+from hirelake.session import configure, cut_lineage, scratch
+from hirelake.streaming import crawl_stream
 
 _T = f"TIMESTAMP '{ORDERS_AS_OF}'"
 
@@ -408,15 +407,20 @@ def p26(spark, sf):
     return run.token_metrics(stages).select("event_id", "input_tokens", "thought_tokens", "ai_calls")
 
 
+def _used(tokens: str) -> str:
+    """Tokens of completed and stale results; other rows made no call that returned usage."""
+    return f"CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linestatus = 'F') THEN {tokens} END"
+
+
 _USAGE_COLUMNS = {
     "outcome": "CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'N' THEN CASE l_linestatus WHEN 'O' THEN 'failed' ELSE 'stale' END "
     "ELSE CASE l_linestatus WHEN 'O' THEN 'skipped_non_us' ELSE 'not_eligible' END END",
     "model": "CASE WHEN l_linenumber < 5 THEN 'model ' || CAST(l_linenumber AS STRING) END",
-    "input_tokens": "CAST(l_quantity AS BIGINT)",
-    "output_tokens": "CAST(l_quantity AS BIGINT) * 2",
-    "thought_tokens": "CAST(0 AS BIGINT)",
-    "cached_tokens": "CAST(1 AS BIGINT)",
-    "total_tokens": "CAST(l_quantity AS BIGINT) * 3",
+    "input_tokens": _used("CAST(l_quantity AS BIGINT)"),
+    "output_tokens": _used("CAST(l_quantity AS BIGINT) * 2"),
+    "thought_tokens": _used("CAST(0 AS BIGINT)"),
+    "cached_tokens": _used("CAST(1 AS BIGINT)"),
+    "total_tokens": _used("CAST(l_quantity AS BIGINT) * 3"),
 }
 _USAGE = ", ".join(f"{e} AS {c}" for c, e in _USAGE_COLUMNS.items())
 
@@ -431,7 +435,7 @@ def usage(spark, sf):
   count(*) FILTER (WHERE outcome IN ('completed', 'skipped_non_us', 'not_eligible')) AS completed, count(*) FILTER (WHERE outcome = 'failed') AS failed,
   count(*) FILTER (WHERE outcome = 'stale') AS stale, count(*) FILTER (WHERE outcome = 'skipped_non_us') AS skipped_non_us,
   """
-    + ", ".join(f"CAST(sum({c}) FILTER (WHERE outcome = 'completed') AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "thought_tokens", "cached_tokens", "total_tokens"))
+    + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "thought_tokens", "cached_tokens", "total_tokens"))
     + " FROM d",
 )
 def a16(spark, sf):
@@ -440,7 +444,7 @@ def a16(spark, sf):
 
 @query(
     "a16_model_counts",
-    f"WITH d AS (SELECT {_USAGE} FROM lineitem) SELECT coalesce(model, 'unknown') AS model, count(*) AS n FROM d WHERE outcome = 'completed' GROUP BY 1",
+    f"WITH d AS (SELECT {_USAGE} FROM lineitem) SELECT coalesce(model, 'unknown') AS model, count(*) AS n FROM d WHERE total_tokens IS NOT NULL GROUP BY 1",
 )
 def a16_models(spark, sf):
     return run.model_counts(usage(spark, sf))
@@ -465,23 +469,78 @@ def a26(spark, sf):
 
 @query(
     "r2_streamed_daily_counts",
-    """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events
-WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""",
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def r2(spark, sf):
     configure(spark)
-    folder = f"{shared_dir(spark)}/daily-counts-{uuid.uuid4().hex}"
+    folder = scratch(spark, "daily-counts")
     stream = (
         spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
         .selectExpr("ts AS occurred_at", "event_type")
     )
+
+    def store_days(changed, batch_id: int) -> None:
+        # One row per day and type and batch; the newest batch is the current count.
+        changed.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+
     started = (
-        daily_event_counts(stream)
-        .writeStream.outputMode("append")
+        crawl_stream.daily_event_counts(stream)
+        .writeStream.outputMode("update")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .format("parquet")
-        .start(f"{folder}/counts")
+        .foreachBatch(store_days)
+        .start()
     )
     started.awaitTermination()
-    return plain(spark.read.schema("day date, event_type string, n bigint").parquet(f"{folder}/counts"))
+    counts = spark.read.schema("day date, event_type string, n bigint, batch bigint").parquet(f"{folder}/counts")
+    return plain(counts.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n")))
+
+
+# Weekly crawls of three sources from the event table: a posting is a value of
+# ``k`` seen in the week, its content the least event type.  One crawl failed.
+_CRAWL_WEEKS = "user_id % 3 AS source_id, CAST(date_trunc('week', ts) AS DATE) AS week"
+_FAILED = "source_id = 1 AND week = DATE '2024-01-15'"
+_R1_SQL = f"""WITH seen AS (SELECT {_CRAWL_WEEKS}, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, min(event_type) AS hash FROM events GROUP BY 1, 2, 3),
+crawls AS (SELECT source_id, week, row_number() OVER (PARTITION BY source_id ORDER BY week) AS seq, count(*) OVER (PARTITION BY source_id) AS crawls
+  FROM (SELECT DISTINCT source_id, week FROM seen WHERE NOT ({_FAILED}))),
+steps AS (SELECT s.*, c.seq, c.crawls, lag(c.seq) OVER w AS before, lead(c.seq) OVER w AS after, lag(s.hash) OVER w AS old
+  FROM seen s JOIN crawls c USING (source_id, week) WINDOW w AS (PARTITION BY s.source_id, s.k ORDER BY c.seq))
+SELECT source_id, 'job ' || k AS external_job_id, max(seq) = max(crawls) AS active, arg_max(hash, seq) AS content_hash,
+  strftime(CAST(min(week) AS TIMESTAMP), '{TS}') AS first_seen_at, strftime(CAST(max(week) AS TIMESTAMP), '{TS}') AS last_seen_at,
+  count(*) FILTER (WHERE before IS NULL) AS created, count(*) FILTER (WHERE old <> hash) AS changed,
+  count(*) FILTER (WHERE before < seq - 1) AS reactivated,
+  count(*) FILTER (WHERE seq < crawls AND coalesce(after, 0) <> seq + 1) AS removed
+FROM steps GROUP BY source_id, k"""
+
+
+@query("r1_streamed_lifecycle", _R1_SQL)
+def r1(spark, sf):
+    folder = scratch(spark, "lifecycle")
+    folders = crawl_stream.Folders(f"{folder}/manifest", f"{folder}/postings", f"{folder}/sources", f"{folder}/state")
+    weeks = table(spark, sf, "events").selectExpr(*_CRAWL_WEEKS.split(", CAST", 1)[:1], "CAST(date_trunc('week', ts) AS DATE) AS week",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k", "event_type")
+    seen = weeks.groupBy("source_id", "week", "k").agg(F.min("event_type").alias("content_hash"))
+    seen = seen.withColumn("crawl_run_id", F.datediff("week", F.lit("2020-01-01")) * 10 + F.col("source_id"))
+    found = seen.groupBy("crawl_run_id", "source_id", "week").agg(F.count(F.lit(1)).alias("job_count"))
+    status = F.when(F.expr(_FAILED), "failed").otherwise("success")
+    manifest = found.withColumns({"status": status, "started_at": F.col("week").cast("timestamp"), "error": F.when(status == "failed", "HTTP 500")})
+    postings = seen.where(f"NOT ({_FAILED})").withColumns(
+        {"pos": F.col("k"), "external_job_id": F.concat(F.lit("job "), "k"), "title": F.col("content_hash"), "provider": F.lit("lever")}
+    )
+
+    def shaped(df, schema):
+        fields = [c.split() for c in schema.split(", ")]
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+
+    shaped(postings, crawl_stream.POSTING_SCHEMA).repartition(5).write.parquet(folders.postings)
+    shaped(manifest, crawl_stream.MANIFEST_SCHEMA).repartition(3).write.parquet(folders.manifest)
+    sources = spark.range(3).select(F.col("id").alias("source_id"), F.lit("active").alias("status"))
+    shaped(sources, SOURCE_SCHEMA).write.parquet(folders.sources)
+    crawl_stream.start_lifecycle(spark, folders, cut_lineage, parts=4, min_previous=1 << 40).awaitTermination()
+    jobs = crawl_stream.current_state(spark, folders, "jobs", JOB_SCHEMA, 0)
+    kinds = ("created", "changed", "reactivated", "removed")
+    events = spark.read.parquet(f"{folders.root}/events").groupBy("job_id").agg(
+        *[F.count(F.when(F.col("event_type") == kind, 1)).alias(kind) for kind in kinds]
+    )
+    columns = ("source_id", "external_job_id", "active", "content_hash", "first_seen_at", "last_seen_at")
+    return plain(jobs.join(events, "job_id", "left").select(*columns, *kinds))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -36,6 +39,26 @@ def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's own tables, below the shared one.  It is
+    removed when the session's program ends."""
+    folder = f"{shared_dir(spark, spark.sparkContext.getCheckpointDir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    atexit.register(_quietly, remove)
+    return folder
+
+
+def _quietly(action) -> None:
+    try:
+        action()
+    except Exception:  # the JVM has ended first; nothing can be removed through it
+        pass
+
+
 def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
     """Reliable checkpoint of a result that several outputs are derived from."""
     spark = df.sparkSession

@@ -93,17 +93,32 @@ def without(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, table: str) -> None:
-    """Publish ``df`` as the new version of a managed table that it may read from."""
+    """Publish ``df`` as the new version of a managed table that it may read from.
+
+    The old version is dropped only when the new one is in place; a run that
+    stops between the renames is undone by ``recover_table``.
+    """
     spark = df.sparkSession
+    recover_table(spark, table)
     staging, previous = f"{table}__next", f"{table}__previous"
     df.write.mode("overwrite").format("parquet").saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {previous}")
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} RENAME TO {previous}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
     spark.sql(f"DROP TABLE IF EXISTS {previous}")
 
 
+def recover_table(spark: SparkSession, table: str) -> None:
+    """Undo an interrupted ``replace_table``; call it before reading the table."""
+    previous = f"{table}__previous"
+    if not spark.catalog.tableExists(previous):
+        return
+    if spark.catalog.tableExists(table):
+        spark.sql(f"DROP TABLE {previous}")
+    else:
+        spark.sql(f"ALTER TABLE {previous} RENAME TO {table}")
+
+
 def append_rows(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Append history rows, partitioned by day where a column is given."""
     writer = df.write.mode("append")

@@ -1,80 +1,186 @@
-"""Structured Streaming over crawl batches and lifecycle events."""
+"""Structured Streaming over finished crawls and lifecycle events.
+
+A crawl is a row of the manifest, not a file: its postings may lie in any
+number of files, and a crawl that failed or found nothing has a row as well.
+A crawl is applied when all its postings have arrived, once, in the order of
+its source's crawls.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hirelake.operators.lifecycle import JOB_SCHEMA, QUEUE_SCHEMA, apply_crawl
+from hirelake.operators.lifecycle import JOB_SCHEMA, QUEUE_SCHEMA, SOURCE_SCHEMA, apply_crawl
 from hirelake.sources.store import read_rows
 
-BATCH_SCHEMA = (
-    "source_id bigint, crawl_run_id bigint, started_at timestamp, pos bigint, external_job_id string, "
+MANIFEST_SCHEMA = (
+    "crawl_run_id bigint, source_id bigint, status string, started_at timestamp, finished_at timestamp, "
+    "job_count bigint, error string"
+)
+POSTING_SCHEMA = (
+    "source_id bigint, crawl_run_id bigint, pos bigint, external_job_id string, "
     "provider string, company_id string, company string, title string, location string, employment_type string, "
     "workplace_type string, posted_at timestamp, posted_at_source string, description_text string, "
     "description_html string, job_url string, apply_url string, raw_payload string, content_hash string"
 )
+LEDGER_SCHEMA = "part int, version bigint"
+# Parts that the state is kept in, by a hash of the source.
+PARTS = 64
+
+
+@dataclass(frozen=True)
+class Folders:
+    """Where a stream reads and writes; all folders are shared by the executors."""
+
+    manifest: str
+    postings: str
+    sources: str  # the sources before the first crawl
+    root: str
+
+    def at(self, *names: object) -> str:
+        return "/".join([self.root, *map(str, names)])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def lifecycle_writer(spark: SparkSession, root: str, sources: str, cut=None) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: apply one micro-batch of postings.
+def _ledger(spark: SparkSession, folders: Folders, batch_id: int) -> dict[int, int]:
+    """Version of each part of the state after a batch: at most PARTS rows."""
+    if batch_id < 0:
+        return {}
+    return {r.part: r.version for r in read_rows(spark, folders.at("ledger", f"batch={batch_id}"), LEDGER_SCHEMA).collect()}
 
-    Version n of each table lives in ``batch=n`` and is computed from n-1 only,
-    and a batch's history rows go to a folder of that batch, so a batch that is
-    replayed after a lost driver rewrites the same result.  ``started_at`` of
-    the newest posting is the batch's ``as_of``.
+
+def _part(parts: int):
+    return F.pmod(F.xxhash64("source_id"), F.lit(parts)).cast("int")
+
+
+def lifecycle_writer(folders: Folders, cut, parts: int = PARTS, **options) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: apply the crawls of one micro-batch of the manifest.
+
+    Batch n is computed from the ledger of batch n-1 and writes folders of its
+    own before its ledger, so a batch that is replayed after a lost driver
+    writes the same again.  Only parts whose sources were crawled are rewritten;
+    versions that the last two ledgers do not name are removed.  ``cut``
+    (``session.cut_lineage``) settles what several outputs are derived from.
     """
 
-    def versioned(name: str, batch_id: int, schema: str) -> DataFrame:
-        if batch_id == 0:
+    def earlier(spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
+        if not _exists(spark, folders.at(name)):
             return spark.createDataFrame([], schema)
-        return read_rows(spark, f"{root}/{name}/batch={batch_id - 1}", schema)
-
-    def apply(postings: DataFrame, batch_id: int) -> None:
-        spark_ = postings.sparkSession
-        state = versioned("jobs", batch_id, JOB_SCHEMA)
-        queue = versioned("queue", batch_id, QUEUE_SCHEMA)
-        known = read_rows(spark_, f"{root}/sources/batch={batch_id - 1}" if batch_id else sources)
-        crawls = postings.groupBy("source_id").agg(
-            F.max("crawl_run_id").alias("crawl_run_id"),
-            F.max("started_at").alias("started_at"),
-            F.lit("success").alias("status"),
-            F.lit(None).cast("string").alias("error"),
+        rows = spark.read.schema(f"{schema}, batch bigint").parquet(folders.at(name))
+        return rows.where(F.col("batch") < batch_id).drop("batch")
+
+    def apply(manifest: DataFrame, batch_id: int) -> None:
+        spark = manifest.sparkSession
+        versions = _ledger(spark, folders, batch_id - 1)
+        columns = [c.split()[0] for c in MANIFEST_SCHEMA.split(", ")]
+        listed, arrived = _listed(
+            manifest.select(*columns).union(earlier(spark, "waiting", MANIFEST_SCHEMA, batch_id)),
+            earlier(spark, "crawl_runs", "crawl_run_id bigint", batch_id),
+            read_rows(spark, folders.postings, POSTING_SCHEMA),
+            parts,
         )
-        as_of = postings.agg(F.max("started_at")).first()[0]
-        if as_of is None:
-            raise ValueError("a crawl batch must carry started_at")
-        batch = postings.drop("crawl_run_id", "started_at")
-        result = apply_crawl(state, batch, crawls, known, queue, as_of, cut=cut)
-        outputs = {"jobs": result.jobs, "events": result.events, "versions": result.versions}
-        outputs["queue"] = queue.unionByName(result.queue, allowMissingColumns=True)
-        outputs["sources"] = result.sources
-        for name, rows in outputs.items():
-            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        listed = cut(listed)
+        listed.where("not _ready").select(*columns).write.mode("overwrite").parquet(folders.at("waiting", f"batch={batch_id}"))
+        ready = listed.where("_ready")
+        touched = sorted(r.part for r in ready.select("part").distinct().collect())
+
+        def state(name: str, schema: str) -> DataFrame:
+            known = [folders.at(name, f"v={versions[p]}", f"part={p}") for p in touched if p in versions]
+            known = [path for path in known if _exists(spark, path)]  # a part may have no jobs
+            return spark.read.schema(schema).parquet(*known) if known else spark.createDataFrame([], schema)
+
+        jobs, sources = state("jobs", JOB_SCHEMA), state("sources", SOURCE_SCHEMA)
+        first = spark.read.parquet(folders.sources).where(_part(parts).isin([p for p in touched if p not in versions]))
+        sources = sources.unionByName(first, allowMissingColumns=True).select(*sources.columns)
+        queue = earlier(spark, "queue", QUEUE_SCHEMA, batch_id)
+        rounds = ready.agg(F.max("_round")).first()[0] or 0
+        for number in range(1, rounds + 1):
+            crawls = ready.where(F.col("_round") == number).select("source_id", "crawl_run_id", "started_at", "status", "error")
+            wanted = crawls.where("status = 'success'").select("crawl_run_id")
+            batch = arrived.join(wanted, "crawl_run_id", "left_semi").drop("crawl_run_id")
+            # Each source's rows are dated by its own crawl.
+            done = apply_crawl(jobs, batch, crawls, sources, queue, F.col("started_at"), cut=cut, **options)
+            jobs, sources, added = cut(done.jobs), cut(done.sources), cut(done.queue)
+            queue = queue.unionByName(added, allowMissingColumns=True)
+            history = {"events": done.events, "versions": done.versions, "queue": added, "crawl_runs": done.crawl_runs}
+            for name, rows in history.items():
+                rows.write.mode("overwrite" if number == 1 else "append").parquet(folders.at(name, f"batch={batch_id}"))
+        for name, table in (("jobs", jobs), ("sources", sources)):
+            if touched:
+                dealt = table.withColumn("part", _part(parts))
+                dealt.write.mode("overwrite").partitionBy("part").option("partitionOverwriteMode", "static").parquet(
+                    folders.at(name, f"v={batch_id}")
+                )
+        current = versions | {p: batch_id for p in touched}
+        ledger = spark.createDataFrame(sorted(current.items()), LEDGER_SCHEMA)
+        ledger.coalesce(1).write.mode("overwrite").parquet(folders.at("ledger", f"batch={batch_id}"))
+        # Versions that neither this ledger nor the one before names are no longer read.
+        kept = {*versions.items(), *current.items()}
+        for p in touched:
+            for old in range(batch_id):
+                for name in ("jobs", "sources"):
+                    if (p, old) not in kept and _exists(spark, path := folders.at(name, f"v={old}", f"part={p}")):
+                        _remove(spark, path)
 
     return apply
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of posting files, one file per trigger so that one crawl is one batch."""
-    return spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+def _listed(rows: DataFrame, applied: DataFrame, postings: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(crawls not applied yet with _ready, _round and part; their postings).
+
+    A crawl is complete when as many postings have arrived as it counts; a
+    source's later crawls wait for its earlier ones.
+    """
+    fresh = rows.dropDuplicates(["crawl_run_id"]).join(applied.distinct(), "crawl_run_id", "left_anti")
+    arrived = postings.join(fresh.select("crawl_run_id"), "crawl_run_id", "left_semi")
+    counts = arrived.groupBy("crawl_run_id").agg(F.count("*").alias("_arrived"))
+    complete = (F.col("status") != "success") | (F.coalesce("_arrived", F.lit(0)) >= F.coalesce("job_count", F.lit(0)))
+    order = Window.partitionBy("source_id").orderBy("started_at", "crawl_run_id")
+    listed = (
+        fresh.join(counts, "crawl_run_id", "left")
+        .withColumn("_ready", F.min(complete.cast("int")).over(order) == 1)
+        .withColumn("_round", F.row_number().over(order))
+        .withColumn("part", _part(parts))
+        .drop("_arrived")
+    )
+    return listed, arrived
 
 
-def start_lifecycle(spark: SparkSession, batches: str, root: str, sources: str, cut=None) -> StreamingQuery:
-    """Process every available crawl file, then stop; restarts continue from the checkpoint."""
+def start_lifecycle(spark: SparkSession, folders: Folders, cut, **options) -> StreamingQuery:
+    """Apply every crawl that the manifest lists, then stop; restarts go on from the checkpoint."""
     return (
-        read_batches(spark, batches)
-        .writeStream.foreachBatch(lifecycle_writer(spark, root, sources, cut))
-        .option("checkpointLocation", f"{root}/checkpoint")
+        spark.readStream.schema(MANIFEST_SCHEMA)
+        .parquet(folders.manifest)
+        .writeStream.foreachBatch(lifecycle_writer(folders, cut, **options))
+        .option("checkpointLocation", folders.at("checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
 
 
+def current_state(spark: SparkSession, folders: Folders, name: str, schema: str, batch_id: int) -> DataFrame:
+    """The jobs or sources after a batch."""
+    places = [folders.at(name, f"v={v}", f"part={p}") for p, v in _ledger(spark, folders, batch_id).items()]
+    places = [p for p in places if _exists(spark, p)]
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
 def daily_event_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Events per UTC day and type; a day is final once ``lateness`` has passed."""
+    """Events per UTC day and type, for update mode: a day is published at once
+    and corrected until ``lateness`` has passed."""
     return (
         events.withWatermark("occurred_at", lateness)
         .groupBy(F.window("occurred_at", "1 day").alias("w"), "event_type")

@@ -16,7 +16,15 @@ from hirelake.plans import daily
 from hirelake.session import cut_lineage
 from hirelake.sources import inventory as src, store
 from hirelake.sources.payloads import with_content_hash
-from hirelake.streaming.crawl_stream import BATCH_SCHEMA, daily_event_counts, start_lifecycle
+from hirelake.operators.lifecycle import JOB_SCHEMA
+from hirelake.streaming.crawl_stream import (
+    MANIFEST_SCHEMA,
+    POSTING_SCHEMA,
+    Folders,
+    current_state,
+    daily_event_counts,
+    start_lifecycle,
+)
 
 NOW = "2026-10-06 12:00:00"
 LATER = "2026-10-07 12:00:00"
@@ -128,7 +136,7 @@ def crawl_day(spark, bodies, state, sources, companies, queue, as_of, run):
     )
     crawls = boards.selectExpr("source_id", "crawl_run_id", f"TIMESTAMP '{as_of}' AS started_at")
     out = daily.crawl(boards, crawls, state, sources, companies, queue, as_of, cut=cut)
-    names = ("jobs", "events", "versions", "queue", "sources", "per_source")
+    names = ("jobs", "events", "versions", "queue", "sources", "per_source", "crawl_runs")
     return daily.CrawlOutput(life.CrawlResult(**{n: cut(getattr(out.result, n)) for n in names}), out.companies, out.quarantine)
 
 
@@ -387,20 +395,74 @@ def test_quality_rules_treat_unknown_as_passing(spark):
 # --- streams ----------------------------------------------------------------
 
 
-def test_lifecycle_stream(spark, tmp_path):
-    def posting(day, title, ids):
+def crawl_folders(spark, tmp_path, name, crawls, files):
+    """Manifest, postings and sources of crawls (run, source, day, status, titles by job number)."""
+    folders = Folders(*(str(tmp_path / name / x) for x in ("manifest", "postings", "sources", "state")))
+    spark.createDataFrame([(1, "active"), (2, "active")], "source_id bigint, status string").write.parquet(folders.sources)
+    postings, rows = [], []
+    for run, source, day, status, found in crawls:
         at = datetime(2026, 10, day, 9)
-        return [(1, day, at, i, f"j{i}", "lever", "c1", "Acme", title, "Austin, TX", None, None, at, "feed", "text", None, None, None, "{}", f"{title}-{i}") for i in ids]
-
-    batches, root = str(tmp_path / "batches"), str(tmp_path / "state")
-    sources = str(tmp_path / "sources")
-    spark.createDataFrame([(1, "active", None, None, None, None, None, None, 0, None)], SOURCES).write.parquet(sources)
-    for day, title, ids in ((5, "A", range(30)), (6, "B", range(1, 31))):
-        spark.createDataFrame(posting(day, title, ids), BATCH_SCHEMA).coalesce(1).write.mode("append").parquet(batches)
-        start_lifecycle(spark, batches, root, sources).awaitTermination()
-    events = spark.read.parquet(f"{root}/events").groupBy("batch", "event_type").count().collect()
-    assert {(e["batch"], e["event_type"]): e["count"] for e in events} == {(0, "created"): 30, (1, "created"): 1, (1, "changed"): 29, (1, "removed"): 1}
-    assert spark.read.parquet(f"{root}/jobs/batch=1").filter("active").count() == 30
+        rows.append((run, source, status, at, at, len(found), None if status == "success" else "HTTP 500"))
+        postings += [(source, run, i, f"j{i}", "lever", "c1", "Acme", title, "Austin, TX", None, None, at, "feed", "text", None, None, None, "{}", f"{title}-{i}") for i, title in found.items()]
+    return folders, spark.createDataFrame(rows, MANIFEST_SCHEMA), spark.createDataFrame(postings, POSTING_SCHEMA).repartition(files)
+
+
+def test_lifecycle_stream_goes_by_crawl(spark, tmp_path):
+    day5, day6 = {i: "A" for i in range(30)}, {i: "B" for i in range(1, 31)}
+    crawls = [
+        (51, 1, 5, "success", day5), (52, 2, 5, "success", {1: "A"}), (61, 1, 6, "success", day6), (62, 2, 6, "failed", {}),
+        (72, 2, 7, "success", {}), (82, 2, 8, "success", {1: "A", 2: "A"}),
+    ]
+    seen = []
+    for files in (1, 7):
+        folders, manifest, postings = crawl_folders(spark, tmp_path, f"f{files}", crawls, files)
+        postings.write.parquet(folders.postings)
+        for part in (manifest.filter("crawl_run_id < 60"), manifest.filter("crawl_run_id < 70"), manifest):  # crawls listed again
+            part.coalesce(1).write.mode("append").parquet(folders.manifest)
+            start_lifecycle(spark, folders, lambda df: cut_lineage(df, SCRATCH), parts=2).awaitTermination()
+        events = spark.read.parquet(f"{folders.root}/events")
+        jobs = current_state(spark, folders, "jobs", JOB_SCHEMA, 2)
+        state = sorted(tuple(r) for r in jobs.select("source_id", "external_job_id", "active", "title", "last_seen_crawl_id").collect())
+        counts = sorted((r["crawl_run_id"], r["event_type"], r["count"]) for r in events.groupBy("crawl_run_id", "event_type").count().collect())
+        runs = sorted((r["crawl_run_id"], r["status"], r["job_count"], r["deactivation_skipped"]) for r in spark.read.parquet(f"{folders.root}/crawl_runs").collect())
+        seen.append((state, counts, runs))
+    assert seen[0] == seen[1]
+    state, counts, runs = seen[0]
+    assert counts == [(51, "created", 30), (52, "created", 1), (61, "changed", 29), (61, "created", 1), (61, "removed", 1), (82, "created", 1)]
+    assert sum(active for _, _, active, _, _ in state) == 32 and len(state) == 33
+    assert runs == [(51, "success", 30, False), (52, "success", 1, False), (61, "success", 30, False), (62, "failed", None, False), (72, "success", 0, True), (82, "success", 2, False)]
+    # Old versions of rewritten parts are gone, others stay readable.
+    assert current_state(spark, folders, "sources", "source_id bigint, consecutive_failures int", 2).count() == 2
+
+
+def test_incomplete_crawl_waits(spark, tmp_path):
+    crawls = [(51, 1, 5, "success", {i: "A" for i in range(10)}), (61, 1, 6, "success", {0: "A"})]
+    folders, manifest, postings = crawl_folders(spark, tmp_path, "late", crawls, 2)
+    postings.filter("crawl_run_id = 61 OR pos < 6").write.parquet(folders.postings)
+    manifest.coalesce(1).write.parquet(folders.manifest)
+    cut = lambda df: cut_lineage(df, SCRATCH)
+    start_lifecycle(spark, folders, cut, parts=2).awaitTermination()
+    assert current_state(spark, folders, "jobs", JOB_SCHEMA, 0).isEmpty()
+    postings.filter("crawl_run_id = 51 AND pos >= 6").write.mode("append").parquet(folders.postings)
+    manifest.filter("crawl_run_id = 51").coalesce(1).write.mode("append").parquet(folders.manifest)
+    start_lifecycle(spark, folders, cut, parts=2, min_previous=1000).awaitTermination()
+    assert current_state(spark, folders, "jobs", JOB_SCHEMA, 1).filter("active").count() == 1
+
+
+def test_interrupted_publication_keeps_a_version(spark):
+    old, new = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(2,)], "id int")
+    store.replace_table(old, "kept")
+    # Stopped between the two renames: only the previous version has a name.
+    new.write.mode("overwrite").saveAsTable("kept__next")
+    spark.sql("ALTER TABLE kept RENAME TO kept__previous")
+    store.recover_table(spark, "kept")
+    assert [r["id"] for r in spark.table("kept").collect()] == [1]
+    # Stopped before the last drop.
+    old.write.saveAsTable("kept__previous")
+    store.replace_table(spark.table("kept").union(new), "kept")
+    assert sorted(r["id"] for r in spark.table("kept").collect()) == [1, 2]
+    assert not spark.catalog.tableExists("kept__previous")
+    spark.sql("DROP TABLE kept")
 
 
 def test_daily_counts_wait_for_late_events(spark, tmp_path):
