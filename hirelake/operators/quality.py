@@ -27,10 +27,6 @@ def between(name: str, low: float, high: float) -> Column:
     return F.col(name).isNull() | F.col(name).between(low, high)
 
 
-def json_array(name: str) -> Column:
-    return F.json_array_length(F.col(name)).isNotNull()
-
-
 QUEUE_RULES = {
     "queue_status": lambda: one_of("status", QUEUE_STATUSES),
     "queue_priority": lambda: F.col("priority").between(1, 3),

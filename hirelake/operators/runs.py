@@ -42,10 +42,13 @@ def crawl_rows(crawls: DataFrame, sources: DataFrame, companies: DataFrame, as_o
     return with_duration(crawls, as_of).join(owners, "source_id", "left")
 
 
+def crawl_warned() -> Column:
+    return (F.coalesce("warning", F.lit("")) != "") | F.coalesce("deactivation_skipped", F.lit(False))
+
+
 def crawl_class() -> Column:
     failed = F.coalesce(F.col("status") == "failed", F.lit(False)) | (F.coalesce("error", F.lit("")) != "")
-    warned = (F.coalesce("warning", F.lit("")) != "") | F.coalesce("deactivation_skipped", F.lit(False))
-    return F.when(failed, "failed").when(warned, "warning").otherwise("success")
+    return F.when(failed, "failed").when(crawl_warned(), "warning").otherwise("success")
 
 
 def filter_crawls(crawls: DataFrame, kind: str = "all", query: str = "") -> DataFrame:
@@ -100,11 +103,6 @@ def run_history(runs: DataFrame) -> DataFrame:
     )
 
 
-def warning_crawls(crawls: DataFrame) -> DataFrame:
-    warned = (F.coalesce("warning", F.lit("")) != "") | F.coalesce("deactivation_skipped", F.lit(False))
-    return crawls.agg(F.count(F.when(warned, 1)).alias("warning_crawls"))
-
-
 def failed_operations() -> Column:
     return F.coalesce("sources_failed", F.lit(0)) + F.coalesce("enrichments_failed", F.lit(0))
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import hiring_stats as stats_ops, snapshots as snap, trends as trend
 from hirelake.plans.registry import query
+from hirelake.session import scratch
+from hirelake.sources import store
 from hirelake.plans.standins import (
     EVENTS_AS_OF,
     EVENTS_LATE_AS_OF,
@@ -174,6 +176,68 @@ def o1(spark, sf):
     return plain(ranked.select(*_LIST.split(", ")))
 
 
+@query(
+    "o1_company_total",
+    stats_sql("sparse_companies", "order_jobs", ORDERS_AS_OF)
+    + " SELECT count(*) AS total FROM sparse_companies JOIN stats USING (company_id) WHERE is_publishable",
+)
+def o1_total(spark, sf):
+    return stats_ops.count_published(standin(spark, sf, "sparse_companies"), order_stats(spark, sf))
+
+
+_REFRESHED = "company_id, current_open_jobs, total_jobs_seen, posted_today, posted_last_7_days, active_30_plus_days, is_publishable"
+
+
+@query(
+    "s13_one_company_refreshed",
+    "SELECT * FROM ("
+    + stats_sql("companies", "jobs", EVENTS_AS_OF)
+    + f" SELECT {_REFRESHED} FROM companies JOIN stats USING (company_id)) WHERE company_id <> 7 UNION ALL SELECT * FROM ("
+    + stats_sql("companies", "jobs", EVENTS_LATE_AS_OF)
+    + f" SELECT {_REFRESHED} FROM companies JOIN stats USING (company_id)) WHERE company_id = 7",
+)
+def s13(spark, sf):
+    companies, jobs = standin(spark, sf, "companies"), standin(spark, sf, "jobs")
+    later = stats_ops.hiring_stats(companies, jobs, EVENTS_LATE_AS_OF, 7)
+    merged = stats_ops.merge_stats(event_stats(spark, sf), later)
+    return plain(merged.select(*_REFRESHED.split(", ")))
+
+
+# Snapshot days stored, then two of them computed anew and published again.
+_REWRITTEN = "snapshot_date IN (DATE '2024-01-10', DATE '2024-01-11')"
+
+
+@query(
+    "s12_published_days",
+    cte("snapshots")
+    + f"""SELECT company_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date,
+  total_open_jobs + CASE WHEN {_REWRITTEN} THEN 1000 ELSE 0 END AS total_open_jobs, new_jobs
+FROM snapshots WHERE NOT ({_REWRITTEN} AND company_id % 2 = 0)""",
+)
+def s12(spark, sf):
+    days = snapshots(spark, sf).select("company_id", "snapshot_date", "total_open_jobs", "new_jobs")
+    path = scratch(spark, "snapshots")
+    store.publish_days(days, path)
+    again = days.where(f"{_REWRITTEN} AND company_id % 2 = 1").withColumn("total_open_jobs", F.col("total_open_jobs") + 1000)
+    store.publish_days(again, path)
+    schema = "company_id bigint, total_open_jobs bigint, new_jobs bigint, snapshot_date date"
+    return plain(store.read_rows(spark, path, schema))
+
+
+@query(
+    "s14_appended_rows",
+    cte("job_events") + "SELECT job_id, event_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at, metadata FROM job_events",
+)
+def s14(spark, sf):
+    events, path = standin(spark, sf, "job_events"), scratch(spark, "events")
+    events = events.withColumn("occurred_on", F.to_date("occurred_at"))
+    # Two crawls' rows, appended one after the other to the same days.
+    for half in (0, 1):
+        store.append_rows(events.where(F.pmod("job_id", F.lit(2)) == half), path, "occurred_on")
+    schema = "job_id bigint, event_type string, occurred_at timestamp, metadata string, occurred_on date"
+    return plain(store.read_rows(spark, path, schema).drop("occurred_on"))
+
+
 @query(
     "j20_published_companies",
     stats_sql("sparse_companies", "order_jobs", ORDERS_AS_OF)

@@ -724,7 +724,8 @@ def l14(spark, sf):
 
 # Stand-in for extraction results: by price, valid, failed for good, or failed for now.
 _RESULTS = {
-    "queue_id": "CAST(o_orderkey AS STRING)",
+    # Some rows have no result yet.
+    "queue_id": "CASE WHEN o_totalprice > 20000 THEN CAST(o_orderkey AS STRING) END",
     "is_valid": "o_totalprice < 300000",
     "error": "CASE WHEN o_totalprice >= 300000 THEN 'no answer' END",
     "error_class": "CASE WHEN o_totalprice >= 300000 THEN 'Timeout' END",
@@ -735,7 +736,7 @@ _OUTCOME_SQL = (
     _DECIDED_SQL
     + ", results AS (SELECT "
     + ", ".join(f"{e} AS r_{c}" for c, e in _RESULTS.items())
-    + """ FROM orders WHERE o_totalprice > 20000),
+    + """ FROM orders),
 final AS (SELECT d.*, r.*, CASE WHEN first = 'apply' AND r_is_valid THEN 'completed' WHEN first = 'apply' AND NOT r_is_valid THEN 'failed' ELSE first END AS outcome
   FROM reasons d LEFT JOIN results r ON r_queue_id = queue_id),
 ends AS (SELECT *, attempts >= 5 OR (outcome = 'failed' AND NOT coalesce(r_retryable, TRUE)) AS terminal,
@@ -745,9 +746,7 @@ ends AS (SELECT *, attempts >= 5 OR (outcome = 'failed' AND NOT coalesce(r_retry
 
 
 def final_outcomes(spark, sf):
-    results = (
-        table(spark, sf, "orders").filter("o_totalprice > 20000").selectExpr(*[f"{e} AS {c}" for c, e in _RESULTS.items()])
-    )
+    results = table(spark, sf, "orders").selectExpr(*[f"{e} AS {c}" for c, e in _RESULTS.items()])
     return q.attach_results(q.decide(*queue_and_jobs(spark, sf), ORDERS_AS_OF), results)
 
 

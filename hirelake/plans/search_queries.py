@@ -357,10 +357,8 @@ def f18(spark, sf):
 )
 def c04(spark, sf):
     kinds = standin(spark, sf, "crawls").withColumn("crawl_class", run.crawl_class())
-    warned = (F.coalesce("warning", F.lit("")) != "") | F.col("deactivation_skipped")
-    return kinds.groupBy("crawl_class").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(warned, 1)).alias("warning_crawls")
-    )
+    warned = F.count(F.when(run.crawl_warned(), 1)).alias("warning_crawls")
+    return kinds.groupBy("crawl_class").agg(F.count(F.lit(1)).alias("n"), warned)
 
 
 @query(

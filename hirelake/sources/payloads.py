@@ -28,6 +28,14 @@ def read_boards(spark: SparkSession, path: str, provider: str) -> DataFrame:
     )
 
 
+def of_sources(boards: DataFrame, sources: DataFrame, crawl_run_id: int) -> DataFrame:
+    """Responses of known boards with their source and the crawl they belong to."""
+    known = sources.select("source_id", "provider", F.col("board_id").alias("board"))
+    return boards.join(known, ["provider", "board"]).select(
+        "source_id", F.lit(crawl_run_id).cast("bigint").alias("crawl_run_id"), "provider", "board", "body"
+    )
+
+
 def posting_list(provider: Column, body: Column) -> Column:
     """JSON text of the postings array of a response, NULL when it has none."""
     listed = F.when(provider == "lever", body).otherwise(F.get_json_object(body, "$.jobs"))
