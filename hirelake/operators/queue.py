@@ -273,14 +273,17 @@ def decide(batch: DataFrame, jobs: DataFrame, as_of) -> DataFrame:
     )
 
 
-def run_batch(queue: DataFrame, jobs: DataFrame, as_of, budget: int, **options) -> DataFrame:
+def run_batch(queue: DataFrame, jobs: DataFrame, as_of, budget: int, cut=None, **options) -> DataFrame:
     """Due rows, decided, up to the one that uses the last of the extraction budget.
 
     Only rows that reach extraction use the budget; rows settled before it
-    (stale, not eligible, out of scope) are processed on the way.
+    (stale, not eligible, out of scope) are processed on the way.  ``cut``
+    (``session.cut_lineage``) settles the decisions, which are read twice.
     """
     turn = F.struct("priority", "created_at", "queue_id")
     decided = decide(due(queue, jobs, as_of, **options), jobs, as_of).withColumn("_turn", turn)
+    if cut is not None:
+        decided = cut(decided)
     chosen = decided.filter(F.col("outcome") == "apply").select("_turn").orderBy("_turn").limit(budget)
     last = chosen.agg(F.max("_turn").alias("_last"), F.count(F.lit(1)).alias("_used"))
     within = (F.col("_used") < budget) | (F.col("_turn") <= F.col("_last"))

@@ -62,7 +62,7 @@ def enrich_run(
     settle = cut or (lambda df: df)
     jobs = settle(queue_ops.expire_jobs(jobs, as_of))
     queue = settle(queue_ops.expire_queue(queue, jobs, as_of))
-    batch = settle(queue_ops.run_batch(queue, jobs, as_of, budget, **options))
+    batch = settle(queue_ops.run_batch(queue, jobs, as_of, budget, cut=cut, **options))
     claimed = queue_ops.mark_claimed(queue, batch, as_of)
     working = batch.withColumn("attempts", batch["attempts"] + 1)
     valid, rejected = enrich.split_checked(settle(enrich.check_records(extracted.filter("data IS NOT NULL"))))
