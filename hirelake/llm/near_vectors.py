@@ -70,9 +70,8 @@ def _ranges(size: int, cosine: float) -> list[int]:
     return out
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    x = rows / np.abs(rows).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -81,17 +80,17 @@ def _cells(classes: DataFrame, cosine: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
-            turned: list = [None] * len(vectors)
-            cells: list = [None] * len(vectors)
-            lengths = np.array([len(v) for v in vectors])
+            turned: list = [None] * batch.num_rows
+            cells: list = [None] * batch.num_rows
+            lengths = pa.compute.list_value_length(batch.column(2)).to_numpy()
             for size in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == size)
-                y = np.rint(_unit([vectors[r] for r in rows]) @ _rotation(size) * SCALE).astype(np.int16)
+                own = _matrix(pa.chunked_array([batch.column(2).take(pa.array(rows))]), size)
+                y = np.rint(_unit(own) @ _rotation(size) * SCALE).astype(np.int16)
                 # As wide as the range, so that a range spans two cells at most.
                 wide = [max(1, math.ceil(math.sqrt(r))) for r in _ranges(size, cosine)]
-                own = np.stack([y[:, b.start] // w for b, w in zip(_blocks(size), wide, strict=True)], axis=1)
-                for r, row, cell in zip(rows.tolist(), y, own, strict=True):
+                cell_of = np.stack([y[:, b.start] // w for b, w in zip(_blocks(size), wide, strict=True)], axis=1)
+                for r, row, cell in zip(rows.tolist(), y, cell_of, strict=True):
                     turned[r], cells[r] = row.tobytes(), cell.tolist()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lengths, pa.int32()), pa.array(turned, pa.binary()), pa.array(cells, pa.list_(pa.int32()))],
@@ -145,21 +144,30 @@ def _dealt(cells: DataFrame, tile: int) -> DataFrame:
     )
 
 
+def _matrix(vectors: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Vectors of one length, none null, as rows."""
+    values = np.asarray(vectors.combine_chunks().flatten())
+    return values.reshape(-1, size).astype(np.float64)
+
+
 class _Side:
-    """The vectors on one side of a task."""
+    """The vectors on one side of a task, by their first coordinate in the block."""
 
-    def __init__(self, data: pa.Table, size: int):
-        self.ids = data.column("class").to_numpy()
-        self.copies = data.column("copies").to_numpy()
-        self.unit = _unit(data.column("vector").to_pylist())
-        self.turned = np.frombuffer(b"".join(data.column("turned").to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
+    def __init__(self, data: pa.Table, size: int, block: slice):
+        turned = np.frombuffer(b"".join(data.column("turned").to_pylist()), np.int16).reshape(-1, size)
+        order = np.argsort(turned[:, block.start], kind="stable")
+        self.ids = data.column("class").to_numpy()[order]
+        self.copies = data.column("copies").to_numpy()[order]
+        self.unit = _unit(_matrix(data.column("vector"), size)[order])
+        self.turned = turned[order].astype(np.float32)
+        self.first = self.turned[:, block.start]
 
     def left(self, block: slice, rows: slice) -> np.ndarray:
         y = self.turned[rows, block]
         return np.concatenate([y, (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1), np.float32)], axis=1)
 
-    def right(self, block: slice) -> np.ndarray:
-        y = self.turned[:, block]
+    def right(self, block: slice, rows: slice = slice(None)) -> np.ndarray:
+        y = self.turned[rows, block]
         return np.concatenate([-2 * y, np.ones((len(y), 1), np.float32), (y * y).sum(axis=1, keepdims=True)], axis=1).T
 
 
@@ -167,22 +175,29 @@ def _meet(a: _Side, b: _Side, size: int, block: int, cosine: float) -> Iterator[
     """Index pairs linked whose first block within its range is ``block``; of a
     side with itself, each pair once."""
     blocks, ranges = _blocks(size), _ranges(size, cosine)
-    right = b.right(blocks[block])
+    right, reach = b.right(blocks[block]), math.sqrt(ranges[block])
     for at in range(0, len(a.ids), ROWS):
         rows = slice(at, min(at + ROWS, len(a.ids)))
-        near = a.left(blocks[block], rows) @ right <= ranges[block]
+        # Only columns whose first coordinate is within the range of some row's.
+        begin = at if a is b else int(np.searchsorted(b.first, a.first[at] - reach))
+        end = int(np.searchsorted(b.first, a.first[rows.stop - 1] + reach, "right"))
+        if begin >= end:
+            continue
+        near = a.left(blocks[block], rows) @ right[:, begin:end] <= ranges[block]
         if a is b:
-            near &= np.arange(len(b.ids)) > np.arange(rows.start, rows.stop)[:, None]
+            square = rows.stop - at
+            near[:, :square] &= ~np.tri(square, min(square, end - begin), dtype=bool)
         count = np.count_nonzero(near)
         if count > DENSE * near.size:
+            columns = slice(begin, end)
             for earlier in range(block):
-                near &= a.left(blocks[earlier], rows) @ b.right(blocks[earlier]) > ranges[earlier]
-            near &= a.unit[rows] @ b.unit.T >= cosine
-            i, j = np.nonzero(near)
-            yield i + at, j
+                near &= a.left(blocks[earlier], rows) @ b.right(blocks[earlier], columns) > ranges[earlier]
+            near &= a.unit[rows] @ b.unit[columns].T >= cosine
+            i, j = np.divmod(np.flatnonzero(near), end - begin)
+            yield i + at, j + begin
         elif count:
-            i, j = np.nonzero(near)
-            i += at
+            i, j = np.divmod(np.flatnonzero(near), end - begin)
+            i, j = i + at, j + begin
             for earlier in range(block):
                 apart = ((a.turned[i, blocks[earlier]] - b.turned[j, blocks[earlier]]) ** 2).sum(axis=1) > ranges[earlier]
                 i, j = i[apart], j[apart]
@@ -196,7 +211,9 @@ def _found(cells: DataFrame, cosine: float, tile: int) -> DataFrame:
 
     def run(key: tuple, data: pa.Table) -> pa.Table:
         size, block = key[0].as_py(), key[1].as_py()
-        sides = [_Side(part, size) if len(part := data.filter(pa.compute.equal(data["side"], s))) else None for s in (0, 1, 2)]
+        lead = _blocks(size)[block]
+        parts = [data.filter(pa.compute.equal(data["side"], s)) for s in (0, 1, 2)]
+        sides = [_Side(part, size, lead) if len(part) else None for part in parts]
         mine, second, other = sides
         tile_of_itself = key[3].as_py() == key[4].as_py()
         edges_a, edges_b, held = [], [], 0
