@@ -60,12 +60,13 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     pick = Window.partitionBy("lang").orderBy("at", "sample")
     # Digests are even: those beyond twice the share that is wanted go before the ranking.
-    share = labelled.groupBy("lang").agg((F.lit(2.0 * SAMPLE_ROWS) / F.count("*")).alias("share"))
-    least = (F.col("share") - 0.5) * float(1 << 64)
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, (2.0 * SAMPLE_ROWS / n - 0.5) * 2.0**64)])
     sample = (
         labelled.select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, SAMPLE_CHARS).alias("sample"))
-        .join(share, "lang")
-        .where(F.col("at") <= least)
+        .where(F.col("at") <= F.element_at(bound, F.col("lang")))
         .withColumn("place", F.row_number().over(pick))
         .where(F.col("place") <= SAMPLE_ROWS)
     )
