@@ -2,8 +2,9 @@
 
 Documents that share line hashes are paired, a pair is aligned by patience
 diff over its lines, and blocks of consecutive aligned lines that hold enough
-words are deleted from the later document (the one of larger doc_id).  The
-earliest copy of a block is never deleted.
+words are deleted from the later document (the one of larger doc_id); so are
+blocks that have moved, which no one alignment can hold.  The earliest copy of
+a block is never deleted.
 
 A rare line pairs every two of its holders.  Any other line pairs each holder
 with the earliest one, so that a line costs about as many pairs as it has
@@ -86,23 +87,44 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Line numbers of ``a`` in blocks of aligned lines, consecutive on both
-    sides, that hold at least ``least`` words together."""
+def _runs(matches: list[tuple[int, int]], words: list[int], least: int) -> list[int]:
+    """Line numbers of the runs of matches, consecutive on both sides, with enough words."""
     out: list[int] = []
-    block: list[int] = []
+    run: list[int] = []
     size, then = 0, (-2, -2)
-    for i, j in [*patience(a, b), (-1, -1)]:
+    for i, j in [*matches, (-1, -1)]:
         if (i - 1, j - 1) != then:
             if size >= least:
-                out += block
-            block, size = [], 0
-        block.append(i)
+                out += run
+            run, size = [], 0
+        run.append(i)
         size += words[i] if i >= 0 else 0
         then = (i, j)
     return out
 
 
+def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
+    """Line numbers of ``a`` in blocks of lines, consecutive on both sides, that
+    hold at least ``least`` words together: blocks that patience diff aligns,
+    and blocks of the other lines that stand elsewhere in ``b``."""
+    aligned = patience(a, b)
+    out = _runs(aligned, words, least)
+    here, there = {i for i, _ in aligned}, {j for _, j in aligned}
+    place: dict[int, int] = {}
+    for j, x in enumerate(b):
+        if j not in there and x:
+            place.setdefault(x, j)
+    i = 0
+    while i < len(a):
+        moved, j = [], place.get(a[i], -1) if i not in here else -1
+        while 0 <= j < len(b) and i < len(a) and i not in here and j not in there and a[i] == b[j]:
+            moved.append((i, j))
+            i, j = i + 1, j + 1
+        out += _runs(moved, words, least)
+        i += not moved
+    return sorted(out)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key: their id (null: the least) and a digest of the text."""
     return docs.withColumns(
@@ -135,7 +157,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _pairs(lines: DataFrame, rare: int) -> DataFrame:
     """Distinct (later, earlier) documents that share a line."""
     held = lines.select(*_KEY, F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
-    spread = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct(*_KEY)).alias("first")).where("holders > 1")
+    spread = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct(*_KEY)).alias("first"))
+    # Settled, so that a hot line's holders meet it in a join that can be split.
+    spread = settle(spread.where("holders > 1"))
     few = spread.where(F.col("holders") <= rare).select("line")
     many = spread.where(F.col("holders") > rare).select("line", "first")
     own = F.struct(*_KEY).alias("later")

@@ -33,6 +33,15 @@ def test_blocks_need_their_words():
     assert ld.common_blocks([], [1], [], 1) == []
 
 
+def test_moved_blocks():
+    words = [4] * 9
+    assert ld.common_blocks([1, 2, 3, 4, 5, 6, 7, 8, 9], [6, 7, 8, 20, 1, 2, 3, 4, 5], words, 12) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert ld.common_blocks([1, 2, 3], [3, 2, 1], [4, 4, 4], 8) == []
+    assert ld.common_blocks([1, 2, 3], [3, 2, 1], [9, 9, 9], 8) == [0, 1, 2]
+    back = list(range(1, 30_000))
+    assert ld.common_blocks(back, back[::-1], [1] * len(back), 2) == []
+
+
 def plain(rows, least):
     """Text per (doc_id, text), every document against all earlier ones."""
     texts = sorted({(-(1 << 63) if d is None else d, t) for d, t in rows if t is not None})
@@ -44,7 +53,7 @@ def plain(rows, least):
         for _, other in texts[:at]:
             theirs = [x.strip() or None for x in other.split("\n")]
             if set(keys) & set(theirs) - {None}:
-                gone |= set(ld.common_blocks(keys, theirs, [len(x.split()) for x in lines], least))
+                gone |= set(ld.common_blocks([hash(k) if k else 0 for k in keys], [hash(k) if k else 0 for k in theirs], [len(x.split()) for x in lines], least))
         out[doc, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
