@@ -39,7 +39,7 @@ COSINE = 0.9
 BLOCK = 16
 SCALE = 512
 # Vectors of a cell that one task holds on either side.
-TILE = 8192
+TILE = 32768
 # Rows of the distance matrix that are made at a time.
 ROWS = 256
 # Share of a distance matrix from which whole matrices are cheaper than pairs.
