@@ -158,17 +158,20 @@ def _pairs(lines: DataFrame, rare: int) -> DataFrame:
     """Distinct (later, earlier) documents that share a line."""
     held = lines.select(*_KEY, F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
     spread = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct(*_KEY)).alias("first"))
-    # Settled, so that a hot line's holders meet it in a join that can be split.
+    # Settled on either side of the join, so that a hot line's holders meet it
+    # in a join that can be split, and nothing gathers them by line again.
     spread = settle(spread.where("holders > 1"))
-    few = spread.where(F.col("holders") <= rare).select("line")
-    many = spread.where(F.col("holders") > rare).select("line", "first")
-    own = F.struct(*_KEY).alias("later")
-    scattered = held.join(few, "line")
-    two = scattered.select("line", own).join(scattered.select("line", F.struct(*_KEY).alias("earlier")), "line")
-    starred = held.select("line", own).join(many.withColumnRenamed("first", "earlier"), "line")
-    return two.where("later > earlier").select("later", "earlier").union(
-        starred.where("later > earlier").select("later", "earlier")
-    ).distinct()
+    marked = settle(held.join(spread, "line").select("line", F.struct(*_KEY).alias("own"), "holders", "first"))
+    few = (
+        marked.where(F.col("holders") <= rare)
+        .groupBy("line")
+        .agg(F.array_sort(F.collect_list("own")).alias("docs"))  # at most ``rare`` of them
+        .select("docs", F.posexplode("docs").alias("at", "later"))
+        .where("at > 0")
+        .select("later", F.explode(F.slice("docs", F.lit(1), F.col("at"))).alias("earlier"))
+    )
+    many = marked.where((F.col("holders") > rare) & (F.col("own") > F.col("first")))
+    return few.union(many.select(F.col("own").alias("later"), F.col("first").alias("earlier"))).distinct()
 
 
 def shared_lines(docs: DataFrame, rare: int = RARE, least: int = BLOCK_WORDS) -> DataFrame:
