@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hirelake.functions import payload as pay, scalar as fn, scope, text
 from hirelake.operators import enrich, lifecycle
 from hirelake.plans import daily
-from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
 from hirelake.plans.standins import ORDERS_AS_OF, cte, plain, standin, table
 from hirelake.session import cut_lineage
