@@ -30,8 +30,10 @@ from hirelake.llm.common import slices
 from hirelake.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-# Pre-tokens whose ids a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 1 << 20
+# Pre-tokens whose ids, and pairs whose rank, a worker remembers; beyond, it
+# forgets all and goes on.  Together they take about 200 MB.
+REMEMBERED = 1 << 19
+REMEMBERED_PAIRS = 1 << 18
 # A vocabulary is sent to all executors and must stay a small table.
 MAX_VOCABULARY = 1 << 20
 
@@ -115,7 +117,7 @@ class _Joined(dict):
 
     def __missing__(self, pair: tuple[int, int]) -> int:
         rank = self.hashed.get(self.token[pair[0]] + self.token[pair[1]])
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED_PAIRS:
             self.clear()
         self[pair] = rank = -1 if rank is None else rank
         return rank
