@@ -31,9 +31,9 @@ from hirelake.llm.registry import query, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Pre-tokens whose ids, and pairs whose rank, a worker remembers; beyond, it
-# forgets all and goes on.  Together they take about 200 MB.
+# forgets all and goes on.  Together they take about 150 MB.
 REMEMBERED = 1 << 19
-REMEMBERED_PAIRS = 1 << 18
+REMEMBERED_PAIRS = 1 << 17
 # A vocabulary is sent to all executors and must stay a small table.
 MAX_VOCABULARY = 1 << 20
 

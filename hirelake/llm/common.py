@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Rows are handed to Python code in slices whose texts hold about this much.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def settle(df: DataFrame) -> DataFrame:
