@@ -8,7 +8,10 @@ a block is never deleted.
 
 A rare line pairs every two of its holders.  Any other line pairs each holder
 with the earliest one, so that a line costs about as many pairs as it has
-holders, however common it is.
+holders, however common it is.  So does any shortest run of such lines, blank
+ones between them, that has the words of a block: a block is covered by the
+shortest runs that begin or end in it, and one with a rare line pairs by that
+line, so that every block meets an earlier copy of each of its lines.
 
 Defined results: a null text has no lines; an empty or blank line has no hash
 of its own to share but may lie inside a block; rows equal in doc_id and text
@@ -36,6 +39,12 @@ RARE = 8
 # Words of the shortest block that is deleted.
 BLOCK_WORDS = 20
 
+# Digests of runs: a polynomial of the line hashes modulo a prime.
+_PRIME = (1 << 61) - 1
+_BASE = 0x1B873593CC9E2D51
+# Stands for a blank line, so that leading ones count.
+_BLANK = 0x0B4C1D7E52A96F35
+
 _KEY = ["__id", "__digest"]
 
 
@@ -125,6 +134,35 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLO
     return sorted(out)
 
 
+def shortest_runs(hashes: list[int], words: list[int], lines: set[int], least: int) -> list[tuple[int, int]]:
+    """First and last line of the shortest runs of ``lines`` and blank lines that
+    hold ``least`` words: one that begins and one that ends at every line, where
+    there is any."""
+    out: set[tuple[int, int]] = set()
+    start = 0
+    for stop, x in enumerate([*hashes, None]):
+        if x == 0 or x in lines:
+            continue
+        if start < stop:
+            sums = np.concatenate([[0], np.cumsum(words[start:stop], dtype=np.int64)])
+            if sums[-1] >= least:
+                ends = np.searchsorted(sums, sums[:-1] + least, "left") - 1
+                begins = np.searchsorted(sums, sums[1:] - least, "right") - 1
+                out.update((start + i, start + j) for i, j in enumerate(ends.tolist()) if j < stop - start)
+                out.update((start + i, start + j) for j, i in enumerate(begins.tolist()) if i >= 0)
+        start = stop + 1
+    return sorted(out)
+
+
+def run_digests(hashes: list[int], runs: list[tuple[int, int]]) -> list[int]:
+    """A digest of each run's lines, in time that does not grow with its length."""
+    heads, powers = [0], [1]
+    for x in hashes:
+        heads.append((heads[-1] * _BASE + x + _BLANK) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    return [(heads[j + 1] - heads[i] * powers[j + 1 - i]) % _PRIME for i, j in runs]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key: their id (null: the least) and a digest of the text."""
     return docs.withColumns(
@@ -154,14 +192,41 @@ def _lines(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select(*_KEY, "text").mapInArrow(run, schema)
 
 
-def _pairs(lines: DataFrame, rare: int) -> DataFrame:
-    """Distinct (later, earlier) documents that share a line."""
-    held = lines.select(*_KEY, F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
-    spread = held.groupBy("line").agg(F.count("*").alias("holders"), F.min(F.struct(*_KEY)).alias("first"))
+def _common_runs(lines: DataFrame, common: DataFrame, least: int) -> DataFrame:
+    """Key and digest of the shortest runs of common lines (rows of own, line)
+    that hold the words of a block."""
+    known = common.groupBy("own").agg(F.collect_set("line").alias("known")).select("own.*", "known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at, found = [], []
+            for row, (hashes, words, own) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+                if runs := shortest_runs(hashes, words, set(own), least):
+                    digests = set(run_digests(hashes, runs))
+                    at += [row] * len(digests)
+                    found += digests
+            kept = batch.select([0, 1]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.int64())], names=[*_KEY, "run"])
+
+    joined = lines.join(known, _KEY).select(*_KEY, "hashes", "words", "known")
+    return joined.mapInArrow(run, "__id long, __digest long, run long")
+
+
+def _marked(held: DataFrame, by: str) -> DataFrame:
+    """Every holder of what at least two documents hold, with the number of
+    holders and the first of them."""
+    spread = held.groupBy(by).agg(F.count("*").alias("holders"), F.min(F.struct(*_KEY)).alias("first"))
     # Settled on either side of the join, so that a hot line's holders meet it
     # in a join that can be split, and nothing gathers them by line again.
     spread = settle(spread.where("holders > 1"))
-    marked = settle(held.join(spread, "line").select("line", F.struct(*_KEY).alias("own"), "holders", "first"))
+    return settle(held.join(spread, by).select(by, F.struct(*_KEY).alias("own"), "holders", "first"))
+
+
+def _pairs(lines: DataFrame, rare: int, least: int) -> DataFrame:
+    """Distinct (later, earlier) documents: all that share a rare line, and each
+    with the first that holds the same common line or run of them."""
+    held = lines.select(*_KEY, F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
+    marked = _marked(held, "line")
     few = (
         marked.where(F.col("holders") <= rare)
         .groupBy("line")
@@ -170,7 +235,10 @@ def _pairs(lines: DataFrame, rare: int) -> DataFrame:
         .where("at > 0")
         .select("later", F.explode(F.slice("docs", F.lit(1), F.col("at"))).alias("earlier"))
     )
-    many = marked.where((F.col("holders") > rare) & (F.col("own") > F.col("first")))
+    common = marked.where(F.col("holders") > rare)
+    # Settled, since its holders are counted and then met again.
+    runs = _marked(settle(_common_runs(lines, common, least)), "run")
+    many = common.select("own", "first").union(runs.select("own", "first")).where("own > first")
     return few.union(many.select(F.col("own").alias("later"), F.col("first").alias("earlier"))).distinct()
 
 
@@ -178,7 +246,7 @@ def shared_lines(docs: DataFrame, rare: int = RARE, least: int = BLOCK_WORDS) ->
     """Per document that loses lines: its key, the numbers of those lines, their
     words, and the doc_ids of the earlier documents that hold them."""
     lines = settle(_lines(docs).dropDuplicates(_KEY))
-    pairs = _pairs(lines, rare)
+    pairs = _pairs(lines, rare, least)
     sides = pairs.select(F.col("later.*"), "earlier").join(lines, _KEY).select(
         F.col("__id").alias("id"), F.col("__digest").alias("digest"), "hashes", "words", "earlier.*"
     )

@@ -97,6 +97,33 @@ def test_common_lines_pair_with_the_earliest(spark):
     assert all(got[d] == f"before {d}\nafter {d}" for d in range(1, 40))
 
 
+def test_block_whose_lines_begin_elsewhere(spark):
+    one, two = ("first line of ten words that no block makes alone", "second line of ten words that no block makes alone too")
+    rows = [(d, f"a{d}\n{one}\nb{d}") for d in range(10)] + [(d, f"a{d}\n{two}\nb{d}") for d in range(10, 20)]
+    rows += [(d, f"a{d}\n{one}\n{two}\nb{d}") for d in (50, 60, 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r["__changed"]) for r in ld.dedup_lines(docs).collect()}
+    assert got[50] == (rows[20][1], False)
+    assert got[60] == ("a60\nb60", True) and got[70] == ("a70\nb70", True)
+
+
+def test_shortest_runs_cover_every_block():
+    rng = random.Random(9)
+    for _ in range(300):
+        hashes = [rng.randrange(6) for _ in range(rng.randrange(16))]
+        words = [3 * x for x in hashes]
+        runs = ld.shortest_runs(hashes, words, {1, 2, 3, 5}, 10)
+        by = {}
+        for run, digest in zip(runs, ld.run_digests(hashes, runs), strict=True):
+            assert by.setdefault(digest, hashes[run[0] : run[1] + 1]) == hashes[run[0] : run[1] + 1]
+            assert sum(words[run[0] : run[1] + 1]) >= 10 and 4 not in hashes[run[0] : run[1] + 1]
+        for i in range(len(hashes)):
+            for j in range(i, len(hashes)):
+                if 4 not in hashes[i : j + 1] and sum(words[i : j + 1]) >= 10:
+                    inside = [r for r in runs if i <= r[0] and r[1] <= j]
+                    assert set(range(i, j + 1)) == {x for p, q in inside for x in range(p, q + 1)}
+
+
 def test_empty_table_and_query(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ld.dedup_lines(docs).count() == 0
