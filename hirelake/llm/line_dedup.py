@@ -3,7 +3,8 @@
 Documents that share line hashes are paired, a pair is aligned by patience
 diff over its lines, and blocks of consecutive aligned lines that hold enough
 words are deleted from the later document (the one of larger doc_id); so are
-blocks that have moved, which no one alignment can hold.  The earliest copy of
+blocks that have moved, which no one alignment can hold: a line goes if any run
+of lines around it stands in an earlier document as well.  The earliest copy of
 a block is never deleted.
 
 A rare line pairs every two of its holders.  Any other line pairs each holder
@@ -25,6 +26,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -112,28 +114,6 @@ def _runs(matches: list[tuple[int, int]], words: list[int], least: int) -> list[
     return out
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Line numbers of ``a`` in blocks of lines, consecutive on both sides, that
-    hold at least ``least`` words together: blocks that patience diff aligns,
-    and blocks of the other lines that stand elsewhere in ``b``."""
-    aligned = patience(a, b)
-    out = _runs(aligned, words, least)
-    here, there = {i for i, _ in aligned}, {j for _, j in aligned}
-    place: dict[int, int] = {}
-    for j, x in enumerate(b):
-        if j not in there and x:
-            place.setdefault(x, j)
-    i = 0
-    while i < len(a):
-        moved, j = [], place.get(a[i], -1) if i not in here else -1
-        while 0 <= j < len(b) and i < len(a) and i not in here and j not in there and a[i] == b[j]:
-            moved.append((i, j))
-            i, j = i + 1, j + 1
-        out += _runs(moved, words, least)
-        i += not moved
-    return sorted(out)
-
-
 def shortest_runs(hashes: list[int], words: list[int], lines: set[int], least: int) -> list[tuple[int, int]]:
     """First and last line of the shortest runs of ``lines`` and blank lines that
     hold ``least`` words: one that begins and one that ends at every line, where
@@ -163,6 +143,28 @@ def run_digests(hashes: list[int], runs: list[tuple[int, int]]) -> list[int]:
     return [(heads[j + 1] - heads[i] * powers[j + 1 - i]) % _PRIME for i, j in runs]
 
 
+def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
+    """Line numbers of ``a`` in blocks of lines, consecutive on both sides, that
+    hold at least ``least`` words together: blocks that patience diff aligns,
+    and all others, wherever they stand in ``b`` and whatever is aligned there."""
+    out = set(_runs(patience(a, b), words, least))
+    both = set(a).intersection(b) - {0}
+    here = shortest_runs(a, words, both, least)
+    if all(i in out for run in here for i in run):
+        return sorted(out)
+    # The shortest run that begins or ends at a line depends on its lines alone.
+    size = dict(zip(a, words, strict=True))
+    there = shortest_runs(b, [size.get(x, 0) for x in b], both, least)
+    held = set(run_digests(b, there))
+    marks = [0] * (len(a) + 1)
+    for (i, j), digest in zip(here, run_digests(a, here), strict=True):
+        if digest in held:
+            marks[i] += 1
+            marks[j + 1] -= 1
+    out.update(i for i, depth in enumerate(accumulate(marks)) if depth)
+    return sorted(out)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key: their id (null: the least) and a digest of the text."""
     return docs.withColumns(

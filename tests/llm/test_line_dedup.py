@@ -42,6 +42,40 @@ def test_moved_blocks():
     assert ld.common_blocks(back, back[::-1], [1] * len(back), 2) == []
 
 
+def common_runs(a, b, words, least):
+    """Every run of lines of ``a`` that stands in ``b``, tried one by one."""
+    out = set()
+    for i in range(len(a)):
+        for at in range(len(b)):
+            n = 0
+            while i + n < len(a) and at + n < len(b) and a[i + n] == b[at + n]:
+                n += 1
+            if n and sum(words[i : i + n]) >= least:
+                out.update(range(i, i + n))
+    return sorted(out)
+
+
+def test_blocks_against_all_runs():
+    rng = random.Random(21)
+    found = 0
+    for _ in range(3000):
+        size = [0, *(rng.randrange(1, 14) for _ in range(7))]
+        a = [rng.randrange(8) for _ in range(rng.randrange(14))]
+        b = [rng.randrange(8) for _ in range(rng.randrange(14))]
+        if rng.random() < 0.5 and a:
+            i, at = rng.randrange(len(a)), rng.randrange(len(b) + 1)
+            b[at:at] = a[i : i + 5]
+        words = [size[x] for x in a]
+        found += bool(want := common_runs(a, b, words, 20))
+        assert ld.common_blocks(a, b, words, 20) == want
+    assert found > 500
+
+
+def test_moved_block_whose_first_line_stands_twice():
+    # 'P1 X P1 P2 Z', and P1 P2 behind a longer aligned part.
+    assert ld.common_blocks([10, 11, 12, 1, 2], [1, 9, 1, 2, 8, 10, 11, 12], [12] * 5, 20) == [0, 1, 2, 3, 4]
+
+
 def plain(rows, least):
     """Text per (doc_id, text), every document against all earlier ones."""
     texts = sorted({(-(1 << 63) if d is None else d, t) for d, t in rows if t is not None})
@@ -97,6 +131,45 @@ def test_common_lines_pair_with_the_earliest(spark):
     assert all(got[d] == f"before {d}\nafter {d}" for d in range(1, 40))
 
 
+def blocks_of_common_lines():
+    """Every line is common and its earliest holder holds it alone or in another order."""
+    rng = random.Random(5)
+    pool = [" ".join(f"w{i}x{j}" for j in range(rng.choice([3, 7, 12]))) for i in range(24)]
+    rows = [(i, f"own {i}\n{line}\nalone {i}") for i, line in enumerate(pool)]
+    for doc in range(100, 400):
+        lines = [f"own {doc}"]
+        for k in range(3):
+            start = rng.randrange(24)
+            lines += [*(pool * 2)[start : start + rng.randrange(1, 5)], *rng.choice([[], [""], ["", ""]]), f"own {doc} {k}"]
+        rows.append((doc, "\n".join(lines)))
+    return rows
+
+
+def all_pairs(rows):
+    """Text per doc_id without any run of a block's words that an earlier document holds."""
+    out = {}
+    for at, (doc, text) in enumerate(rows):
+        lines = text.split("\n")
+        words = [len(x.split()) for x in lines]
+        gone = {i for _, other in rows[:at] for i in common_runs(lines, other.split("\n"), words, ld.BLOCK_WORDS)}
+        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_blocks_of_common_lines_against_all_pairs(spark):
+    rows = blocks_of_common_lines()
+    counts = {}
+    for _, text in rows:
+        for x in set(text.split("\n")):
+            counts[x] = counts.get(x, 0) + 1
+    assert min(n for x, n in counts.items() if x.startswith("w")) > ld.RARE
+    want = all_pairs(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()}
+    assert got == want
+    assert sum(got[d] != t for d, t in rows) > 100
+
+
 def test_block_whose_lines_begin_elsewhere(spark):
     one, two = ("first line of ten words that no block makes alone", "second line of ten words that no block makes alone too")
     rows = [(d, f"a{d}\n{one}\nb{d}") for d in range(10)] + [(d, f"a{d}\n{two}\nb{d}") for d in range(10, 20)]
