@@ -17,6 +17,9 @@ nodes one after the other; per node the first token, its length, the position
 id of its first token (the length of its ancestors), its parent, the attention
 intervals of its ancestors, nearest last (a token also attends to the earlier
 tokens of its own node), and the loss interval: an assistant's escaped text.
+Ancestors that lie side by side are one interval, so a path without branches
+has one however long it is; pack() also spells them out, one per ancestor.
+A conversation is one row, and so holds at most the 2 GB of an Arrow value.
 
 Defined results: null roles and texts are empty; turns are ordered by (turn,
 role, text), nulls first, and repeated rows are turns of their own; rows with a
@@ -120,7 +123,7 @@ class _Pack:
         self.texts: list[str] = []
         self.nodes: list[dict] = []
         self.leaves: list[dict] = []
-        self.path: list[tuple[str, int]] = []  # digest and node
+        self.path: list[tuple[str, int, list[dict]]] = []  # digest, node, intervals up to its end
         self.size = 0
 
     def shared(self, digests: list[str]) -> int:
@@ -132,25 +135,28 @@ class _Pack:
     def add(self, conv_id, digests: list[str], turns: list[tuple[str, int, int]], shared: int) -> None:
         del self.path[shared:]
         for digest, (text, loss_start, loss_stop) in zip(digests[shared:], turns, strict=True):
-            above = [self.nodes[n] for _, n in self.path]
+            _, parent, above = self.path[-1] if self.path else ("", -1, [])
             self.nodes.append(
                 {
                     "start": self.size,
                     "length": len(text),
-                    "position": sum(n["length"] for n in above),
-                    "parent": self.path[-1][1] if self.path else -1,
-                    "attends": [{"start": n["start"], "stop": n["start"] + n["length"]} for n in above],
+                    "position": self.nodes[parent]["position"] + self.nodes[parent]["length"] if self.path else 0,
+                    "parent": parent,
+                    "attends": above,
                     "loss_start": self.size + loss_start,
                     "loss_stop": self.size + loss_stop,
                 }
             )
             self.texts.append(text)
-            self.path.append((digest, len(self.nodes) - 1))
-            self.size += len(text)
+            stop = self.size + len(text)
+            beside = above and above[-1]["stop"] == self.size
+            upto = [*above[:-1], {"start": above[-1]["start"], "stop": stop}] if beside else [*above, {"start": self.size, "stop": stop}]
+            self.path.append((digest, len(self.nodes) - 1, upto))
+            self.size = stop
         self.leaves.append({"conv_id": conv_id, "node": self.path[-1][1]})
 
 
-def pack(rows: DataFrame, tokens: int = PACK_TOKENS, most: int = PACK_CONVERSATIONS) -> DataFrame:
+def trees(rows: DataFrame, tokens: int = PACK_TOKENS, most: int = PACK_CONVERSATIONS) -> DataFrame:
     """Packs of merged conversations: text, nodes, leaves (see the module)."""
     keyed = _paths(conversations(rows))
     dealt = keyed.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
@@ -181,6 +187,18 @@ def pack(rows: DataFrame, tokens: int = PACK_TOKENS, most: int = PACK_CONVERSATI
     return dealt.mapInArrow(run, PACK_SCHEMA)
 
 
+def pack(rows: DataFrame, tokens: int = PACK_TOKENS, most: int = PACK_CONVERSATIONS) -> DataFrame:
+    """The same with an interval for each ancestor in ``nodes``; ``merged`` has
+    the nodes as they are, and who reads only that pays nothing for the others."""
+    each = """transform(nodes, (n, at) -> named_struct(
+        'start', n.start, 'length', n.length, 'position', n.position, 'parent', n.parent,
+        'attends', transform(
+            filter(slice(nodes, 1, at), m -> exists(n.attends, a -> a.start <= m.start AND m.start < a.stop)),
+            m -> named_struct('start', m.start, 'stop', m.start + m.length)),
+        'loss_start', n.loss_start, 'loss_stop', n.loss_stop))"""
+    return trees(rows, tokens, most).select("text", F.expr(each).alias("nodes"), "leaves", F.col("nodes").alias("merged"))
+
+
 def read_back(packs: DataFrame) -> DataFrame:
     """Per conversation, from the packs alone: its turns, what is under the loss
     mask, and the length of its formatted text."""
@@ -192,10 +210,12 @@ def read_back(packs: DataFrame) -> DataFrame:
                 # Each node is read once however many conversations share it.
                 turn = [read_turn(row["text"][n["start"] : n["start"] + n["length"]]) for n in row["nodes"]]
                 loss = [unescape(row["text"][n["loss_start"] : n["loss_stop"]]) for n in row["nodes"]]
-                begins = {n["start"]: at for at, n in enumerate(row["nodes"])}
                 for leaf in row["leaves"]:
-                    node = row["nodes"][leaf["node"]]
-                    path = [*(begins[a["start"]] for a in node["attends"]), leaf["node"]]
+                    node, at, path = row["nodes"][leaf["node"]], leaf["node"], []
+                    while at >= 0:
+                        path.append(at)
+                        at = row["nodes"][at]["parent"]
+                    path.reverse()
                     under = "".join(loss[n] for n in path)
                     said = "".join(f"{turn[n][0]}\n{turn[n][1]}\n" for n in path)
                     values = (
@@ -210,7 +230,8 @@ def read_back(packs: DataFrame) -> DataFrame:
                     names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
                 )
 
-    return packs.mapInArrow(
+    nodes = "merged" if "merged" in packs.columns else "nodes"
+    return packs.select("text", F.col(nodes).alias("nodes"), "leaves").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
@@ -239,4 +260,4 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one of trap texts, formatted, packed and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], rows.schema)
-    return read_back(pack(rows.union(trap)))
+    return read_back(trees(rows.union(trap)))

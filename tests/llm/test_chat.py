@@ -83,6 +83,32 @@ def test_read_back(spark):
     assert not want
 
 
+def test_merged_intervals_hold_the_same_tokens(spark):
+    for p in chat.pack(spark.createDataFrame(rows(), SCHEMA), 4000, 9).collect():
+        for n, m in zip(p.nodes, p.merged, strict=True):
+            assert [x for a in n.attends for x in range(*a)] == [x for a in m.attends for x in range(*a)]
+            assert all(a.stop < b.start for a, b in zip(m.attends, m.attends[1:], strict=False))
+
+
+@pytest.mark.parametrize("conv", ["7L", "NULL"])
+def test_one_conversation_of_100_000_turns(spark, conv):
+    import hashlib
+
+    n = 100_000
+    given = spark.range(n).selectExpr(
+        f"CAST({conv} AS BIGINT) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('say ', id) AS text"
+    )
+    said = [("assistant" if i % 2 else "user", f"say {i}") for i in range(n)]
+    under = "".join(text for role, text in said if role == "assistant")
+    for packs in (chat.trees(given), chat.pack(given)):
+        (r,) = chat.read_back(packs).collect()
+        assert (r.conv_id, r.n_turns, r.loss_chars) == (None if conv == "NULL" else 7, n, len(under))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(under.encode()).hexdigest()
+        assert r.formatted_chars == sum(len(chat.write_turn(a, b)[0]) for a, b in said)
+    assert chat.trees(given).selectExpr("aggregate(nodes, 0, (s, n) -> s + size(n.attends)) AS n").first().n == n - 1
+
+
 def test_empty_table(spark):
     assert chat.read_back(chat.pack(spark.createDataFrame([], SCHEMA))).count() == 0
 
