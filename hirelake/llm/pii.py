@@ -3,7 +3,9 @@
 Plain identifiers are found in the text as it is.  Then transducers rewrite a
 text into the one it stands for: look-alike characters become ASCII and
 invisible ones vanish, spelled digits become digits, "at" and "dot" in their
-disguises become @ and full stops.  Each rewritten character knows the part of
+disguises become @ and full stops.  Spoken without brackets, "dot" counts
+between four numbers or more, in a host and left of an "at" before such a host;
+fewer than seven spelled digits count only with three dots between them.  Each rewritten character knows the part of
 the source it came from, so that an identifier found after rewriting is
 reported where it stands in the source.
 
@@ -36,6 +38,7 @@ _dotted = re.compile(r"[0-9]+(?:\.[0-9]+)*").finditer
 _digits = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _plus = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _not_local = re.compile(r"[^A-Za-z0-9._%+-]")
+_local = re.compile(r"[A-Za-z0-9._%+-]").match
 _no_digit = re.compile(r"[^0-9]+")
 
 
@@ -120,6 +123,11 @@ _spelled_hint = re.compile(rf"\b(?:{_numeral})[\s,-]+(?:(?:dot|point)\s+)?(?:{_n
 _spelled_token = re.compile(rf"plus|dot|point|{_numeral}|[0-9]", re.IGNORECASE)
 _spoken = NUMERALS | {"plus": "+", "dot": ".", "point": "."}
 
+# Four numbers or more with spoken dots between them, written or spelled.
+_octet = rf"(?:[0-9]{{1,3}}|(?:{_numeral})(?:[\s,-]++(?:{_numeral})\b){{0,2}})\b"
+_spoken_ip = re.compile(rf"\b{_octet}(?:(?:\s++(?:dot|point)\s++|\.){_octet}){{3,}}", re.IGNORECASE)
+_spoken_part = re.compile(rf"\s+(?P<dot>dot|point)\s+|(?P<numeral>{_numeral})(?:[\s,-]+(?=(?:{_numeral})\b))?", re.IGNORECASE)
+
 _sign = r"[ \t]*[\[({<][ \t]*(?:%s)[ \t]*[\])}>][ \t]*"
 _bracketed = re.compile(rf"(?P<at>{_sign % 'at|@'})|(?P<dot>{_sign % r'dot|punkt|punto|point|\.'})", re.IGNORECASE)
 # Without brackets, "at" counts only before a host whose dots are spelled too.
@@ -186,9 +194,51 @@ def plain_digits(text: Rewritten) -> Rewritten:
     return text.replace(edits)
 
 
+def plain_addresses(text: Rewritten) -> Rewritten:
+    return text.replace(
+        [
+            (t.start(), t.end(), "." if t["dot"] else NUMERALS[t["numeral"].lower()])
+            for run in _spoken_ip.finditer(text.text)
+            if any(word in run[0].lower() for word in ("dot", "point"))
+            for t in _spoken_part.finditer(text.text, *run.span())
+        ]
+    )
+
+
+def _local_dots(text: Rewritten) -> list[tuple[int, int, str]]:
+    """Spoken dots in the local part of each rewritten @, sought backwards."""
+    edits, now, floor = [], text.text, 0
+
+    def back(at: int, fits: Callable[[str], object]) -> int:
+        while at > floor and fits(now[at - 1]):
+            at -= 1
+        return at
+
+    at = now.find("@")
+    while at >= 0:
+        found: list[tuple[int, int, str]] = []
+        word = back(at, _local) if text.changed[at] else at
+        end = at
+        while word < end:
+            stop = back(word, " \t".__contains__)
+            end = back(stop - 3, " \t".__contains__) if stop - 3 > floor and now[stop - 3 : stop].lower() == "dot" else stop
+            if stop == word or end >= stop - 3:
+                break
+            dot, word = (end, word, "."), back(end, _local)
+            if word < end and now[word:end].lower() != "dot":
+                found.append(dot)
+            else:
+                break
+        edits += reversed(found)
+        floor = at + 1
+        at = now.find("@", floor)
+    return edits
+
+
 def plain_signs(text: Rewritten) -> Rewritten:
     text = text.replace([(m.start(), m.end(), "@" if m["at"] else ".") for m in _bracketed.finditer(text.text)])
     text = text.replace([(m.start(), m.end(), "@") for m in _spaced.finditer(text.text)])
+    text = text.replace(_local_dots(text))
     return text.replace(
         [(d.start(), d.end(), ".") for m in _spaced_dot.finditer(text.text) for d in _dot.finditer(text.text, *m.span())]
     )
@@ -203,6 +253,10 @@ def rewrite(source: str) -> Rewritten | None:
     if _spelled_hint.search(now):
         out = plain_digits(out or Rewritten.of(source))
     now = out.text if out else source
+    low = now.lower()
+    if ("dot" in low or "point" in low) and _spoken_ip.search(now):
+        out = plain_addresses(out or Rewritten.of(source))
+    now = out.text if out else source
     if _bracketed.search(now) or _spaced.search(now):
         out = plain_signs(out or Rewritten.of(source))
     return out

@@ -84,6 +84,39 @@ def test_disguises(text, kind, part):
     assert [("Überall é " + text)[s:e] for s, e in added[kind]] == [part]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("host one two seven dot zero dot zero dot one up", "ip", "one two seven dot zero dot zero dot one"),
+        ("host one dot two dot three dot four", "ip", "one dot two dot three dot four"),
+        ("host 192 dot 168 dot 1 dot 10 up", "ip", "192 dot 168 dot 1 dot 10"),
+        ("port 8080 10 POINT 0 Dot zero dot 1 5 times", "ip", "10 POINT 0 Dot zero dot 1"),
+        ("host one nine two dot one six eight dot zero dot 12 up", "ip", "one nine two dot one six eight dot zero dot 12"),
+        ("mail john dot smith at example dot com now", "email", "john dot smith at example dot com"),
+        ("mail john dot q dot smith [at] example.com now", "email", "john dot q dot smith [at] example.com"),
+        ("a dot b at c dot de, d dot e(at)f.gh", "email", ["a dot b at c dot de", "d dot e(at)f.gh"]),
+    ],
+)
+def test_spoken_dots(text, kind, part):
+    _, added = pii.spans("Überall é " + text)
+    assert [("Überall é " + text)[s:e] for s, e in added[kind]] == ([part] if isinstance(part, str) else part)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["one.two.three.four", "three point one four", "version 1 dot 2 dot 3", "400 dot 1 dot 1 dot 1", "noon dot dot dot at home", "a dot b met at noon"],
+)
+def test_other_dots_gain_nothing(text):
+    assert not any(pii.spans(text)[1].values())
+
+
+def test_spoken_dots_take_linear_time():
+    start = time.perf_counter()
+    for unit in ("1 dot ", "one dot ", "one, ", "a dot b at c dot de ", "a dot ", "1 ", "1  dot"):
+        pii.spans(unit * (200_000 // len(unit)) + "at c dot de")
+    assert time.perf_counter() - start < 40
+
+
 @pytest.mark.parametrize(
     "text",
     [None, "", "look at example.com", "we met at noon dot dot dot", "one two three", "at home (at last) we dot the i", "un deux — trois",
