@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: ten operators and their queries."""
+"""Operations of a training-data pipeline: operators and their queries."""
 
 # Importing a module registers its queries.
 from hirelake.llm import (  # noqa: F401
@@ -12,6 +12,7 @@ from hirelake.llm import (  # noqa: F401
     pii,
     simhash,
     url_filter,
+    whitening,
 )
 from hirelake.llm.registry import ORACLES, QUERIES
 
