@@ -11,6 +11,7 @@ from hirelake.llm import (  # noqa: F401
     near_vectors,
     pii,
     simhash,
+    token_alignment,
     url_filter,
     whitening,
 )
