@@ -10,6 +10,7 @@ from hirelake.llm import (  # noqa: F401
     line_dedup,
     near_vectors,
     pii,
+    secret_scan,
     simhash,
     token_alignment,
     url_filter,
