@@ -8,6 +8,7 @@ attaches per-source facts is split at run time where a source is hot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -99,30 +100,23 @@ def crawl_decisions(
 def diff(state: DataFrame, batch: DataFrame, decisions: DataFrame) -> DataFrame:
     """State and batch side by side (``old_*`` / ``new_*``) with one flag per outcome."""
     latest = last_per_key(batch, KEY, [F.col("pos")])
-    old = state.select(*KEY, *[F.col(c).alias(f"old_{c}") for c in state.columns if c not in KEY], F.lit(True).alias("in_state"))
-    new = latest.select(*KEY, *[F.col(c).alias(f"new_{c}") for c in latest.columns if c not in KEY], F.lit(True).alias("in_batch"))
+    old = state.selectExpr(*KEY, *[f"`{c}` AS `old_{c}`" for c in state.columns if c not in KEY], "true AS in_state")
+    new = latest.selectExpr(*KEY, *[f"`{c}` AS `new_{c}`" for c in latest.columns if c not in KEY], "true AS in_batch")
     joined = old.join(new, KEY, "full_outer")
     crawled = decisions.select(
         "source_id", "crawl_run_id", "started_at", "succeeded", "may_remove", "baseline", "last_success_at"
     )
     rows = joined.join(crawled, "source_id", "left")
-    seen = F.col("in_batch") & F.coalesce("succeeded", F.lit(False))
-    known = F.col("in_state")
-    return (
+    seen = "coalesce(in_batch AND succeeded, false)"
+    return rows.selectExpr(
+        "*",
+        f"{seen} AS is_seen",
+        f"{seen} AND in_state IS NULL AS is_created",
+        f"{seen} AND in_state IS NOT NULL AND NOT (old_content_hash <=> new_content_hash) AS is_changed",
+        f"{seen} AND in_state IS NOT NULL AND NOT old_active AS is_reactivated",
+        f"NOT {seen} AND coalesce(old_active AND may_remove, false) AS is_removed",
         # Postings of a failed crawl are not applied.
-        rows.filter(known.isNotNull() | seen)
-        .withColumn("is_seen", F.coalesce(seen, F.lit(False)))
-        .withColumn("is_created", F.col("is_seen") & known.isNull())
-        .withColumn(
-            "is_changed",
-            F.col("is_seen") & known.isNotNull() & ~F.col("old_content_hash").eqNullSafe(F.col("new_content_hash")),
-        )
-        .withColumn("is_reactivated", F.col("is_seen") & known.isNotNull() & ~F.col("old_active"))
-        .withColumn(
-            "is_removed",
-            ~F.col("is_seen") & F.coalesce(F.col("old_active") & F.col("may_remove"), F.lit(False)),
-        )
-    )
+    ).where("in_state IS NOT NULL OR is_seen")
 
 
 def new_job_id(source_id: Column, external_job_id: Column) -> Column:
@@ -161,9 +155,9 @@ def next_state(rows: DataFrame, as_of) -> DataFrame:
     now = instant(as_of)
     seen, created, changed = F.col("is_seen"), F.col("is_created"), F.col("is_changed")
     undated = F.col("new_posted_at").isNull() & F.col("last_success_at").isNotNull()
-    values = {c: F.when(seen, F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")) for c in OBSERVED}
+    values = {c: F.expr(f"if(is_seen, new_{c}, old_{c}) AS {c}") for c in OBSERVED}
     values |= {
-        c: F.when(seen, F.coalesce(f"new_{c}", f"old_{c}")).otherwise(F.col(f"old_{c}"))
+        c: F.expr(f"if(is_seen, coalesce(new_{c}, old_{c}), old_{c}) AS {c}")
         for c in ("company_id", "company", "posted_at", "posted_at_source")
     }
     values["observed_new_after"] = F.coalesce("old_observed_new_after", F.when(seen & undated, F.col("last_success_at")))
@@ -294,23 +288,73 @@ def next_sources(sources: DataFrame, decisions: DataFrame, as_of, max_failures:
         "source_id", "started_at", "succeeded", "job_count", F.col("anomaly").isNull().alias("_trusted"), F.col("error").alias("_error")
     )
     joined = sources.join(outcome, "source_id", "left")
-    ok, failed = F.coalesce("succeeded", F.lit(False)), F.coalesce(~F.col("succeeded"), F.lit(False))
-    failures = F.coalesce("consecutive_failures", F.lit(0))
-    values = {
-        "status": F.when(failed & (failures + 1 >= max_failures), "inactive").otherwise(F.col("status")),
-        "last_attempt_at": F.when(ok | failed, now).otherwise(F.col("last_attempt_at")),
-        "last_crawled_at": F.when(ok, now).otherwise(F.col("last_crawled_at")),
-        "last_success_at": F.when(ok, now).otherwise(F.col("last_success_at")),
-        "last_failure_at": F.when(failed, now).otherwise(F.col("last_failure_at")),
-        "last_job_count": F.when(
-            ok, trusted_count(F.col("last_job_count"), F.col("job_count"), F.col("_trusted"))
-        ).otherwise(F.col("last_job_count")),
-        "consecutive_failures": F.when(ok, 0).when(failed, failures + 1).otherwise(F.col("consecutive_failures")),
-        "last_error": F.when(failed, F.col("_error")).when(~ok, F.col("last_error")),
-    }
+    values = source_after(F.col, F.col("succeeded"), now, F.col("job_count"), F.col("_trusted"), F.col("_error"), max_failures)
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in sources.columns])
 
 
+def source_after(
+    old: Callable[[str], Column], succeeded: Column, now: Column, count: Column, trusted: Column, error: Column, max_failures: int = 3
+) -> dict[str, Column]:
+    """What a crawl leaves in its source's row; ``succeeded`` is null where there was none."""
+    ok, failed = F.coalesce(succeeded, F.lit(False)), F.coalesce(~succeeded, F.lit(False))
+    failures = F.coalesce(old("consecutive_failures"), F.lit(0))
+    return {
+        "status": F.when(failed & (failures + 1 >= max_failures), "inactive").otherwise(old("status")),
+        "last_attempt_at": F.when(ok | failed, now).otherwise(old("last_attempt_at")),
+        "last_crawled_at": F.when(ok, now).otherwise(old("last_crawled_at")),
+        "last_success_at": F.when(ok, now).otherwise(old("last_success_at")),
+        "last_failure_at": F.when(failed, now).otherwise(old("last_failure_at")),
+        "last_job_count": F.when(ok, trusted_count(old("last_job_count"), count, trusted)).otherwise(old("last_job_count")),
+        "consecutive_failures": F.when(ok, 0).when(failed, failures + 1).otherwise(old("consecutive_failures")),
+        "last_error": F.when(failed, error).when(~ok, old("last_error")),
+    }
+
+
+def fold_crawls(
+    crawls: DataFrame, counts: DataFrame, sources: DataFrame, min_previous: int = 20, min_ratio: float = 0.25, max_failures: int = 3
+) -> DataFrame:
+    """Several crawls of each source, one after the other: the source's columns as
+    the last one leaves them, and ``decisions``, an array with the row of
+    ``crawl_decisions`` of every crawl in order.
+
+    ``crawls``: source_id, crawl_run_id, started_at, status, error; ``counts``:
+    crawl_run_id, job_count.  A source's crawls are narrow rows of one group.
+    """
+    steps = crawls.join(counts, "crawl_run_id", "left").groupBy("source_id").agg(
+        F.sort_array(F.collect_list(F.struct("started_at", "crawl_run_id", "status", "error", F.coalesce("job_count", F.lit(0)).alias("job_count")))).alias("steps")
+    )
+    kept = ("status", "last_attempt_at", "last_crawled_at", "last_success_at", "last_failure_at", "last_job_count", "consecutive_failures", "last_error")
+    kinds = {c: sources.schema[c].dataType for c in kept}
+    decision = (
+        "array<struct<source_id bigint, crawl_run_id bigint, started_at timestamp, succeeded boolean, error string, job_count bigint, "
+        "last_job_count bigint, last_success_at timestamp, baseline boolean, may_remove boolean, anomaly string>>"
+    ).replace(" bigint", ":bigint").replace(" timestamp", ":timestamp").replace(" boolean", ":boolean").replace(" string", ":string")
+
+    def step(state: Column, crawl: Column) -> Column:
+        ok, count = crawl["status"] == "success", crawl["job_count"]
+        outcome = deactivation(state["last_job_count"], count, min_previous, min_ratio)
+        anomaly = outcome["reason"]
+        after = source_after(lambda c: state[c], ok, crawl["started_at"], count, anomaly.isNull(), crawl["error"], max_failures)
+        taken = F.struct(
+            state["source_id"].alias("source_id"), crawl["crawl_run_id"].alias("crawl_run_id"), crawl["started_at"].alias("started_at"),
+            ok.alias("succeeded"), crawl["error"].alias("error"), count.alias("job_count"), state["last_job_count"].alias("last_job_count"),
+            state["last_success_at"].alias("last_success_at"), state["last_success_at"].isNull().alias("baseline"),
+            (ok & outcome["allowed"]).alias("may_remove"), anomaly.alias("anomaly"),
+        )
+        return F.struct(
+            state["source_id"].alias("source_id"),
+            *[after[c].cast(kinds[c]).alias(c) for c in kept],
+            F.concat(state["decisions"], F.array(taken).cast(decision)).alias("decisions"),
+        )
+
+    first = F.struct("source_id", *kept, F.array().cast(decision).alias("decisions"))
+    folded = sources.join(steps, "source_id", "left").withColumn(
+        "_after", F.aggregate(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), first, step)
+    )
+    columns = [F.col(f"_after.{c}").alias(c) if c in kept else F.col(c) for c in sources.columns]
+    return folded.select(*columns, F.col("_after.decisions").alias("decisions"))
+
+
 @dataclass(frozen=True)
 class CrawlResult:
     """All outputs of one crawl; each is derived from the same diff."""

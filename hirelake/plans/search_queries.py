@@ -511,11 +511,11 @@ SELECT source_id, 'job ' || k AS external_job_id, max(seq) = max(crawls) AS acti
 FROM steps GROUP BY source_id, k"""
 
 
-@query("r1_streamed_lifecycle", _R1_SQL)
-def r1(spark, sf):
-    folder = scratch(spark, "lifecycle")
+def _crawl_files(spark, sf, name):
+    """Folders of a stream, its manifest and its postings, from the event table."""
+    folder = scratch(spark, name)
     folders = crawl_stream.Folders(f"{folder}/manifest", f"{folder}/postings", f"{folder}/sources", f"{folder}/state")
-    weeks = table(spark, sf, "events").selectExpr(*_CRAWL_WEEKS.split(", CAST", 1)[:1], "CAST(date_trunc('week', ts) AS DATE) AS week",
+    weeks = table(spark, sf, "events").selectExpr("user_id % 3 AS source_id", "CAST(date_trunc('week', ts) AS DATE) AS week",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS k", "event_type")
     seen = weeks.groupBy("source_id", "week", "k").agg(F.min("event_type").alias("content_hash"))
     seen = seen.withColumn("crawl_run_id", F.datediff("week", F.lit("2020-01-01")) * 10 + F.col("source_id"))
@@ -525,20 +525,66 @@ def r1(spark, sf):
     postings = seen.where(f"NOT ({_FAILED})").withColumns(
         {"pos": F.col("k"), "external_job_id": F.concat(F.lit("job "), "k"), "title": F.col("content_hash"), "provider": F.lit("lever")}
     )
+    sources = spark.range(3).select(F.col("id").alias("source_id"), F.lit("active").alias("status"))
+    _shaped(sources, SOURCE_SCHEMA).write.parquet(folders.sources)
+    return folders, _shaped(manifest, crawl_stream.MANIFEST_SCHEMA), _shaped(postings, crawl_stream.POSTING_SCHEMA)
 
-    def shaped(df, schema):
-        fields = [c.split() for c in schema.split(", ")]
-        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
 
-    shaped(postings, crawl_stream.POSTING_SCHEMA).repartition(5).write.parquet(folders.postings)
-    shaped(manifest, crawl_stream.MANIFEST_SCHEMA).repartition(3).write.parquet(folders.manifest)
-    sources = spark.range(3).select(F.col("id").alias("source_id"), F.lit("active").alias("status"))
-    shaped(sources, SOURCE_SCHEMA).write.parquet(folders.sources)
-    crawl_stream.start_lifecycle(spark, folders, cut_lineage, parts=4, min_previous=1 << 40).awaitTermination()
-    jobs = crawl_stream.current_state(spark, folders, "jobs", JOB_SCHEMA, 0)
+def _shaped(df, schema):
+    fields = [c.split() for c in schema.split(", ")]
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+
+
+def _streamed_jobs(spark, folders):
+    jobs = crawl_stream.current_state(spark, folders, "jobs", JOB_SCHEMA)
     kinds = ("created", "changed", "reactivated", "removed")
-    events = spark.read.parquet(f"{folders.root}/events").groupBy("job_id").agg(
+    events = spark.read.parquet(f"{folders.root}/events/*").groupBy("job_id").agg(
         *[F.count(F.when(F.col("event_type") == kind, 1)).alias(kind) for kind in kinds]
     )
     columns = ("source_id", "external_job_id", "active", "content_hash", "first_seen_at", "last_seen_at")
     return plain(jobs.join(events, "job_id", "left").select(*columns, *kinds))
+
+
+@query("r1_streamed_lifecycle", _R1_SQL)
+def r1(spark, sf):
+    folders, manifest, postings = _crawl_files(spark, sf, "lifecycle")
+    postings.repartition(5).write.parquet(folders.postings)
+    manifest.repartition(3).write.parquet(folders.manifest)
+    crawl_stream.start_lifecycle(spark, folders, cut_lineage, parts=4, min_previous=1 << 40).awaitTermination()
+    return _streamed_jobs(spark, folders)
+
+
+# The same crawls when half of the postings come first, and all of them again later,
+# with the rule on sudden drops: below 0.95 of the trusted count nothing is removed.
+_R1_LATE_SQL = f"""WITH RECURSIVE seen AS (SELECT {_CRAWL_WEEKS}, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, min(event_type) AS hash FROM events GROUP BY 1, 2, 3),
+crawls AS (SELECT source_id, week, count(*) AS n, row_number() OVER (PARTITION BY source_id ORDER BY week) AS seq, count(*) OVER (PARTITION BY source_id) AS crawls
+  FROM seen WHERE NOT ({_FAILED}) GROUP BY source_id, week),
+walk AS (SELECT source_id, seq, n AS trusted, 1 AS removes FROM crawls WHERE seq = 1
+  UNION ALL SELECT c.source_id, c.seq, CASE WHEN w.trusted >= 20 AND c.n < w.trusted * 0.95 THEN w.trusted ELSE c.n END,
+    CASE WHEN w.trusted >= 20 AND c.n < w.trusted * 0.95 THEN 0 ELSE 1 END
+  FROM walk w JOIN crawls c ON c.source_id = w.source_id AND c.seq = w.seq + 1),
+sums AS (SELECT source_id, seq, sum(removes) OVER (PARTITION BY source_id ORDER BY seq) AS removals FROM walk),
+steps AS (SELECT s.*, c.seq, m.removals, lag(m.removals) OVER w AS before, lead(m.removals) OVER w AS after, lead(c.seq) OVER w AS next_seq, lag(s.hash) OVER w AS old, own.removes
+  FROM seen s JOIN crawls c USING (source_id, week) JOIN sums m ON m.source_id = c.source_id AND m.seq = c.seq JOIN walk own ON own.source_id = c.source_id AND own.seq = c.seq
+  WINDOW w AS (PARTITION BY s.source_id, s.k ORDER BY c.seq)),
+ends AS (SELECT source_id, max(removals) AS whole FROM sums GROUP BY source_id),
+gaps AS (SELECT t.*, e.whole, t.before < t.removals - t.removes AS was_removed,
+    CASE WHEN t.next_seq IS NULL THEN e.whole > t.removals ELSE t.after - (SELECT removes FROM walk x WHERE x.source_id = t.source_id AND x.seq = t.next_seq) > t.removals END AS gets_removed
+  FROM steps t JOIN ends e USING (source_id))
+SELECT source_id, 'job ' || k AS external_job_id, NOT arg_max(gets_removed, seq) AS active, arg_max(hash, seq) AS content_hash,
+  strftime(CAST(min(week) AS TIMESTAMP), '{TS}') AS first_seen_at, strftime(CAST(max(week) AS TIMESTAMP), '{TS}') AS last_seen_at,
+  count(*) FILTER (WHERE before IS NULL) AS created, count(*) FILTER (WHERE old <> hash) AS changed,
+  count(*) FILTER (WHERE was_removed) AS reactivated, count(*) FILTER (WHERE gets_removed) AS removed
+FROM gaps GROUP BY source_id, k"""
+
+
+@query("r1_late_crawls", _R1_LATE_SQL)
+def r1_late(spark, sf):
+    folders, manifest, postings = _crawl_files(spark, sf, "late-crawls")
+    early = F.col("started_at") < "2024-01-15"
+    runs = [(manifest.where(early), postings.where("pos % 2 = 0")), (manifest, postings)]
+    for rows, found in runs:
+        found.repartition(3).write.mode("append").parquet(folders.postings)
+        rows.coalesce(1).write.mode("append").parquet(folders.manifest)
+        crawl_stream.start_lifecycle(spark, folders, cut_lineage, parts=4, min_ratio=0.95).awaitTermination()
+    return _streamed_jobs(spark, folders)

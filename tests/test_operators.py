@@ -417,7 +417,7 @@ def test_lifecycle_stream_goes_by_crawl(spark, tmp_path):
         postings.write.parquet(folders.postings)
         for part in (manifest.filter("crawl_run_id < 60"), manifest.filter("crawl_run_id < 70"), manifest):  # crawls listed again
             part.coalesce(1).write.mode("append").parquet(folders.manifest)
-            start_lifecycle(spark, folders, lambda df: cut_lineage(df, SCRATCH), parts=2).awaitTermination()
+            run_stream(spark, folders)
         events = spark.read.parquet(f"{folders.root}/events")
         jobs = current_state(spark, folders, "jobs", JOB_SCHEMA, 2)
         state = sorted(tuple(r) for r in jobs.select("source_id", "external_job_id", "active", "title", "last_seen_crawl_id").collect())
@@ -433,18 +433,66 @@ def test_lifecycle_stream_goes_by_crawl(spark, tmp_path):
     assert current_state(spark, folders, "sources", "source_id bigint, consecutive_failures int", 2).count() == 2
 
 
-def test_incomplete_crawl_waits(spark, tmp_path):
-    crawls = [(51, 1, 5, "success", {i: "A" for i in range(10)}), (61, 1, 6, "success", {0: "A"})]
+def run_stream(spark, folders, **options):
+    start_lifecycle(spark, folders, cut, parts=2, **options).awaitTermination()
+
+
+def active_jobs(spark, folders):
+    return sorted((r["source_id"], r["external_job_id"]) for r in current_state(spark, folders, "jobs", JOB_SCHEMA).filter("active").collect())
+
+
+def test_incomplete_crawl_waits_and_holds_back_later_ones(spark, tmp_path):
+    crawls = [(51, 1, 5, "success", {i: "A" for i in range(10)}), (61, 1, 6, "success", {0: "A"}), (52, 2, 5, "success", {7: "A"})]
     folders, manifest, postings = crawl_folders(spark, tmp_path, "late", crawls, 2)
-    postings.filter("crawl_run_id = 61 OR pos < 6").write.parquet(folders.postings)
+    postings.filter("crawl_run_id <> 51 OR pos < 6").write.parquet(folders.postings)
     manifest.coalesce(1).write.parquet(folders.manifest)
-    cut = lambda df: cut_lineage(df, SCRATCH)
-    start_lifecycle(spark, folders, cut, parts=2).awaitTermination()
-    assert current_state(spark, folders, "jobs", JOB_SCHEMA, 0).isEmpty()
-    postings.filter("crawl_run_id = 51 AND pos >= 6").write.mode("append").parquet(folders.postings)
-    manifest.filter("crawl_run_id = 51").coalesce(1).write.mode("append").parquet(folders.manifest)
-    start_lifecycle(spark, folders, cut, parts=2, min_previous=1000).awaitTermination()
-    assert current_state(spark, folders, "jobs", JOB_SCHEMA, 1).filter("active").count() == 1
+    run_stream(spark, folders)
+    assert active_jobs(spark, folders) == [(2, "j7")]
+    # The manifest is complete; only postings come, some for the second time.
+    postings.filter("crawl_run_id = 51 AND pos >= 4").write.mode("append").parquet(folders.postings)
+    run_stream(spark, folders, min_previous=1000)
+    assert active_jobs(spark, folders) == [(1, "j0"), (2, "j7")]
+    runs = spark.read.parquet(f"{folders.root}/crawl_runs/*").collect()
+    assert sorted((r["crawl_run_id"], r["job_count"]) for r in runs) == [(51, 10), (52, 1), (61, 1)]
+    # Replaced versions and what was carried along are removed, the last two batches stay.
+    postings.filter("crawl_run_id = 61").write.mode("append").parquet(folders.postings)
+    run_stream(spark, folders)
+    assert active_jobs(spark, folders) == [(1, "j0"), (2, "j7")]
+    assert not (tmp_path / "late/state/waiting/batch=0").exists() and (tmp_path / "late/state/waiting/batch=1").exists()
+
+
+def test_postings_that_come_twice_count_once(spark, tmp_path):
+    four = {i: "A" for i in range(4)}
+    crawls = [(51, 1, 5, "success", four), (61, 1, 6, "success", four), (62, 2, 6, "success", {0: "A"})]
+    folders, manifest, postings = crawl_folders(spark, tmp_path, "twice", crawls, 1)
+    # Of the second crawl two of four postings have come, each twice; another holds more than it counts.
+    postings.filter("crawl_run_id = 51 OR (crawl_run_id = 61 AND pos < 2)").write.parquet(folders.postings)
+    postings.filter("crawl_run_id = 61 AND pos < 2").write.mode("append").parquet(folders.postings)
+    postings.filter("crawl_run_id = 61").withColumns({"crawl_run_id": F.lit(62).cast("long"), "source_id": F.lit(2).cast("long")}).write.mode("append").parquet(folders.postings)
+    manifest.write.parquet(folders.manifest)
+    run_stream(spark, folders)
+    assert active_jobs(spark, folders) == [(1, f"j{i}") for i in range(4)]
+    runs = {r["crawl_run_id"]: r for r in spark.read.parquet(f"{folders.root}/crawl_runs/*").collect()}
+    assert sorted(runs) == [51, 62] and (runs[62]["status"], runs[62]["error"]) == ("failed", "4 of 1 postings arrived")
+
+
+def test_crawl_is_given_up_and_a_late_one_left_out(spark, tmp_path):
+    crawls = [(41, 1, 4, "success", {9: "A"}), (51, 1, 5, "success", {i: "A" for i in range(3)}), (61, 1, 6, "success", {5: "A"})]
+    folders, manifest, postings = crawl_folders(spark, tmp_path, "given-up", crawls, 1)
+    postings.filter("crawl_run_id = 61 OR crawl_run_id = 51 AND pos < 1").write.parquet(folders.postings)
+    manifest.filter("crawl_run_id > 50").write.parquet(folders.manifest)
+    run_stream(spark, folders, patience=1)
+    assert active_jobs(spark, folders) == []
+    # The next new rows find crawl 51 out of patience, so 61 is applied; 41 began before that.
+    postings.filter("crawl_run_id = 41").write.mode("append").parquet(folders.postings)
+    run_stream(spark, folders, patience=1)
+    assert active_jobs(spark, folders) == [(1, "j5")]
+    manifest.filter("crawl_run_id = 41").write.mode("append").parquet(folders.manifest)
+    postings.filter("crawl_run_id = 51").write.mode("append").parquet(folders.postings)
+    run_stream(spark, folders, patience=1)
+    assert active_jobs(spark, folders) == [(1, "j5")]
+    runs = {r["crawl_run_id"]: (r["status"], r["error"]) for r in spark.read.parquet(f"{folders.root}/crawl_runs/*").collect()}
+    assert runs == {51: ("failed", "1 of 3 postings arrived"), 61: ("success", None), 41: ("failed", "a later crawl of the source was applied before")}
 
 
 def test_interrupted_publication_keeps_a_version(spark):
@@ -475,7 +523,7 @@ def test_board_files(spark, tmp_path):
 
 def test_building_a_query_starts_no_job(spark):
     # Streams and stored tables are run to be read back.
-    stored = {"r1_streamed_lifecycle", "r2_streamed_daily_counts", "s12_published_days", "s14_appended_rows", "l01_daily_crawl"}
+    stored = {"r1_streamed_lifecycle", "r1_late_crawls", "r2_streamed_daily_counts", "s12_published_days", "s14_appended_rows", "l01_daily_crawl"}
     scheduler = spark.sparkContext._jsc.sc().dagScheduler()
     for name, fn in queries().items():
         if name not in stored:
