@@ -9,7 +9,8 @@ from hirelake.functions.unicode import display_name, name_key, name_slug
 from hirelake.operators import companies as comp, inventory as inv
 from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
-from hirelake.plans.standins import ORDERS_AS_OF, cte, plain, standin, table
+from hirelake.plans.standins import ORDERS_AS_OF, cte, plain, standin, stored, table
+from hirelake.session import cut_lineage
 from hirelake.sources.inventory import csv_candidates, parquet_candidates, unique_inventory, url_inventory
 from hirelake.sources.store import absent
 
@@ -192,8 +193,10 @@ _SUPPORTED = "IN ('greenhouse', 'ashby', 'lever')"
 FROM staged s FULL JOIN merged m ON m.provider = s.provider AND m.source_slug = s.source_slug""",
 )
 def s08(spark, sf):
-    after = inv.upsert_candidates(staged(spark, sf), merged(spark, sf), ORDERS_AS_OF)
-    return plain(after.drop("candidate_id", "last_validated_at"))
+    candidates = stored(spark, staged(spark, sf), ("provider", "source_slug"))
+    fresh = cut_lineage(merged(spark, sf), spark.sparkContext.getCheckpointDir())
+    candidates.rewrite(fresh, lambda rows, new: inv.upsert_candidates(rows, new, ORDERS_AS_OF))
+    return plain(candidates.read().drop("candidate_id", "last_validated_at"))
 
 
 @query(

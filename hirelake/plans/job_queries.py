@@ -8,7 +8,7 @@ from hirelake.functions import scalar as fn
 from hirelake.operators import canonical as canon, eligibility as elig, lifecycle as life, quality, queue as q
 from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
-from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, cte, plain, standin, table
+from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, cte, plain, standin, stored, table
 from hirelake.sources.store import absent, last_per_key
 
 # --- one crawl per calendar day of the event table --------------------------
@@ -68,8 +68,9 @@ def crawl_inputs(spark, sf):
     return state, batch.drop("user_id", "event_id"), crawls, sources
 
 
-def crawl_rows(spark, sf):
+def crawl_rows(spark, sf, keep=lambda state: state):
     state, batch, crawls, sources = crawl_inputs(spark, sf)
+    state = keep(state)
     decisions = life.crawl_decisions(crawls, sources, batch)
     return life.with_outcome(life.diff(state, batch, decisions), EVENTS_AS_OF), decisions, sources
 
@@ -118,7 +119,8 @@ queued AS (SELECT *, CASE WHEN reason IS NULL AND is_created AND baseline THEN '
 FROM queued""",
 )
 def j18(spark, sf):
-    rows, _, _ = crawl_rows(spark, sf)
+    # The state lies in buckets of the key, so only the crawl is shuffled.
+    rows, _, _ = crawl_rows(spark, sf, lambda state: stored(spark, state, tuple(life.KEY)).read())
     return plain(
         rows.select(
             "source_id", "external_job_id", "job_id", "is_created", "is_changed", "is_reactivated", "is_removed",

@@ -7,9 +7,12 @@ start from the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.session import configure
+from hirelake.session import configure, scratch
+from hirelake.sources.buckets import BucketedTable
 
 # Fixed instants that populate every window of the event and order tables.
 EVENTS_AS_OF = "2024-01-25 12:00:00"
@@ -331,6 +334,14 @@ def standin(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _SNAPSHOT_KEYS = "user_id % 25 AS company_id, CAST(ts AS DATE) AS snapshot_date"
 
 
+def stored(spark: SparkSession, rows: DataFrame, keys: tuple[str, ...], buckets: int = 16) -> BucketedTable:
+    """A bucketed table of a query's own that holds ``rows``."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    table = BucketedTable(spark, f"stored_{uuid.uuid4().hex}", scratch(spark, "stored"), schema, keys, buckets).create()
+    table.replace(rows)
+    return table
+
+
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Daily rows per company from the event table."""
     events = table(spark, folder, "events").selectExpr(
