@@ -6,7 +6,9 @@ budget, it is within its proportional share in at least one block.  For each
 block the vectors are range-joined within that share: the first coordinate of
 the block is cut into cells as wide as the range, a cell meets itself and the
 next one, and full cells are split into tiles.  Candidates are verified with
-the cosine of the original vectors in double precision.
+the cosine of the original vectors in double precision: products of unit vectors
+decide pairs that are clearly above or below, and every pair near the threshold is
+decided by dot(a, b) / sqrt(dot(a, a) * dot(b, b)), summed in the order of the entries.
 
 Rotated coordinates are rounded to integers small enough that block distances
 are exact in single precision, and the range is widened by the rounding.  So a
@@ -38,8 +40,11 @@ from hirelake.llm.registry import query, table
 COSINE = 0.9
 BLOCK = 16
 SCALE = 512
-# Vectors of a cell that one task holds on either side.
+# Vectors of a cell that one task holds on either side, and their bytes as doubles.
 TILE = 32768
+TILE_BYTES = 32 << 20
+# Pairs whose cosine, taken by unit vectors, is this close to the threshold are decided anew.
+SLACK = 1e-9
 # Rows of the distance matrix that are made at a time.
 ROWS = 256
 # Share of a distance matrix from which whole matrices are cheaper than pairs.
@@ -75,6 +80,25 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest entry is below one: exact,
+    and squares neither overflow nor vanish together."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, keepdims=True))
+    return np.ldexp(rows, -exponent)
+
+
+def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of paired rows, each sum in the order of the entries."""
+
+    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for k in range(x.shape[1]):
+            total += x[:, k] * y[:, k]
+        return total
+
+    return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
+
+
 def _cells(classes: DataFrame, cosine: float) -> DataFrame:
     """Per class: the rotated, rounded vector and its cell in each block."""
 
@@ -116,10 +140,12 @@ def _dealt(cells: DataFrame, tile: int) -> DataFrame:
     # At most as many cells as the unit interval has ranges, a few for each block.
     counts = placed.groupBy("size", "block", "cell").count()
     beside = counts.select("size", "block", (F.col("cell") - 1).alias("cell"), "count")
+    room = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("size")))))
     tiles = (
         counts.union(beside)
         .groupBy("size", "block", "cell")
-        .agg(F.ceil(F.max("count") / tile).cast("int").alias("tiles"))
+        .agg(F.max("count").alias("most"))
+        .select("size", "block", "cell", F.ceil(F.col("most") / room).cast("int").alias("tiles"))
     )
     here = placed.withColumn("side", F.lit(0)).union(
         placed.withColumn("cell", F.col("cell") - 1).withColumn("side", F.lit(2))
@@ -158,7 +184,8 @@ class _Side:
         order = np.argsort(turned[:, block.start], kind="stable")
         self.ids = data.column("class").to_numpy()[order]
         self.copies = data.column("copies").to_numpy()[order]
-        self.unit = _unit(_matrix(data.column("vector"), size)[order])
+        self.plain = _scaled(_matrix(data.column("vector"), size)[order])
+        self.unit = _unit(self.plain)
         self.turned = turned[order].astype(np.float32)
         self.first = self.turned[:, block.start]
 
@@ -171,6 +198,15 @@ class _Side:
         return np.concatenate([-2 * y, np.ones((len(y), 1), np.float32), (y * y).sum(axis=1, keepdims=True)], axis=1).T
 
 
+def _linked(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, near: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs are linked, given their cosines up to rounding."""
+    linked = near >= cosine
+    close = np.flatnonzero(np.abs(near - cosine) <= SLACK)
+    if len(close):
+        linked[close] = exact_cosine(a.plain[i[close]], b.plain[j[close]]) >= cosine
+    return linked
+
+
 def _meet(a: _Side, b: _Side, size: int, block: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs linked whose first block within its range is ``block``; of a
     side with itself, each pair once."""
@@ -192,16 +228,18 @@ def _meet(a: _Side, b: _Side, size: int, block: int, cosine: float) -> Iterator[
             columns = slice(begin, end)
             for earlier in range(block):
                 near &= a.left(blocks[earlier], rows) @ b.right(blocks[earlier], columns) > ranges[earlier]
-            near &= a.unit[rows] @ b.unit[columns].T >= cosine
+            found = a.unit[rows] @ b.unit[columns].T
+            near &= found >= cosine - SLACK
             i, j = np.divmod(np.flatnonzero(near), end - begin)
-            yield i + at, j + begin
+            linked = _linked(a, b, i + at, j + begin, found[i, j], cosine)
+            yield i[linked] + at, j[linked] + begin
         elif count:
             i, j = np.divmod(np.flatnonzero(near), end - begin)
             i, j = i + at, j + begin
             for earlier in range(block):
                 apart = ((a.turned[i, blocks[earlier]] - b.turned[j, blocks[earlier]]) ** 2).sum(axis=1) > ranges[earlier]
                 i, j = i[apart], j[apart]
-            linked = np.einsum("ij,ij->i", a.unit[i], b.unit[j]) >= cosine
+            linked = _linked(a, b, i, j, np.einsum("ij,ij->i", a.unit[i], b.unit[j]), cosine)
             yield i[linked], j[linked]
 
 

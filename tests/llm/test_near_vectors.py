@@ -64,3 +64,44 @@ def test_empty_table(spark):
 def test_query_matches_sql(spark):
     got = nv.op4_near_vectors(spark, FOLDER).toPandas()
     assert compare(got, connect(FOLDER).execute(nv.SQL).df()) is None
+
+
+def at_threshold():
+    """Integer vectors of which many pairs have a cosine of exactly 0.9."""
+    squares = [(x, y, z) for x in range(-4, 5) for y in range(-4, 5) for z in range(-4, 5) if x * x + y * y + z * z == 19]
+    ends = [[9 * k, *(k * c for c in s)] for s in squares for k in (1, 3, 7)]
+    return [[float(k), 0.0, 0.0, 0.0] for k in (1, 2, 5, 11)] + [list(map(float, v)) for v in ends]
+
+
+def exact(a, b):
+    """Is dot(a, b) / (|a| |b|) >= 0.9, in whole numbers?"""
+    a, b = [int(x) for x in a], [int(x) for x in b]
+    dot = sum(x * y for x, y in zip(a, b, strict=True))
+    return dot > 0 and 100 * dot * dot >= 81 * sum(x * x for x in a) * sum(y * y for y in b)
+
+
+@pytest.mark.parametrize("dense", [-1.0, 2.0])
+def test_pairs_at_the_threshold_link_in_both_branches(monkeypatch, dense):
+    monkeypatch.setattr(nv, "DENSE", dense)
+    rows = np.array(at_threshold())
+    turned = np.rint(nv._unit(rows) @ nv._rotation(4) * nv.SCALE).astype(np.int16)
+    table = nv.pa.table({"class": np.arange(len(rows)), "copies": np.ones(len(rows), np.int64), "vector": rows.tolist(), "turned": [t.tobytes() for t in turned]})
+    side = nv._Side(table, 4, nv._blocks(4)[0])
+    got = {frozenset((int(side.ids[a]), int(side.ids[b]))) for i, j in nv._meet(side, side, 4, 0, 0.9) for a, b in zip(i, j, strict=True)}
+    want = {frozenset((i, j)) for i in range(len(rows)) for j in range(i) if exact(rows[i], rows[j])}
+    assert got == want and sum(min(pair) < 4 <= max(pair) for pair in got) == 4 * (len(rows) - 4)
+
+
+def test_pairs_at_the_threshold_equal_sql(spark, tmp_path):
+    rows = [(i, v) for i, v in enumerate(at_threshold())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    frame.write.parquet(f"{tmp_path}/embeddings")
+    db = connect(FOLDER)
+    db.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+    assert compare(nv.near_duplicates(frame).toPandas(), db.execute(nv.SQL).df()) is None
+
+
+def test_entries_of_any_size_are_scaled_exactly():
+    a, b = np.array([[1.0, 0, 0, 0]]), np.array([[9.0, 3, 3, 1]])
+    for power in (-1000, -500, 0, 500, 1000):
+        assert nv.exact_cosine(nv._scaled(np.ldexp(a, power)), nv._scaled(np.ldexp(b, -power // 2)))[0] == 0.9
