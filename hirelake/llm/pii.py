@@ -128,7 +128,8 @@ _octet = rf"(?:[0-9]{{1,3}}|(?:{_numeral})(?:[\s,-]++(?:{_numeral})\b){{0,2}})\b
 _spoken_ip = re.compile(rf"\b{_octet}(?:(?:\s++(?:dot|point)\s++|\.){_octet}){{3,}}", re.IGNORECASE)
 _spoken_part = re.compile(rf"\s+(?P<dot>dot|point)\s+|(?P<numeral>{_numeral})(?:[\s,-]+(?=(?:{_numeral})\b))?", re.IGNORECASE)
 
-_sign = r"[ \t]*[\[({<][ \t]*(?:%s)[ \t]*[\])}>][ \t]*"
+# Found by its bracket; the blanks before it are taken by hand, so that a run of blanks is read once.
+_sign = r"[\[({<][ \t]*(?:%s)[ \t]*[\])}>][ \t]*"
 _bracketed = re.compile(rf"(?P<at>{_sign % 'at|@'})|(?P<dot>{_sign % r'dot|punkt|punto|point|\.'})", re.IGNORECASE)
 # Without brackets, "at" counts only before a host whose dots are spelled too.
 _name = r"[A-Za-z0-9-]+"
@@ -235,8 +236,19 @@ def _local_dots(text: Rewritten) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _bracketed_signs(now: str) -> list[tuple[int, int, str]]:
+    edits, floor = [], 0
+    for m in _bracketed.finditer(now):
+        start = m.start()
+        while start > floor and now[start - 1] in " \t":
+            start -= 1
+        edits.append((start, m.end(), "@" if m["at"] else "."))
+        floor = m.end()
+    return edits
+
+
 def plain_signs(text: Rewritten) -> Rewritten:
-    text = text.replace([(m.start(), m.end(), "@" if m["at"] else ".") for m in _bracketed.finditer(text.text)])
+    text = text.replace(_bracketed_signs(text.text))
     text = text.replace([(m.start(), m.end(), "@") for m in _spaced.finditer(text.text)])
     text = text.replace(_local_dots(text))
     return text.replace(

@@ -126,10 +126,18 @@ def test_clean_texts_gain_nothing(text):
     assert not any(pii.spans(text)[1].values())
 
 
+def test_blanks_before_a_sign_go_with_it():
+    for blanks in ("", " ", "\t  ", " " * 50):
+        text = f"write to ana{blanks}[at]{blanks}example{blanks}(dot){blanks}org now"
+        assert pii.spans(text)[1]["email"] == [(9, text.index("org") + 3)]
+
+
 def test_long_runs_take_linear_time():
     start = time.perf_counter()
-    for unit in ("a", "7", "1 ", "@", "a@", "1.", "+1 (", "one ", " at ", "[at]", "é", "\u200b", "x dot ", "a at b "):
+    for unit in ("a", "7", "1 ", "@", "a@", "1.", "+1 (", "one ", " at ", "[at]", "é", "\u200b", "x dot ", "a at b ", " ", "\t"):
         pii.spans(unit * (200_000 // len(unit)))
+    for text in ("a%sb", "one%stwo", "one%s", "plus%s1", "a [%sat", "a at b%sdot", "a%s[at] b.de"):
+        pii.spans(text % (" " * 200_000))
     assert time.perf_counter() - start < 40
 
 
