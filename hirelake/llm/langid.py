@@ -9,14 +9,14 @@ Words are letters only, lower-cased; a word repeated at once counts once, so
 that runs of one word, which any dictionary compresses, do not drown the rest.
 
 The dictionaries are fitted on a bounded sample: per language the
-``SAMPLE_ROWS`` labelled texts of least digest of their id, ``SAMPLE_CHARS``
+``SAMPLE_ROWS`` labelled texts of least digest of id and text, ``SAMPLE_CHARS``
 characters of each, ``DICTIONARY_BYTES`` in all.  Predictions read whole texts.
 
 Defined results: a null text and one without a letter are ``und`` with score 0,
 rejected; ties go to the language that sorts first and are rejected; with no
 labelled row every text is ``und``; rows without an id are never held out and
-never learned from; repeated rows are predicted alike; an empty table gives an
-empty result.
+never learned from; repeated rows are learned from once and predicted alike; an empty
+table gives an empty result; numerals of any script are no letters.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ UNKNOWN = "und"
 # Every FOLDS-th document (by a checksum of its id) is held out of the sample.
 FOLDS = 5
 
-_words = re.compile(r"[^\W\d_]+").findall
+# Signs such as fractions and raised digits are alphanumeric and neither letters nor digits.
+_numerals = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_words = re.compile(rf"[^\W\d_{_numerals}]+").findall
 
 
 def letters(text: str) -> bytes:
@@ -59,14 +61,16 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     At most SAMPLE_ROWS * SAMPLE_CHARS characters a language come to the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     pick = Window.partitionBy("lang").orderBy("at", "sample")
-    # Digests are even: those beyond twice the share that is wanted go before the ranking.
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    marked = labelled.select("lang", F.xxhash64("doc_id", "text").alias("at"), "text")
+    # Digests of different rows are even: those beyond twice the share that is wanted go before the ranking.
+    counts = {r.lang: r.n for r in marked.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).collect()}
     if not counts:
         return {}
-    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, (2.0 * SAMPLE_ROWS / n - 0.5) * 2.0**64)])
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, (2.0 * SAMPLE_ROWS / max(n, 1) - 0.5) * 2.0**64)])
     sample = (
-        labelled.select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, SAMPLE_CHARS).alias("sample"))
-        .where(F.col("at") <= F.element_at(bound, F.col("lang")))
+        marked.where(F.col("at") <= F.element_at(bound, F.col("lang")))
+        .groupBy("lang", "at")
+        .agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("sample"))
         .withColumn("place", F.row_number().over(pick))
         .where(F.col("place") <= SAMPLE_ROWS)
     )
@@ -125,13 +129,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], ma
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The documents whose language is told, with their columns."""
-    columns = docs.columns
-    known = [c for c in columns if c not in ("lang_pred", "score", "accepted")]
-    if known == columns:
-        return predict(docs, dictionaries, columns, margin).where("accepted").select(*columns)
-    renamed = docs.select(*[F.col(c).alias(c if c == "text" else f"__{c}") for c in columns])
-    out = predict(renamed, dictionaries, renamed.columns, margin).where("accepted")
-    return out.select(*[F.col(r).alias(c) for c, r in zip(columns, renamed.columns, strict=True)])
+    # Carried whole under one name, so that no column's name can clash.
+    every = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    carried = docs.select(F.struct(*every).alias("row"), "text")
+    return predict(carried, dictionaries, ["row"], margin).where("accepted").select("row.*")
 
 
 @query("op5_language_id")
