@@ -49,7 +49,7 @@ def _skill_keys() -> Column:
     return F.array_distinct(F.transform("skills", F.lower))
 
 
-def _places() -> Column:
+def place_labels() -> Column:
     return location_labels(F.col("location"), F.col("ai_locations"))
 
 
@@ -57,7 +57,7 @@ def facet_condition(group: str, value: str, as_of) -> Column:
     if group == "datePosted":
         return within_hours(int(value), as_of)
     if group == "location":
-        return F.array_contains(_places(), value)
+        return F.array_contains(place_labels(), value)
     if group == "role":
         kind, _, name = value.partition(":")
         return F.col("job_family" if kind == "family" else "job_subfamily") == name
@@ -79,7 +79,7 @@ def text_matches(needle: str) -> Column:
 
 def place_matches(needle: str) -> Column:
     wanted = F.lit(needle.strip().lower())
-    return F.exists(_places(), lambda x: F.contains(F.lower(x), wanted))
+    return F.exists(place_labels(), lambda x: F.contains(F.lower(x), wanted))
 
 
 # Sort order of search results; undated rows sort as oldest.
@@ -157,7 +157,7 @@ def facets(jobs: DataFrame, as_of) -> DataFrame:
     nothing = F.lit(None).cast("string")
     options = F.concat(
         scalars,
-        F.transform(_places(), lambda p: option("location", p, p, F.lit(1))),
+        F.transform(place_labels(), lambda p: option("location", p, p, F.lit(1))),
         # A key counts once a job; its spellings only add labels.
         F.transform(_skill_keys(), lambda k: option("skill", k, nothing, F.lit(1))),
         F.transform("skills", lambda s: option("skill", F.lower(s), s, F.lit(0))),
