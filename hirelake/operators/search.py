@@ -134,6 +134,16 @@ def facets(jobs: DataFrame, as_of) -> DataFrame:
     Age and years options are listed even at zero.  A job emits a list as long
     as its values; the counts combine on the map side.
     """
+    return (
+        jobs.select(F.inline(facet_options(as_of)))
+        .where("value IS NOT NULL")
+        .groupBy("group", "value")
+        .agg(F.min("label").alias("label"), F.sum("hit").alias("count"))
+    )
+
+
+def facet_options(as_of) -> Column:
+    """The options of a job, as an array of (group, value, label, hit)."""
 
     def option(group: str, value: Column, label: Column, hit: Column) -> Column:
         return F.struct(
@@ -155,19 +165,13 @@ def facets(jobs: DataFrame, as_of) -> DataFrame:
         *[plain(group, F.col(column)) for group, column in TEXT_FACETS.items()],
     )
     nothing = F.lit(None).cast("string")
-    options = F.concat(
+    return F.concat(
         scalars,
         F.transform(place_labels(), lambda p: option("location", p, p, F.lit(1))),
         # A key counts once a job; its spellings only add labels.
         F.transform(_skill_keys(), lambda k: option("skill", k, nothing, F.lit(1))),
         F.transform("skills", lambda s: option("skill", F.lower(s), s, F.lit(0))),
     )
-    return (
-        jobs.select(F.inline(options))
-        .where("value IS NOT NULL")
-        .groupBy("group", "value")
-        .agg(F.min("label").alias("label"), F.sum("hit").alias("count"))
-    )
 
 
 def distinct_values(jobs: DataFrame, column: str) -> DataFrame:

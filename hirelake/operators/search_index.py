@@ -31,15 +31,16 @@ _GENERATION = "segment bigint, jobs bigint, bytes bigint, grams_version bigint,
 
 
 def grams(texts: Column) -> Column:
-    """The distinct grams of some texts, lower-cased, as an array; linear in their length."""
-    letters = F.split(F.lower(texts), "")
+    """The distinct grams of a text, lower-cased, as an array; linear in its length."""
 
-    def runs(size: int) -> Column:
+    def runs(letters: Column, size: int) -> Column:
         count = F.size(letters) - (size - 1)
         ends = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(ends, lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)]))
 
-    return F.array_distinct(F.concat(*[runs(size) for size in GRAMS]))
+    # The letters are a variable of a lambda: an expression would be computed anew for every gram.
+    letters = F.array(F.split(F.lower(F.coalesce(texts, F.lit(""))), ""))
+    return F.array_distinct(F.flatten(F.transform(letters, lambda own: F.concat(*[runs(own, size) for size in GRAMS]))))
 
 
 def wanted_grams(needle: str) -> list[str]:
@@ -133,11 +134,9 @@ class SearchIndex:
         numbered = cut(numbered.withColumn("segment", F.expr(f"number div {self.segment}")).withColumn("place", F.expr(f"int(number % {self.segment})")))
         numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{self.path}/jobs")
         texts = F.concat_ws("\n", "title", "company", "description", "job_family", "job_subfamily", F.array_join("skills", "\n"), F.array_join("related_roles", "\n"))
-        held = F.array_distinct(
-            F.concat(
-                F.transform(grams(texts), lambda g: F.concat(F.lit(TEXT), g)),
-                F.transform(grams(F.array_join(place_labels(), "\n")), lambda g: F.concat(F.lit(PLACE), g)),
-            )
+        held = F.concat(
+            F.transform(grams(texts), lambda g: F.concat(F.lit(TEXT), g)),
+            F.transform(grams(F.array_join(place_labels(), "\n")), lambda g: F.concat(F.lit(PLACE), g)),
         )
         # Rows of a segment lie together, so lists are made before the shuffle; a list has SEGMENT places at most.
         lists = (

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hirelake.functions import scalar as fn
-from hirelake.operators import canonical as canon, runs as run, search, search_index
+from hirelake.operators import canonical as canon, facet_bitmaps, runs as run, search, search_index
 from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
 from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, SCHEMAS, cte, plain, snapshots, standin, table
@@ -169,6 +169,7 @@ def indexed(spark, sf):
     """An index of the jobs: most are stored on one day, some of them with other texts,
     beside jobs that will go; the rest comes, and those change, the day after."""
     rows = client(spark, sf).select("id", "title", "company", "description", "job_family", "job_subfamily", "skills", "related_roles", "location", "ai_locations")
+    rows = cut_lineage(rows, spark.sparkContext.getCheckpointDir())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     index = search_index.SearchIndex(spark, f"index_{uuid.uuid4().hex}", scratch(spark, "index"), schema, rows.schema["id"].dataType.simpleString(), buckets=16).create()
     late, stale = F.expr("pmod(hash(id), 3) = 0"), F.expr("pmod(hash(id), 5) = 0")
@@ -267,6 +268,41 @@ def a20(spark, sf):
     return search.facets(client(spark, sf), ORDERS_AS_OF)
 
 
+_FILTERED = "workplace_type = 'remote' AND provider IN ('ashby', 'gem')"
+
+
+def _facet_rows(where):
+    parts = [
+        f"SELECT 'datePosted' AS \"group\", '24' AS value FROM jobs WHERE {where} AND {_AGE} <= 24",
+        f"SELECT 'datePosted', '48' FROM jobs WHERE {where} AND {_AGE} <= 48",
+        f"SELECT 'location', p FROM (SELECT unnest(places) AS p FROM jobs WHERE {where})",
+        f"SELECT 'role', 'family:' || job_family FROM jobs WHERE {where} AND job_family <> ''",
+        f"SELECT 'role', 'subfamily:' || job_subfamily FROM jobs WHERE {where} AND job_subfamily <> ''",
+        f"SELECT 'experience', 'seniority:' || seniority FROM jobs WHERE {where} AND seniority <> ''",
+        f"SELECT 'experience', 'years:entry' FROM jobs WHERE {where} AND years_experience_min <= 2",
+        f"SELECT 'experience', 'years:mid' FROM jobs WHERE {where} AND years_experience_min BETWEEN 3 AND 5",
+        f"SELECT 'experience', 'years:senior' FROM jobs WHERE {where} AND years_experience_min >= 6",
+        f"SELECT 'skill', k FROM (SELECT DISTINCT id, lower(s) AS k FROM (SELECT id, unnest(skills) AS s FROM jobs WHERE {where}))",
+        f"SELECT 'workplace', workplace_type FROM jobs WHERE {where} AND workplace_type <> ''",
+        f"SELECT 'employment', employment_type FROM jobs WHERE {where} AND employment_type <> ''",
+        f"SELECT 'company', company FROM jobs WHERE {where} AND company <> ''",
+        f"SELECT 'source', provider FROM jobs WHERE {where} AND provider <> ''",
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "a20_filtered_facets",
+    _CLIENT_SQL + f'SELECT "group", value, CAST(count(*) AS BIGINT) AS count FROM ({_facet_rows(_FILTERED)}) WHERE value IS NOT NULL GROUP BY 1, 2',
+)
+def a20_filtered(spark, sf):
+    jobs = client(spark, sf).withColumn("number", F.col("id").cast("bigint"))
+    # Two days of jobs, whose bitmaps are merged.
+    days = [facet_bitmaps.bitmaps(jobs.where(F.expr(f"number % 2 = {half}")), ORDERS_AS_OF) for half in (0, 1)]
+    stored = facet_bitmaps.merge(*days)
+    return facet_bitmaps.counts(stored, {"workplace": ["remote"], "source": ["ashby", "gem"]})
+
+
 @query("a24_distinct_skills", _CLIENT_SQL + "SELECT DISTINCT unnest(skills) AS value FROM jobs")
 def a24(spark, sf):
     return search.distinct_values(client(spark, sf), "skills")
@@ -505,28 +541,22 @@ def a26(spark, sf):
     "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def r2(spark, sf):
-    configure(spark)
-    folder = scratch(spark, "daily-counts")
+    folder = scratch(configure(spark), "daily-counts")
     stream = (
         spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
         .selectExpr("ts AS occurred_at", "event_type")
     )
-
-    def store_days(changed, batch_id: int) -> None:
-        # One row per day and type and batch; the newest batch is the current count.
-        changed.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
-
+    counts = crawl_stream.counts_table(spark, f"counts_{uuid.uuid4().hex}", f"{folder}/counts", buckets=4)
     started = (
         crawl_stream.daily_event_counts(stream)
         .writeStream.outputMode("update")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(store_days)
+        .foreachBatch(crawl_stream.keyed_sink(counts, cut_lineage))
         .start()
     )
     started.awaitTermination()
-    counts = spark.read.schema("day date, event_type string, n bigint, batch bigint").parquet(f"{folder}/counts")
-    return plain(counts.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n")))
+    return plain(counts.read().drop("batch"))
 
 
 # Weekly crawls of three sources from the event table: a posting is a value of

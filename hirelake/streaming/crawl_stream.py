@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from hirelake.operators import lifecycle
 from hirelake.operators.lifecycle import JOB_SCHEMA, QUEUE_SCHEMA, SOURCE_SCHEMA
+from hirelake.sources.buckets import BucketedTable
 from hirelake.sources.store import absent, first_per_key, read_rows
 
 MANIFEST_SCHEMA = (
@@ -411,3 +412,24 @@ def daily_event_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.to_date("w.start").alias("day"), "event_type", "n")
     )
+
+
+def counts_table(spark: SparkSession, name: str, path: str, buckets: int = 16) -> BucketedTable:
+    """Where ``daily_event_counts`` are kept: one row a day and type."""
+    return BucketedTable(spark, name, path, "day date, event_type string, n bigint, batch bigint", ("day", "event_type"), buckets).create()
+
+
+def keyed_sink(table: BucketedTable, cut) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function of a query in update mode: the newest row of each key.
+
+    ``table`` has the keys of the rows and a column ``batch``.  A batch rewrites the buckets
+    it has keys of, so what is stored is bounded by the keys, and a batch that comes
+    again, even after later ones, changes nothing.
+    """
+
+    def apply(changed: DataFrame, batch_id: int) -> None:
+        rows = cut(changed.withColumn("batch", F.lit(batch_id).cast("bigint")))
+        if not rows.isEmpty():
+            table.upsert(rows, when=lambda old, new: new("batch") >= old("batch"))
+
+    return apply

@@ -9,10 +9,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake.operators import companies as comp, enrich, inventory as inv, lifecycle as life, runs, snapshots as snap, trends
+from hirelake.operators import companies as comp, enrich, facet_bitmaps, inventory as inv, lifecycle as life, runs, search, snapshots as snap, trends
 from hirelake.operators.hiring_stats import hiring_stats
 from hirelake.operators.quality import violations
 from hirelake.plans import daily, queries
+from hirelake.plans.search_queries import client
+from hirelake.plans.standins import ORDERS_AS_OF
 from hirelake.session import cut_lineage
 from hirelake.sources import inventory as src, payloads, store
 from hirelake.sources.payloads import with_content_hash
@@ -21,8 +23,10 @@ from hirelake.streaming.crawl_stream import (
     MANIFEST_SCHEMA,
     POSTING_SCHEMA,
     Folders,
+    counts_table,
     current_state,
     daily_event_counts,
+    keyed_sink,
     start_lifecycle,
 )
 
@@ -533,6 +537,35 @@ def test_building_a_query_starts_no_job(spark):
             assert scheduler.numTotalJobs() == before, name
 
 
+def test_stored_counts_stand_replays(spark, tmp_path):
+    table = counts_table(spark, "stored_counts", f"file://{tmp_path}/counts", buckets=4)
+    sink = keyed_sink(table, cut)
+    schema = "day date, event_type string, n bigint"
+    day = lambda d, kind, n: (datetime(2026, 1, d).date(), kind, n)
+    batches = [[day(1, "created", 2)], [day(1, "created", 3), day(2, "removed", 1)], [day(2, "removed", 4)], []]
+    for number, replay in [(0, 0), (1, 1), (1, 1), (2, 2), (0, 0), (1, 1), (3, 3)]:
+        sink(spark.createDataFrame(batches[number], schema), replay)
+    got = sorted((r["day"].day, r["event_type"], r["n"], r["batch"]) for r in table.read().collect())
+    assert got == [(1, "created", 3, 1), (2, "removed", 4, 2)]
+    # Two versions of at most as many folders as buckets.
+    kept = [w for b in (tmp_path / "counts/rows").glob("bucket_no=*") for w in b.glob("write_no=*")]
+    assert len(kept) <= 8
+
+
+def test_facet_counts_of_filtered_jobs_equal_a_scan(spark):
+    jobs = client(spark, "/root/testdata/sf0.001").withColumn("number", F.col("id").cast("bigint") * 37)  # several buckets
+    stored = cut(facet_bitmaps.merge(*[facet_bitmaps.bitmaps(jobs.where(F.expr(f"number % 3 = {k}")), ORDERS_AS_OF) for k in range(3)]))
+    for filters in ({}, {"workplace": ["remote"], "experience": ["years:mid", "seniority:senior"]}, {"location": ["Austin, TX"], "skill": ["sql"], "source": []}, {"company": ["nobody"]}):
+        found = search.search(jobs, ORDERS_AS_OF, filters=filters)
+        want = {(r["group"], r["value"]): r["count"] for r in search.facets(found, ORDERS_AS_OF).collect() if r["count"]}
+        assert {(r["group"], r["value"]): r["count"] for r in facet_bitmaps.counts(stored, filters).collect()} == want
+        assert tuple(facet_bitmaps.total(stored, filters).first()) == tuple(search.result_counts(found).first())
+    # A text search joins in as one more set.
+    found = search.search(jobs, ORDERS_AS_OF, query="urgent", filters={"workplace": ["remote"]})
+    hits = facet_bitmaps.numbers(search.search(jobs, ORDERS_AS_OF, query="urgent"))
+    assert tuple(facet_bitmaps.total(stored, {"workplace": ["remote"]}, hits).first()) == tuple(search.result_counts(found).first())
+
+
 def test_daily_counts_wait_for_late_events(spark, tmp_path):
     path = str(tmp_path / "events")
     at = [datetime(2026, 1, 1, 3), datetime(2026, 1, 1, 23), datetime(2026, 1, 2, 1), datetime(2026, 1, 4, 1)]
