@@ -112,6 +112,55 @@ def daily_activity(
     )
 
 
+def roll_histograms(previous: DataFrame, before: DataFrame, after: DataFrame, day) -> DataFrame:
+    """A day's histograms from the previous day's and the records that changed.
+
+    ``before`` has the records as they counted until then of jobs that were changed,
+    closed or moved, ``after`` those that count from now on of jobs that were changed,
+    opened or moved.  Records that stay as they are are not read: what no longer
+    holds is retracted, what holds anew is added.
+    """
+    key = ["company_id", "dimension", "name"]
+
+    def counted(records: DataFrame, sign: int) -> DataFrame:
+        return records.select("company_id", F.inline(category_labels()), F.lit(sign).cast("bigint").alias("count"))
+
+    entries = previous.select(*key, "count").unionByName(counted(before, -1)).unionByName(counted(after, 1))
+    return entries.groupBy(*key).agg(F.sum("count").alias("count")).where("count <> 0").withColumn("snapshot_date", day_literal(day))
+
+
+def roll_activity(
+    previous: DataFrame, companies: DataFrame, before: DataFrame, after: DataFrame, events: DataFrame,
+    records_before: DataFrame, records_after: DataFrame, day,
+) -> DataFrame:
+    """A day's activity from the previous day's: open and enriched jobs move by the
+    jobs (and records) that changed, the other counts are the day's own.
+
+    ``before`` and ``after`` are rows of every job with an event on the day, and of
+    any other that changed, as they were and as they are.
+    """
+
+    def moved(rows: DataFrame, sign: int, name: str) -> DataFrame:
+        return rows.groupBy("company_id").agg((F.count(F.lit(1)) * sign).alias(name))
+
+    kept = previous.select("company_id", "total_open_jobs", "enriched_jobs")
+    parts = [
+        moved(open_us_jobs(before), -1, "total_open_jobs"),
+        moved(open_us_jobs(after), 1, "total_open_jobs"),
+        moved(records_before, -1, "enriched_jobs"),
+        moved(records_after, 1, "enriched_jobs"),
+        day_events(after, events, day),
+    ]
+    every = companies.select("company_id")
+    # One aggregate over narrow rows in place of a join for each part.
+    for part in [kept, *parts]:
+        every = every.unionByName(part.join(companies.select("company_id"), "company_id", "left_semi"), allowMissingColumns=True)
+    rows = every.groupBy("company_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ACTIVITY])
+    return rows.withColumn("snapshot_date", day_literal(day)).withColumn(
+        "enrichment_coverage", coverage(F.col("enriched_jobs"), F.col("total_open_jobs"))
+    )
+
+
 def unpack_histograms(snapshots: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Long form of map-typed snapshot columns, given as {column: dimension}."""
     def labelled(column: str, dimension: str) -> Column:

@@ -375,8 +375,7 @@ _RECORDS_SQL = cte("order_jobs", "enrichments") + """, records AS (
   WHERE j.active AND j.is_us_job AND e.schema_version = 'v3')"""
 
 
-@query(
-    "a04_category_histograms",
+_HISTOGRAMS_SQL = (
     _RECORDS_SQL
     + f""", named AS (
   SELECT company_id, 'role' AS dimension, standardized_title AS name FROM records
@@ -385,12 +384,28 @@ _RECORDS_SQL = cte("order_jobs", "enrichments") + """, records AS (
   UNION ALL SELECT company_id, 'location', concat_ws(', ', city, state, country) FROM records WHERE city IS NOT NULL
   UNION ALL SELECT company_id, 'workplace', workplace_type FROM records WHERE workplace_type <> 'unknown'
   UNION ALL SELECT company_id, 'domain', unnest(list_filter(domain_tags, lambda x: trim(x) <> '')) FROM records)
-SELECT company_id, dimension, name, count(*) AS count, '{_DAY}' AS snapshot_date FROM named GROUP BY ALL""",
+SELECT company_id, dimension, name, count(*) AS count, '{_DAY}' AS snapshot_date FROM named GROUP BY ALL"""
 )
+
+
+@query("a04_category_histograms", _HISTOGRAMS_SQL)
 def a04(spark, sf):
     return plain(snap.category_histograms(order_records(spark, sf), _DAY))
 
 
+@query("a04_rolled_histograms", _HISTOGRAMS_SQL)
+def a04_rolled(spark, sf):
+    """The same histograms, rolled forward from a day on which some records were others."""
+    records = order_records(spark, sf)
+    other, opened, closed = (f"pmod(hash(company_id, standardized_title, seniority, {k}), 5) = 0" for k in (1, 2, 3))
+    was = records.withColumn("standardized_title", F.lit("an earlier title")).withColumn("domain_tags", F.array(F.lit("earlier"), F.lit(" ")))
+    gone = records.where(closed).withColumn("company_id", F.col("company_id") + 1)
+    before = was.where(f"{other} AND NOT {opened}").unionByName(gone)
+    known = records.where(f"NOT ({other}) AND NOT ({opened})").unionByName(before)
+    after = records.where(f"{other} OR {opened}")
+    return plain(snap.roll_histograms(snap.category_histograms(known, "1998-01-01"), before, after, _DAY))
+
+
 @query(
     "a05_enrichment_coverage",
     _RECORDS_SQL

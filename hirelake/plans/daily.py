@@ -114,3 +114,16 @@ def publish_day(
         histograms=snapshot_ops.category_histograms(records, day),
         stats=hiring_stats(companies, jobs, as_of),
     )
+
+
+def roll_day(
+    previous: DailyOutput, companies: DataFrame, jobs: DataFrame, before: DataFrame, after: DataFrame, events: DataFrame,
+    enrichments_before: DataFrame, enrichments_after: DataFrame, day, as_of,
+) -> DailyOutput:
+    """The next day from the one before and the rows that changed (see ``snapshots.roll_activity``)."""
+    was, now = snapshot_ops.current_records(before, enrichments_before), snapshot_ops.current_records(after, enrichments_after)
+    return DailyOutput(
+        activity=snapshot_ops.roll_activity(previous.activity, companies, before, after, events, was, now, day),
+        histograms=snapshot_ops.roll_histograms(previous.histograms, was, now, day),
+        stats=hiring_stats(companies, jobs, as_of),
+    )

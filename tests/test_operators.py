@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import tempfile
 from datetime import datetime
 
@@ -383,6 +384,65 @@ def test_top_entries_of_a_large_vocabulary(spark):
     assert got == [(1, "s100999", 999), (2, "s101999", 999)]
 
 
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_thirty_days_rolled_equal_thirty_days_recomputed(spark, one_partition):
+    rng = random.Random(3)
+    job_schema = "job_id int, company_id int, content_hash string, active boolean, is_us_job boolean"
+    record_schema = (
+        "job_id int, content_hash string, schema_version string, standardized_title string, required_skills array<string>, preferred_skills array<string>, "
+        "seniority string, locations array<struct<city:string,state:string,country:string>>, workplace_type string, domain_tags array<string>"
+    )
+    companies = spark.createDataFrame([(c,) for c in range(4)], "company_id int")
+
+    def version(ident):
+        job = (ident, rng.randrange(5), f"h{rng.randrange(10**6)}", rng.random() < 0.8, rng.choice([True, True, False, None]))
+        place = [("Duluth", rng.choice([None, "MN"]), "US")][: rng.randrange(2)]
+        record = (ident, job[2] if rng.random() < 0.8 else "older", "v3", rng.choice(["Welder", "Pilot", None, ""]), rng.choices(["sql", "go", " "], k=2), ["go"],
+                  rng.choice(["senior", "unknown", None]), place, rng.choice(["remote", None]), rng.choice([[], ["sea", "rail"]]))
+        return job, record
+
+    state = {i: version(i) for i in range(40)}
+    kinds = ("created", "changed", "removed", "reactivated")
+
+    def frames(versions):
+        return (spark.createDataFrame([j for j, _ in versions], job_schema).coalesce(1), spark.createDataFrame([r for _, r in versions], record_schema).coalesce(1))
+
+    def whole(events, day):
+        jobs, records = frames(state.values())
+        found = snap.current_records(jobs, records)
+        return snap.daily_activity(companies, jobs, events, found, day), snap.category_histograms(found, day)
+
+    def rows(df):
+        return sorted((sorted((k, str(v)) for k, v in r.asDict().items()) for r in df.collect()), key=str)
+
+    event_schema = "job_id int, event_type string, occurred_at timestamp, metadata string"
+    activity, histograms = (cut(d) for d in whole(spark.createDataFrame([], event_schema), "2026-01-01"))
+    for number in range(2, 32):
+        day = f"2026-01-{number:02}"
+        touched = [rng.randrange(60) for _ in range(rng.randrange(8))]
+        before = [state[i] for i in set(touched) if i in state]
+        for i in touched:
+            state[i] = version(i)
+        after = [state[i] for i in set(touched)]
+        at = datetime(2026, 1, number, rng.randrange(24))
+        events = spark.createDataFrame([(i, rng.choice(kinds), at, rng.choice(["{}", '{"baseline": true}'])) for i in touched], event_schema)
+        (jobs_before, was), (jobs_after, now) = frames(before), frames(after)
+        was, now = snap.current_records(jobs_before, was), snap.current_records(jobs_after, now)
+        activity = cut(snap.roll_activity(activity, companies, jobs_before, jobs_after, events, was, now, day))
+        histograms = cut(snap.roll_histograms(histograms, was, now, day))
+        if number % 10 == 1:
+            again = whole(events, day)
+            assert rows(activity) == rows(again[0].select(activity.columns)), day
+            assert rows(histograms) == rows(again[1].select(histograms.columns)), day
+
+
 def test_market_snapshot_of_nothing(spark):
     none = trends.market_snapshot(empty(spark, "company_id int, snapshot_date date, total_open_jobs bigint, new_jobs bigint, removed_jobs bigint, changed_jobs bigint, enriched_jobs bigint"))
     row = none.first()
