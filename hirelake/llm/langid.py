@@ -43,13 +43,22 @@ UNKNOWN = "und"
 # Every FOLDS-th document (by a checksum of its id) is held out of the sample.
 FOLDS = 5
 
+_words = re.compile(r"[^\W\d_]+").findall
 # Signs such as fractions and raised digits are alphanumeric and neither letters nor digits.
-_numerals = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_words = re.compile(rf"[^\W\d_{_numerals}]+").findall
+_numerals = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+# Apart for the basic plane, whose set is looked up at once; the others are rare.
+_numeral = re.compile(f"[{''.join(c for c in _numerals if c <= '\uffff')}]")
+_beyond = re.compile("[\U00010000-\U0010ffff]").search
+_numeral_beyond = re.compile(f"[{''.join(c for c in _numerals if c > '\uffff')}]")
 
 
 def letters(text: str) -> bytes:
-    return " ".join(word for word, _ in groupby(_words(text.lower()))).encode("utf-8", "replace")
+    low = text.lower()
+    if not low.isascii():
+        low = _numeral.sub(" ", low)
+        if _beyond(low):
+            low = _numeral_beyond.sub(" ", low)
+    return " ".join(word for word, _ in groupby(_words(low))).encode("utf-8", "replace")
 
 
 def held_out() -> Column:
