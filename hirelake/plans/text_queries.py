@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import payload as pay, scalar as fn, scope, text
 from hirelake.operators import enrich, lifecycle
 from hirelake.plans import daily
+from hirelake.plans.job_queries import _DECIDED_SQL, _DUE, _EXPIRY, _OUT, _WORKABLE
 from hirelake.plans.registry import query
 from hirelake.plans.standins import ORDERS_AS_OF, cte, plain, standin, table
 from hirelake.session import cut_lineage
@@ -648,3 +649,55 @@ def x22(spark, sf):
         fn.retry_delay_seconds(F.col("o_orderkey") % 12, asked).alias("seconds"),
         fn.nonnegative_int(given).alias("tokens"),
     )
+
+
+# One enrichment run: expiry, a budget of 100, records that are valid, rejected, failed or not there.
+_RUN_SQL = (
+    _DECIDED_SQL
+    + f""", ready AS (SELECT q.*, row_number() OVER (ORDER BY priority, created_at, queue_id) AS turn FROM reasons q
+  WHERE {_DUE} AND queue_id IN (SELECT q2.queue_id FROM queue q2 JOIN order_jobs j ON j.job_id = q2.job_id AND j.content_hash = q2.content_hash WHERE {_WORKABLE})),
+cut AS (SELECT max(turn) AS last, count(*) AS used FROM (SELECT turn FROM ready WHERE first = 'apply' ORDER BY turn LIMIT 100)),
+checked AS (SELECT CAST(o_orderkey AS VARCHAR) AS r_id, o_orderkey % 5 = 0 AS lost, replace({_ERRORS}, '|', ', ') AS wrong FROM orders WHERE o_orderkey % 11 <> 0),
+batch AS (SELECT ready.*, attempts + 1 AS tried, lost, wrong, CASE WHEN first <> 'apply' OR r_id IS NULL THEN first WHEN NOT lost AND wrong = '' THEN 'completed' ELSE 'failed' END AS outcome
+  FROM ready CROSS JOIN cut LEFT JOIN checked ON r_id = queue_id WHERE used < 100 OR turn <= last),
+ends AS (SELECT *, outcome IN ('failed', 'deferred_scope') AS retried,
+  tried >= 5 OR (outcome = 'failed' AND NOT (lost AND CAST(queue_id AS BIGINT) % 2 = 0)) AS terminal FROM batch)
+"""
+)
+
+
+@query(
+    "l20_enrich_run",
+    _RUN_SQL
+    + f"""SELECT q.queue_id, CASE WHEN e.queue_id IS NULL AND hit THEN 'not_eligible' WHEN e.queue_id IS NULL THEN q.status
+    WHEN outcome IN ('stale', 'completed') THEN 'completed' WHEN outcome IN ('not_eligible', 'skipped_non_us') THEN 'not_eligible'
+    WHEN retried AND terminal THEN 'failed' WHEN retried THEN 'pending' ELSE 'processing' END AS status,
+  CAST(coalesce(tried, q.attempts) AS BIGINT) AS attempts,
+  CASE WHEN e.queue_id IS NULL AND hit THEN expiry WHEN e.queue_id IS NULL THEN q.last_error
+    WHEN outcome = 'failed' THEN CASE WHEN lost THEN 'no answer' ELSE wrong END
+    WHEN outcome IN ('stale', 'not_eligible', 'deferred_scope') THEN outcome_reason END AS last_error
+FROM (SELECT q.*, {_EXPIRY} AS expiry, j.job_id IS NOT NULL AND q.status IN ('pending', 'processing') AND {_OUT} AS hit
+  FROM queue q LEFT JOIN order_jobs j USING (job_id)) q LEFT JOIN ends e USING (queue_id)""",
+)
+def l20_run(spark, sf):
+    return plain(enrichment_run(spark, sf).queue.select("queue_id", "status", "attempts", "last_error"))
+
+
+@query("l20_run_records", _RUN_SQL + "SELECT job_id, content_hash, 'Engineer' AS standardized_title FROM ends WHERE outcome = 'completed'")
+def l20_records(spark, sf):
+    return plain(enrichment_run(spark, sf).enrichments.select("job_id", "content_hash", "standardized_title"))
+
+
+def enrichment_run(spark, sf):
+    lost = F.col("job_id") % 5 == 0
+    answers = extracted(spark, sf).where("job_id % 11 <> 0").select(
+        F.col("job_id").cast("string").alias("queue_id"),
+        F.when(~lost, F.col("data")).alias("data"),
+        F.when(lost, "no answer").alias("error"),
+        F.when(lost, "Timeout").alias("error_class"),
+        F.when(lost, F.col("job_id") % 2 == 0).alias("retryable"),
+        F.lit(None).cast("double").alias("retry_after_seconds"),
+        "model", "input_tokens", "output_tokens",
+    )
+    none = enrich.enrichment_rows(enrich.validate_records(extracted(spark, sf))[0], ORDERS_AS_OF).limit(0)
+    return daily.enrich_run(standin(spark, sf, "queue"), standin(spark, sf, "order_jobs"), answers, none, ORDERS_AS_OF, 100, cut=cut_lineage)
