@@ -6,22 +6,29 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows are handed to Python code in slices whose texts hold about this much.
 SLICE_BYTES = 2 << 20
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; one of its own only where the
+    session names none and runs in a single process (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="hirelake-checkpoint-")
+    return named.rstrip("/")
+
 
-    A folder of its own is taken only where the session names none (tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def settle(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hirelake-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
