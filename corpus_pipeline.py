@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hirelake.llm import langid
 from hirelake.llm.bpe import encode_documents
+from hirelake.llm.common import shared_folder
 from hirelake.llm.decontaminate import decontaminate
 from hirelake.llm.line_dedup import dedup_lines
 from hirelake.llm.simhash import keep_one
@@ -58,12 +58,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is a Parquet table in the
-    folder named by ``spark.checkpoint.dir`` (one of its own where unset)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    place = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder named by ``spark.checkpoint.dir``, and goes when the next one is there."""
+    place = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{place}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
     return docs
