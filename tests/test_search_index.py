@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,9 +38,9 @@ def cutter(tmp_path):
 NEEDLES = [("bridge", ""), ("RÜC", ""), ("a", ""), ("", "tx"), ("字", ""), ("sq", "austin"), ("data f", ""), ("zzz", ""), ("", "Lyon"), ("", ""), (" C++ ", "")]
 
 
-def check(spark, index, jobs):
+def check(spark, index, jobs, needles=NEEDLES):
     every = frame(spark, jobs.values())
-    for query, place in NEEDLES:
+    for query, place in needles:
         got = sorted(r["id"] for r in index.search(query, place).select("id").collect())
         want = sorted(r["id"] for r in search.search(every, AS_OF, query, place).select("id").collect())
         assert got == want, (query, place)
@@ -88,13 +89,16 @@ def test_rare_words_read_few_segments_and_interrupted_updates_leave_no_trace(spa
     changed = {77: job(rng, 77), 500: job(rng, 500)}
     with pytest.raises(RuntimeError):
         index.update(frame(spark, changed.values()), cut=lost)
-    check(spark, index, jobs)
+    check(spark, index, jobs, NEEDLES[:2])
     index.update(frame(spark, changed.values()), cut=cut)
-    check(spark, index, jobs | changed)
+    check(spark, index, jobs | changed, NEEDLES[:5])
 
 
 def test_grams(spark):
     texts = [("Abc",), ("a",), ("",), ("é🙂x",), (None,)]
     got = [r[0] for r in spark.createDataFrame(texts, "t string").select(grams(F.col("t"))).collect()]
-    assert got == [["ab", "bc", "abc"], [], [], ["é🙂", "🙂x", "é🙂x"], None] or got[:4] == [["ab", "bc", "abc"], [], [], ["é🙂", "🙂x", "é🙂x"]]
+    assert got == [["ab", "bc", "abc"], [], [], ["é🙂", "🙂x", "é🙂x"], []]
+    start = time.perf_counter()
+    long = spark.range(1).select(F.size(grams(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.hex(i)), ""))))
+    assert long.first()[0] > 4000 and time.perf_counter() - start < 20
     assert wanted_grams(" AbCd ") == ["abc", "bcd"] and wanted_grams("tx") == ["tx"] and wanted_grams("x") == [] == wanted_grams("")
