@@ -105,15 +105,24 @@ def canonical_jobs(
     Every side is first reduced to one row per job, so the joins share the
     hash partitioning on ``job_id`` and none can be skewed.
     """
-    missing = {*JOB_COLUMNS} - {*jobs.columns} | {*ENRICHMENT_COLUMNS} - {*enrichments.columns}
-    if missing:
-        raise ValueError(f"the view needs columns {sorted(missing)}")
-    now = instant(as_of)
+    require_view_columns(jobs, enrichments)
     joined = (
         jobs.join(enrichment_facts(jobs, enrichments, schema_version), "job_id", "left")
         .join(version_facts(versions), "job_id", "left")
         .join(change_facts(events), "job_id", "left")
     )
+    return present(joined, as_of)
+
+
+def require_view_columns(jobs: DataFrame, enrichments: DataFrame) -> None:
+    missing = {*JOB_COLUMNS} - {*jobs.columns} | {*ENRICHMENT_COLUMNS} - {*enrichments.columns}
+    if missing:
+        raise ValueError(f"the view needs columns {sorted(missing)}")
+
+
+def present(joined: DataFrame, as_of) -> DataFrame:
+    """The view's columns from jobs joined with their facts; ages are counted up to ``as_of``."""
+    now = instant(as_of)
     seen = F.coalesce("posted_at", "first_seen_at")
     e = F.col("e")
     old_salary = F.struct(e["salary_min"], e["salary_max"])

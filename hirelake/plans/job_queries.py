@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hirelake.functions import scalar as fn
 from hirelake.operators import canonical as canon, eligibility as elig, lifecycle as life, quality, queue as q
+from hirelake.operators.stored_view import StoredView
 from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
 from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, cte, plain, standin, stored, table
+from hirelake.session import cut_lineage, scratch
 from hirelake.sources.store import absent, last_per_key
 
 # --- one crawl per calendar day of the event table --------------------------
@@ -400,11 +404,42 @@ _CANONICAL_PLAIN = "SELECT " + ", ".join(
 @query("p21_canonical_jobs", _CANONICAL_SQL + _CANONICAL_PLAIN)
 def p21(spark, sf):
     # Every column of the view, and no other.
-    view = canonical(spark, sf)
+    return _plain_view(canonical(spark, sf))
+
+
+def _plain_view(view):
     assert sorted(view.columns) == sorted((*_VIEW_TIMES, *_VIEW_LISTS, *_VIEW_OTHERS))
     return plain(view.withColumns({c: F.col(c).cast("double") for c in ("years_experience_min", "years_experience_max")}))
 
 
+def view_days(spark, sf):
+    """The tables in three days: every job in an earlier form, then the older jobs as
+    they are, then the others; history as it came, some of it before or after its job."""
+    jobs, records, versions, events = (standin(spark, sf, n) for n in ("order_jobs", "enrichments", "job_versions", "order_events"))
+    earlier = {"content_hash": "CASE content_hash WHEN 'O' THEN 'F' ELSE 'O' END", "title": "'earlier'", "location": "CAST(NULL AS STRING)"}
+    first = jobs.withColumns({c: F.expr(e) for c, e in earlier.items()})
+    older = F.col("first_seen_at") < F.lit("1998-06-01").cast("timestamp")
+    title = F.coalesce("title", F.lit(""))
+    for day, (kind, rows) in enumerate([("", first), ("3-MEDIUM", jobs.filter(older)), ("5-LOW", jobs.filter(~older))]):
+        years = [(1900, 1996), (1997, 1998), (1999, 2100)][day]
+        yield (
+            rows,
+            records.filter(F.year("created_at").between(*years)),
+            versions.filter(title == kind),
+            events.filter(F.year("occurred_at").between(*years)),
+        )
+
+
+@query("p21_stored_view", _CANONICAL_SQL + _CANONICAL_PLAIN)
+def p21_stored(spark, sf):
+    # Kept up over three days; the same rows as the view made from everything.
+    jobs, records = standin(spark, sf, "order_jobs"), standin(spark, sf, "enrichments")
+    kept = StoredView.create(spark, f"kept_{uuid.uuid4().hex}", scratch(spark, "kept"), jobs.schema, records.schema, buckets=16)
+    for number, day in enumerate(view_days(spark, sf)):
+        kept.apply(number, *day, cut=cut_lineage)
+    return _plain_view(kept.read(ORDERS_AS_OF))
+
+
 @query(
     "w1_current_enrichment",
     cte("order_jobs", "enrichments")
