@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from hirelake.operators import companies as company_ops
 from hirelake.operators import enrich, lifecycle, queue as queue_ops, snapshots as snapshot_ops
 from hirelake.operators.hiring_stats import hiring_stats
-from hirelake.sources.payloads import normalize_postings, raw_postings, split_boards
+from hirelake.sources.payloads import normalize_postings, raw_postings, split_boards, split_postings
 
 
 @dataclass(frozen=True)
@@ -25,16 +25,18 @@ def crawl(
 ) -> CrawlOutput:
     """Board responses to the next state: normalise, assign companies, compare, record.
 
-    A malformed response is quarantined and its crawl counts as failed.  Pass
+    A malformed response, or one with a posting that cannot be stored, is quarantined and
+    its source's crawl counts as failed; other sources are not affected.  Pass
     ``cut`` (``session.cut_lineage``) for anything but tiny inputs: postings,
     companies and the diff each feed several outputs and are then computed once.
     """
     settle = cut or (lambda df: df)
     good, bad = split_boards(boards)
-    batch = settle(normalize_postings(raw_postings(good)).drop("crawl_run_id"))
+    batch, broken = split_postings(settle(normalize_postings(raw_postings(good)).drop("crawl_run_id")))
+    bad = bad.unionByName(good.drop("postings").join(broken, "source_id"))
+    failures = settle(bad.groupBy("source_id").agg(F.min("error").alias("error")))
     companies = settle(company_ops.ensure_companies(companies, batch, as_of, name="company"))
     batch = settle(company_ops.assign_companies(batch, sources, companies))
-    failures = bad.select("source_id", "error").dropDuplicates(["source_id"])
     known = crawls.drop("error", "status").join(failures, "source_id", "left")
     outcome = known.selectExpr("*", "CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status")
     linked = company_ops.link_sources(sources, batch)

@@ -292,6 +292,18 @@ def s04(spark, sf):
 )
 def l01_daily(spark, sf):
     """A whole first crawl: every board's response to jobs, events, queue rows, companies and crawl runs."""
+    out = first_crawl(spark, sf)
+    jobs = out.result.jobs.select("job_id", "source_id")
+    events = out.result.events.where("event_type = 'created'").join(jobs, "job_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("created"))
+    queued = out.result.queue.join(jobs, "job_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("queued"))
+    linked = out.result.sources.select("source_id", F.col("company_id").isNotNull().alias("has_company"))
+    rows = out.result.crawl_runs.join(events, "source_id", "left").join(queued, "source_id", "left").join(linked, "source_id")
+    return plain(
+        rows.fillna(0, ["created", "queued"]).select("source_id", "status", "job_count", "error", "created", "queued", "has_company")
+    )
+
+
+def first_crawl(spark, sf):
     responses = boards(spark, sf)
 
     def none(schema: str):
@@ -303,15 +315,72 @@ def l01_daily(spark, sf):
     now = "2026-09-30 12:00:00"
     crawls = responses.select("source_id", "crawl_run_id", F.lit(now).cast("timestamp").alias("started_at"))
     companies = none("company_id string, name string, normalized_name string, slug string, website_domain string, tracking_started_at timestamp")
-    out = daily.crawl(responses, crawls, none(lifecycle.JOB_SCHEMA), sources, companies, none(lifecycle.QUEUE_SCHEMA), now, cut=cut_lineage)
-    jobs = out.result.jobs.select("job_id", "source_id")
-    events = out.result.events.where("event_type = 'created'").join(jobs, "job_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("created"))
-    queued = out.result.queue.join(jobs, "job_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("queued"))
-    linked = out.result.sources.select("source_id", F.col("company_id").isNotNull().alias("has_company"))
-    rows = out.result.crawl_runs.join(events, "source_id", "left").join(queued, "source_id", "left").join(linked, "source_id")
-    return plain(
-        rows.fillna(0, ["created", "queued"]).select("source_id", "status", "job_count", "error", "created", "queued", "has_company")
-    )
+    return daily.crawl(responses, crawls, none(lifecycle.JOB_SCHEMA), sources, companies, none(lifecycle.QUEUE_SCHEMA), now, cut=cut_lineage)
+
+
+def _next_jobs(provider: str) -> str:
+    """The second response: as before, one gone, one moved, none, no JSON, one without a title, one more, two others."""
+    one, two, three, four = (_JOB[provider].replace("{id}", f"CAST((c_custkey + {n}000000) AS STRING)") for n in range(4))
+    one = one.replace("c_custkey + 0000000", "c_custkey")
+    moved = f"replace(replace(replace({one}, 'Chicago, IL', 'Boston, MA'), 'New York, NY', 'Boston, MA'), 'Austin, TX', 'Boston, MA')"
+    untitled = f"""replace(replace({two}, '"title"', '"name"'), '"text"', '"name"')"""
+    lists = {0: [one, two], 1: [one], 2: [moved, two], 3: [], 5: [one, untitled], 6: [one, two, three], 7: [three, four]}
+    joined = {k: " || ', ' || ".join(v) or "''" for k, v in lists.items()}
+    listed = "CASE c_custkey % 8 " + " ".join(f"WHEN {k} THEN '[' || {v} || ']'" for k, v in joined.items()) + " END"
+    whole = listed if provider == "lever" else f"'{{\"jobs\": ' || {listed} || '}}'"
+    return f"coalesce({whole}, 'not json')"
+
+
+_NEXT_BODY = (
+    f"CASE c_mktsegment WHEN 'BUILDING' THEN {_next_jobs('greenhouse')} WHEN 'MACHINERY' THEN {_next_jobs('ashby')} ELSE {_next_jobs('lever')} END"
+)
+
+
+@query(
+    "l01_second_crawl",
+    f"""WITH b AS (SELECT c_custkey AS source_id, c_custkey % 8 AS k, {_PROVIDER} AS provider, {_BAD} AS failed_before,
+    CASE WHEN {_BAD} THEN NULL WHEN c_acctbal < 2000 THEN 0 ELSE 2 END AS previous FROM customer),
+  c AS (SELECT *, k NOT IN (4, 5) AS ok, coalesce(previous, 0) = 2 AS had, CASE k WHEN 1 THEN 1 WHEN 3 THEN 0 WHEN 6 THEN 3 ELSE 2 END AS n FROM b),
+  d AS (SELECT *, CASE WHEN had AND k = 3 THEN 'zero-job anomaly: previous_job_count=2, current_job_count=0'
+      WHEN had AND k = 1 THEN 'mass-drop anomaly: previous_job_count=2, current_job_count=1, threshold_ratio=0.75' END AS warning,
+    CASE WHEN NOT ok THEN 0 WHEN NOT had THEN n WHEN k = 6 THEN 1 WHEN k = 7 THEN 2 ELSE 0 END AS created,
+    CASE WHEN had AND k = 2 THEN 1 ELSE 0 END AS jobs_changed, CASE WHEN had AND k = 7 THEN 2 ELSE 0 END AS jobs_removed FROM c)
+SELECT source_id, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, CASE WHEN ok THEN n END AS job_count, warning, warning IS NOT NULL AS deactivation_skipped,
+  CASE k WHEN 4 THEN CASE WHEN provider = 'lever' THEN 'response must be a list' ELSE 'response must be an object with a list of jobs' END
+    WHEN 5 THEN 'posting 1 has no title' END AS error,
+  created, CASE WHEN failed_before THEN 0 ELSE created END AS jobs_new, jobs_changed, jobs_removed, jobs_changed AS versions,
+  CASE WHEN provider = 'lever' THEN 0 ELSE created + jobs_changed END AS queued,
+  CASE WHEN had THEN CASE k WHEN 6 THEN 3 ELSE 2 END WHEN ok THEN n ELSE 0 END AS active,
+  CASE WHEN ok THEN 0 WHEN failed_before THEN 2 ELSE 1 END AS consecutive_failures,
+  CASE WHEN ok AND warning IS NULL THEN n ELSE previous END AS last_job_count FROM d""",
+)
+def l01_second(spark, sf):
+    """The crawl after the first, through the whole chain: changes, removals, both anomalies, and sources that fail by themselves."""
+    first = first_crawl(spark, sf)
+    state, sources, queue = (cut_lineage(df) for df in (first.result.jobs, first.result.sources, first.result.queue))
+    responses = boards(spark, sf).drop("body").join(
+        table(spark, sf, "customer").selectExpr("c_custkey AS source_id", f"{_NEXT_BODY.replace('c_nationkey', 'CAST(c_nationkey AS STRING)')} AS body"), "source_id"
+    ).withColumn("crawl_run_id", F.col("crawl_run_id") + 10_000_000)
+    now = "2026-09-30 12:30:00"
+    crawls = responses.select("source_id", "crawl_run_id", F.lit(now).cast("timestamp").alias("started_at"))
+    out = daily.crawl(
+        responses, crawls, state, sources, first.companies, queue, now, cut=cut_lineage, min_previous=2, min_ratio=0.75
+    ).result
+    owner = out.jobs.select("job_id", "source_id")
+
+    def per_source(rows, name):
+        return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias(name))
+
+    rows = out.crawl_runs.join(out.per_source.select("source_id", "jobs_new", "jobs_changed", "jobs_removed"), "source_id")
+    for counted in (
+        per_source(out.events.where("event_type = 'created'").join(owner, "job_id"), "created"),
+        per_source(out.versions.join(owner, "job_id"), "versions"),
+        per_source(out.queue.join(owner, "job_id"), "queued"),
+        per_source(out.jobs.where("active"), "active"),
+    ):
+        rows = rows.join(counted, "source_id", "left")
+    rows = rows.join(out.sources.select("source_id", "consecutive_failures", "last_job_count"), "source_id")
+    return plain(rows.fillna(0, ["created", "versions", "queued", "active"]).drop("crawl_run_id", "started_at", "finished_at"))
 
 
 _POSTED_SQL = f"""WITH b AS (SELECT *, {_PROVIDER} AS provider FROM customer WHERE NOT {_BAD} AND c_acctbal >= 2000),

@@ -145,6 +145,25 @@ def normalize_postings(postings: DataFrame, hashed: bool = True) -> DataFrame:
     return with_content_hash(out) if hashed else out
 
 
+def split_postings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(normalised postings of the sources that can be stored whole, one row with
+    ``error`` for each source that cannot).
+
+    A posting that is not an object, or has no id or title, fails its source and no
+    other; the error names the first such posting of the response.
+    """
+    is_object = F.coalesce(F.startswith(F.ltrim("raw_payload"), F.lit("{")), F.lit(False))
+    flaw = (
+        F.when(~is_object, "is not an object")
+        .when(F.col("external_job_id").isNull(), "has no id")
+        .when(F.col("title").isNull(), "has no title")
+    )
+    flawed = postings.select("source_id", "pos", flaw.alias("_flaw")).filter("_flaw IS NOT NULL")
+    first = F.min(F.struct("pos", "_flaw")).alias("f")
+    bad = flawed.groupBy("source_id").agg(first).selectExpr("source_id", "concat('posting ', f.pos, ' ', f._flaw) AS error")
+    return postings.join(bad.select("source_id"), "source_id", "left_anti"), bad
+
+
 def with_context(df: DataFrame) -> DataFrame:
     """Add ``structured_context`` read from the raw payload."""
     return (

@@ -592,7 +592,7 @@ def test_board_files(spark, tmp_path):
 
 def test_building_a_query_starts_no_job(spark):
     # Streams and stored tables are run to be read back.
-    stored = {"r1_streamed_lifecycle", "r1_late_crawls", "r2_streamed_daily_counts", "s12_published_days", "s14_appended_rows", "l01_daily_crawl",
+    stored = {"r1_streamed_lifecycle", "r1_late_crawls", "r2_streamed_daily_counts", "s12_published_days", "s14_appended_rows", "l01_daily_crawl", "l01_second_crawl",
               "s08_upsert_candidates", "j18_lifecycle_diff", "f09_indexed_text_search", "f10_indexed_place_search", "l20_enrich_run", "l20_run_records",
               "p21_stored_view"}
     scheduler = spark.sparkContext._jsc.sc().dagScheduler()
