@@ -76,12 +76,17 @@ def feed_counts(feed: DataFrame) -> DataFrame:
 
 def import_report(candidates: DataFrame) -> DataFrame:
     """One row of import totals."""
+    return candidates.agg(*import_figures())
+
+
+def import_figures() -> list[Column]:
+    """The totals of an import, for an aggregate or for ``store.append_counted``."""
 
     def count(condition: Column, name: str) -> Column:
         return F.count(F.when(condition, 1)).alias(name)
 
     in_csv, in_parquet, supported = F.col("in_csv"), F.col("in_parquet"), is_supported("provider")
-    return candidates.agg(
+    return [
         F.count(F.lit(1)).alias("normalized_candidates"),
         F.coalesce(F.sum(F.col("rows_merged") - 1), F.lit(0)).alias("duplicates_merged"),
         count(in_csv & ~in_parquet, "csv_only"),
@@ -91,7 +96,7 @@ def import_report(candidates: DataFrame) -> DataFrame:
         count(~supported, "unsupported_pending"),
         count(F.col("canonical_url").isNotNull(), "with_canonical_url"),
         count(F.col("canonical_url").isNull(), "without_canonical_url"),
-    )
+    ]
 
 
 def provider_counts(candidates: DataFrame) -> DataFrame:

@@ -264,12 +264,17 @@ def crawl_run_rows(decisions: DataFrame, as_of) -> DataFrame:
 
 
 def crawl_summary(per_source: DataFrame) -> DataFrame:
+    return per_source.agg(*crawl_figures())
+
+
+def crawl_figures() -> list[Column]:
+    """The totals of a crawl over its sources, for an aggregate or for ``store.append_counted``."""
     ok = F.col("succeeded")
 
     def total(column: str, name: str) -> Column:
         return F.coalesce(F.sum(F.when(ok, F.col(column))), F.lit(0)).alias(name)
 
-    return per_source.agg(
+    return [
         F.count(F.lit(1)).alias("source_count"),
         F.count(F.when(ok, 1)).alias("successful_sources"),
         F.count(F.when(~ok, 1)).alias("failed_sources"),
@@ -278,7 +283,7 @@ def crawl_summary(per_source: DataFrame) -> DataFrame:
         total("jobs_new", "jobs_new"),
         total("jobs_changed", "jobs_changed"),
         total("jobs_removed", "jobs_removed"),
-    )
+    ]
 
 
 def next_sources(sources: DataFrame, decisions: DataFrame, as_of, max_failures: int = 3) -> DataFrame:

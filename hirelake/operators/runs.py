@@ -140,12 +140,17 @@ def enrichment_summary(decided: DataFrame) -> DataFrame:
 
     Tokens count wherever a call returned usage, also if its result was stale.
     """
+    return decided.agg(*enrichment_figures())
+
+
+def enrichment_figures() -> list[Column]:
+    """The figures of ``enrichment_summary``, also for ``store.append_counted``."""
     outcome = F.col("outcome")
 
     def count(*names: str) -> Column:
         return F.count(F.when(outcome.isin(*names), 1))
 
-    return decided.agg(
+    return [
         F.count(F.lit(1)).alias("processed"),
         count("completed", "failed").alias("model_calls"),
         count("completed", "skipped_non_us", "not_eligible").alias("completed"),
@@ -153,7 +158,7 @@ def enrichment_summary(decided: DataFrame) -> DataFrame:
         count("stale").alias("stale"),
         count("skipped_non_us").alias("skipped_non_us"),
         *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TOKENS],
-    )
+    ]
 
 
 def has_usage() -> Column:

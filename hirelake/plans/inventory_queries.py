@@ -10,9 +10,9 @@ from hirelake.operators import companies as comp, inventory as inv
 from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
 from hirelake.plans.standins import ORDERS_AS_OF, cte, plain, standin, stored, table
-from hirelake.session import cut_lineage
+from hirelake.session import cut_lineage, scratch
 from hirelake.sources.inventory import csv_candidates, parquet_candidates, unique_inventory, url_inventory
-from hirelake.sources.store import absent
+from hirelake.sources.store import absent, append_counted
 
 _T = f"TIMESTAMP '{ORDERS_AS_OF}'"
 
@@ -127,20 +127,27 @@ def o9(spark, sf):
     return merged(spark, sf).select("provider", "source_slug", "board_id").orderBy("provider", "source_slug")
 
 
-@query(
-    "a14_import_report",
+_IMPORT_SQL = (
     _MERGED_SQL
     + """SELECT count(*) AS normalized_candidates, CAST(sum(rows_merged - 1) AS BIGINT) AS duplicates_merged,
   count(*) FILTER (WHERE in_csv AND NOT in_parquet) AS csv_only, count(*) FILTER (WHERE in_parquet AND NOT in_csv) AS parquet_only,
   count(*) FILTER (WHERE in_csv AND in_parquet) AS overlapping,
   count(*) FILTER (WHERE provider IN ('greenhouse', 'ashby', 'lever')) AS supported_pending,
   count(*) FILTER (WHERE provider NOT IN ('greenhouse', 'ashby', 'lever')) AS unsupported_pending,
-  count(canonical_url) AS with_canonical_url, count(*) - count(canonical_url) AS without_canonical_url FROM merged""",
+  count(canonical_url) AS with_canonical_url, count(*) - count(canonical_url) AS without_canonical_url FROM merged"""
 )
+
+
+@query("a14_import_report", _IMPORT_SQL)
 def a14(spark, sf):
     return inv.import_report(merged(spark, sf))
 
 
+@query("a14_report_as_written", _IMPORT_SQL)
+def a14_written(spark, sf):
+    return append_counted(merged(spark, sf), scratch(spark, "candidates"), inv.import_figures())
+
+
 @query("a14_provider_counts", _MERGED_SQL + "SELECT provider, count(*) AS n FROM merged GROUP BY 1")
 def a14_providers(spark, sf):
     return inv.provider_counts(merged(spark, sf))

@@ -13,7 +13,7 @@ from hirelake.plans.company_queries import TS
 from hirelake.plans.registry import query
 from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, cte, plain, standin, stored, table
 from hirelake.session import cut_lineage, scratch
-from hirelake.sources.store import absent, last_per_key
+from hirelake.sources.store import absent, append_counted, last_per_key
 
 # --- one crawl per calendar day of the event table --------------------------
 # Source d is day d: its batch is that day's events, its state the day before.
@@ -234,21 +234,29 @@ def l09(spark, sf):
     )
 
 
-@query(
-    "a15_crawl_summary",
+_SUMMARY_SQL = (
     _CRAWL_SQL
     + """SELECT count(*) AS source_count, count(*) FILTER (WHERE ok) AS successful_sources,
   count(*) FILTER (WHERE NOT ok) AS failed_sources, count(*) FILTER (WHERE ok AND anomaly IS NOT NULL) AS anomaly_sources,
   CAST(sum(n) FILTER (WHERE ok) AS BIGINT) AS job_count,
   (SELECT count(*) FROM rows WHERE is_created AND NOT baseline) AS jobs_new,
   (SELECT count(*) FROM rows WHERE is_changed) AS jobs_changed,
-  (SELECT count(*) FROM rows WHERE is_removed) AS jobs_removed FROM dec""",
+  (SELECT count(*) FROM rows WHERE is_removed) AS jobs_removed FROM dec"""
 )
+
+
+@query("a15_crawl_summary", _SUMMARY_SQL)
 def a15(spark, sf):
     rows, decisions, _ = crawl_rows(spark, sf)
     return plain(life.crawl_summary(life.source_summary(rows, decisions)))
 
 
+@query("a15_summary_as_written", _SUMMARY_SQL)
+def a15_written(spark, sf):
+    rows, decisions, _ = crawl_rows(spark, sf)
+    return plain(append_counted(life.source_summary(rows, decisions), scratch(spark, "crawls"), life.crawl_figures()))
+
+
 # --- eligibility and publication --------------------------------------------
 
 

@@ -13,6 +13,7 @@ from hirelake.plans.registry import query
 from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, SCHEMAS, cte, plain, snapshots, standin, table
 from hirelake.operators.lifecycle import JOB_SCHEMA, SOURCE_SCHEMA
 from hirelake.session import configure, cut_lineage, scratch
+from hirelake.sources.store import append_counted
 from hirelake.streaming import crawl_stream
 
 _T = f"TIMESTAMP '{ORDERS_AS_OF}'"
@@ -498,19 +499,26 @@ def usage(spark, sf):
     return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _USAGE_COLUMNS.items()])
 
 
-@query(
-    "a16_enrichment_summary",
+_OUTCOMES_SQL = (
     f"""WITH d AS (SELECT {_USAGE} FROM lineitem) SELECT count(*) AS processed, count(*) FILTER (WHERE outcome IN ('completed', 'failed')) AS model_calls,
   count(*) FILTER (WHERE outcome IN ('completed', 'skipped_non_us', 'not_eligible')) AS completed, count(*) FILTER (WHERE outcome = 'failed') AS failed,
   count(*) FILTER (WHERE outcome = 'stale') AS stale, count(*) FILTER (WHERE outcome = 'skipped_non_us') AS skipped_non_us,
   """
     + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "thought_tokens", "cached_tokens", "total_tokens"))
-    + " FROM d",
+    + " FROM d"
 )
+
+
+@query("a16_enrichment_summary", _OUTCOMES_SQL)
 def a16(spark, sf):
     return run.enrichment_summary(usage(spark, sf))
 
 
+@query("a16_summary_as_written", _OUTCOMES_SQL)
+def a16_written(spark, sf):
+    return append_counted(usage(spark, sf), scratch(spark, "outcomes"), run.enrichment_figures())
+
+
 @query(
     "a16_model_counts",
     f"WITH d AS (SELECT {_USAGE} FROM lineitem) SELECT coalesce(model, 'unknown') AS model, count(*) AS n FROM d WHERE total_tokens IS NOT NULL GROUP BY 1",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 Policy = Callable[[Column, Column], Column]
 
@@ -125,6 +125,18 @@ def append_rows(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def append_counted(df: DataFrame, path: str, figures: Sequence[Column], partition: str | None = None) -> DataFrame:
+    """Append history rows and give the ``figures`` (named aggregates) over them as one row.
+
+    They are counted as the rows are written, so nothing is computed or read again for
+    them, and a task that is run again counts once.
+    """
+    seen = Observation()
+    append_rows(df.observe(seen, *figures), path, partition)
+    schema = df.limit(0).agg(*figures).schema
+    return df.sparkSession.createDataFrame([tuple(seen.get[c] for c in schema.names)], schema)
+
+
 def publish_days(df: DataFrame, path: str, partition: str = "snapshot_date") -> None:
     """Replace exactly the days contained in ``df``."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -102,6 +102,23 @@ def test_url_inventory_file_last_row_wins(spark, tmp_path):
 # --- store ------------------------------------------------------------------
 
 
+def test_figures_are_counted_while_rows_are_written(spark, tmp_path):
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    schema = "outcome string, model string, input_tokens bigint, output_tokens bigint, thought_tokens bigint, cached_tokens bigint, total_tokens bigint, day int"
+    rows = [(kind, None, n, 1, None, 0, n + 1, n % 3) for n, kind in enumerate(["completed", "failed", "stale", "skipped_non_us", "completed"] * 40)]
+    for name, given, part in [("all", rows, None), ("days", rows, "day"), ("none", [], None)]:
+        df = spark.createDataFrame(given, schema).repartition(4, "outcome")
+        before = scheduler.numTotalJobs()
+        store.append_rows(df, str(tmp_path / f"{name}-plain"), part)
+        plain_jobs, before = scheduler.numTotalJobs() - before, scheduler.numTotalJobs()
+        counted = store.append_counted(df, str(tmp_path / name), runs.enrichment_figures(), part)
+        # Not one job more than the write alone.
+        assert scheduler.numTotalJobs() - before == plain_jobs
+        want = runs.enrichment_summary(df)
+        assert counted.columns == want.columns and tuple(counted.first()) == tuple(want.first())
+        assert spark.read.schema(schema).parquet(str(tmp_path / name)).count() == len(given)
+
+
 def test_upsert_policies_and_publication(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id int, name string, note string")
     new = spark.createDataFrame([(2, None, "n"), (3, "c", "m")], "id int, name string, note string")
@@ -594,7 +611,7 @@ def test_building_a_query_starts_no_job(spark):
     # Streams and stored tables are run to be read back.
     stored = {"r1_streamed_lifecycle", "r1_late_crawls", "r2_streamed_daily_counts", "s12_published_days", "s14_appended_rows", "l01_daily_crawl", "l01_second_crawl",
               "s08_upsert_candidates", "j18_lifecycle_diff", "f09_indexed_text_search", "f10_indexed_place_search", "l20_enrich_run", "l20_run_records",
-              "p21_stored_view"}
+              "p21_stored_view", "a14_report_as_written", "a15_summary_as_written", "a16_summary_as_written"}
     scheduler = spark.sparkContext._jsc.sc().dagScheduler()
     for name, fn in queries().items():
         if name not in stored:
