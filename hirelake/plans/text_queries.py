@@ -534,14 +534,18 @@ def p14(spark, sf):
 
 @query(
     "p16_legacy_projection",
-    f"""SELECT o_orderkey AS job_id, 'java script|C++|' || o_orderpriority AS skills, CASE WHEN o_orderstatus = 'P' THEN 'Austin/false' ELSE '' END AS ai_locations,
-  CAST(0.9 AS DOUBLE) AS classification_confidence {_VALID}""",
+    f"""SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'O' THEN 'data' END AS job_family, CAST(NULL AS VARCHAR) AS job_subfamily, '' AS related_roles,
+  'java script|C++|' || o_orderpriority AS skills, 'senior' AS seniority, CAST(o_orderkey % 9 AS DOUBLE) AS years_experience_min,
+  CASE o_orderstatus WHEN 'F' THEN CAST(6 AS DOUBLE) END AS years_experience_max,
+  CASE WHEN o_orderstatus = 'P' THEN 'Austin/-/-/-/-/false' ELSE '' END AS ai_locations, CAST(0.9 AS DOUBLE) AS classification_confidence {_VALID}""",
 )
 def p16(spark, sf):
     valid, _ = enrich.validate_records(extracted(spark, sf))
     legacy = valid.select("job_id", *[v.alias(c) for c, v in enrich.project_legacy(F.col("record")).items()])
-    places = F.transform("ai_locations", lambda x: F.concat(x["city"], F.lit("/"), x["remote"].cast("string")))
-    return plain(legacy.select("job_id", "skills", places.alias("ai_locations"), "classification_confidence"))
+    fields = ("city", "state", "state_code", "country", "country_code", "remote")
+    places = F.transform("ai_locations", lambda x: F.concat_ws("/", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields]))
+    years = {c: F.col(c).cast("double") for c in ("years_experience_min", "years_experience_max")}
+    return plain(legacy.withColumns({"ai_locations": places, **years}))
 
 
 @query(
