@@ -93,11 +93,13 @@ def p22(spark, sf):
 @query(
     "p23_job_details",
     _CLIENT_SQL
-    + """SELECT id, replace(company, ' ', '%20') AS company, upper(description) AS description, date_source FROM jobs""",
+    + f"""SELECT id, title, replace(company, ' ', '%20') AS company, location, upper(description) AS description, employment_type, workplace_type, job_family,
+  job_subfamily, seniority, provider, salary_min, years_experience_min, strftime(created_at, '{TS}') AS created_at, date_source,
+  array_to_string(skills, '|') AS skills, array_to_string(related_roles, '|') AS related_roles FROM jobs""",
 )
 def p23(spark, sf):
     rows = list_rows(spark, sf).withColumn("description_text", F.upper("description"))
-    return canon.client_jobs(rows, detail=True).select("id", "company", "description", "date_source")
+    return plain(canon.client_jobs(rows, detail=True).select(*_CLIENT_COLUMNS))
 
 
 @query("p24_location_labels", _CLIENT_SQL + "SELECT id, array_to_string(list_sort(places), '|') AS places FROM jobs")
