@@ -83,14 +83,20 @@ def p13(spark, sf):
     return plain(payload.select("job_id", "original_title", "company", F.md5("description").alias("digest")))
 
 
+# A sentence put into every document; the SQL tells by hand which are evidence.
+_SENTENCES = (
+    "CASE doc_id % 9 WHEN 0 THEN 'Must be a U.S. Citizen.' WHEN 1 THEN 'US CITIZENS only' WHEN 2 THEN 'a united states citizen' WHEN 3 THEN 'You MUST be a citizen' "
+    "WHEN 4 THEN 'Citizenship required' WHEN 5 THEN 'citizenship is required' WHEN 6 THEN 'U S citizen' WHEN 7 THEN 'must be  a citizen' END"
+)
+
+
 @query(
     "f22_citizenship_evidence",
-    "SELECT doc_id, "
-    + " OR ".join(f"contains(lower(replace(text, ' on', ' MUST be a citizen ')), '{p}')" for p in text.CITIZENSHIP_PHRASES)
-    + " AS mentioned FROM documents",
+    """SELECT doc_id, coalesce(doc_id % 9 < 5 OR regexp_matches(text, '(?i)u\\.s\\. citizen|us citizen|united states citizen|must be a citizen|citizenship required'), false)
+  AND text IS NOT NULL AND doc_id % 9 <> 8 AS mentioned FROM documents""",
 )
 def f22(spark, sf):
-    edited = F.replace("text", F.lit(" on"), F.lit(" MUST be a citizen "))
+    edited = F.concat("text", F.lit(" "), F.expr(_SENTENCES))  # NULL where there is no sentence
     return table(spark, sf, "documents").select("doc_id", text.mentions_citizenship(edited).alias("mentioned"))
 
 
