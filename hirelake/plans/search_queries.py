@@ -302,7 +302,7 @@ def a20_filtered(spark, sf):
     jobs = client(spark, sf).withColumn("number", F.col("id").cast("bigint"))
     # Two days of jobs, whose bitmaps are merged.
     days = [facet_bitmaps.bitmaps(jobs.where(F.expr(f"number % 2 = {half}")), ORDERS_AS_OF) for half in (0, 1)]
-    stored = facet_bitmaps.merge(*days)
+    stored = cut_lineage(facet_bitmaps.merge(*days), spark.sparkContext.getCheckpointDir())
     return facet_bitmaps.counts(stored, {"workplace": ["remote"], "source": ["ashby", "gem"]})
 
 

@@ -649,6 +649,13 @@ def test_facet_counts_of_filtered_jobs_equal_a_scan(spark):
     assert tuple(facet_bitmaps.total(stored, {"workplace": ["remote"]}, hits).first()) == tuple(search.result_counts(found).first())
 
 
+def test_bitmaps_of_rare_options_take_no_more_than_their_jobs(spark):
+    jobs = client(spark, "/root/testdata/sf0.001").limit(200).withColumn("number", F.col("id").cast("bigint") * 40_000)
+    stored = facet_bitmaps.bitmaps(jobs, ORDERS_AS_OF)
+    rows, size = stored.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("bits").cast("string")))).first()
+    assert 0 < size <= 20 * rows  # pages of 32,768 bits took 4 kB each
+
+
 def test_daily_counts_wait_for_late_events(spark, tmp_path):
     path = str(tmp_path / "events")
     at = [datetime(2026, 1, 1, 3), datetime(2026, 1, 1, 23), datetime(2026, 1, 2, 1), datetime(2026, 1, 4, 1)]
