@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.scalar import instant
 from hirelake.functions.unicode import display_name, distinct_slug, name_key, name_slug
+from hirelake.operators.joins import many_rows
 from hirelake.sources.store import first_per_key
 
 
@@ -35,7 +36,7 @@ def missing_companies(existing: DataFrame, names: DataFrame, as_of, name: str =
     fresh = fresh.withColumn("slug", name_slug("name"))
     taken = existing.select("slug", F.lit(True).alias("_taken")).distinct()
     owner = fresh.groupBy("slug").agg(F.min("normalized_name").alias("_owner"))
-    placed = fresh.join(owner.join(taken, "slug", "left"), "slug", "left")
+    placed = fresh.join(many_rows(owner.join(many_rows(taken), "slug", "left")), "slug", "left")
     plain = F.col("_taken").isNull() & (F.col("_owner") == F.col("normalized_name"))
     return placed.select(
         new_company_id(F.col("normalized_name")).alias("company_id"),
@@ -63,7 +64,7 @@ def assign_companies(postings: DataFrame, sources: DataFrame, companies: DataFra
     """Set ``company_id`` and ``company``: the source's company wins over the posting's name."""
     names = companies.select(F.col("company_id").alias("_source_company"), F.col("name").alias("_source_name"))
     owned = sources.select("source_id", F.col("company_id").alias("_source_company"))
-    owner = owned.join(names, "_source_company", "left")
+    owner = owned.join(many_rows(names), "_source_company", "left")
     # Distinct posting names are joined to companies once, not per posting.
     keyed = (
         postings.select("company")
@@ -72,8 +73,8 @@ def assign_companies(postings: DataFrame, sources: DataFrame, companies: DataFra
         .join(companies.select("normalized_name", F.col("company_id").alias("_named_company")), "normalized_name")
         .select("company", "_named_company")
     )
-    with_owner = postings.join(owner, "source_id", "left")
-    joined = with_owner.join(keyed, "company", "left")
+    with_owner = postings.join(many_rows(owner), "source_id", "left")
+    joined = with_owner.join(many_rows(keyed), "company", "left")
     return (
         joined.withColumn("company_id", F.coalesce("_source_company", "_named_company"))
         .withColumn("company", F.coalesce("_source_name", "company"))
@@ -89,4 +90,4 @@ def link_sources(sources: DataFrame, postings: DataFrame) -> DataFrame:
         .agg(F.min_by("company_id", "pos").alias("_linked"))
     )
     linked = F.coalesce("company_id", "_linked")
-    return sources.join(first, "source_id", "left").withColumn("company_id", linked).drop("_linked")
+    return sources.join(many_rows(first), "source_id", "left").withColumn("company_id", linked).drop("_linked")

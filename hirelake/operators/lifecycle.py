@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.scalar import instant
 from hirelake.operators.eligibility import eligibility_reason, status_of
+from hirelake.operators.joins import many_rows
 from hirelake.sources.store import absent, last_per_key
 
 KEY = ["source_id", "external_job_id"]
@@ -87,8 +88,8 @@ def crawl_decisions(
     ``crawls``: source_id, crawl_run_id, started_at, status ('success' or 'failed'), error.
     """
     counts = batch.groupBy("source_id").agg(F.count(F.lit(1)).alias("job_count"))
-    known = sources.select("source_id", "last_success_at", "last_job_count")
-    decided = crawls.join(known, "source_id", "left").join(counts, "source_id", "left").fillna(0, ["job_count"])
+    known = many_rows(sources.select("source_id", "last_success_at", "last_job_count"))
+    decided = crawls.join(known, "source_id", "left").join(many_rows(counts), "source_id", "left").fillna(0, ["job_count"])
     decision = deactivation(F.col("last_job_count"), F.col("job_count"), min_previous, min_ratio)
     return decided.withColumn("succeeded", F.col("status") == "success").withColumn("decision", decision).select(
         "source_id", "crawl_run_id", "started_at", "succeeded", "error", "job_count", "last_job_count",
@@ -106,7 +107,7 @@ def diff(state: DataFrame, batch: DataFrame, decisions: DataFrame) -> DataFrame:
     crawled = decisions.select(
         "source_id", "crawl_run_id", "started_at", "succeeded", "may_remove", "baseline", "last_success_at"
     )
-    rows = joined.join(crawled, "source_id", "left")
+    rows = joined.join(many_rows(crawled), "source_id", "left")
     seen = "coalesce(in_batch AND succeeded, false)"
     return rows.selectExpr(
         "*",
@@ -244,7 +245,7 @@ def source_summary(rows: DataFrame, decisions: DataFrame) -> DataFrame:
         count(F.col("is_changed"), "jobs_changed"),
         count(F.col("is_removed"), "jobs_removed"),
     )
-    return decisions.join(counted, "source_id", "left").fillna(0, ["jobs_new", "jobs_changed", "jobs_removed"])
+    return decisions.join(many_rows(counted), "source_id", "left").fillna(0, ["jobs_new", "jobs_changed", "jobs_removed"])
 
 
 def crawl_run_rows(decisions: DataFrame, as_of) -> DataFrame:
@@ -292,7 +293,7 @@ def next_sources(sources: DataFrame, decisions: DataFrame, as_of, max_failures:
     outcome = decisions.select(
         "source_id", "started_at", "succeeded", "job_count", F.col("anomaly").isNull().alias("_trusted"), F.col("error").alias("_error")
     )
-    joined = sources.join(outcome, "source_id", "left")
+    joined = sources.join(many_rows(outcome), "source_id", "left")
     values = source_after(F.col, F.col("succeeded"), now, F.col("job_count"), F.col("_trusted"), F.col("_error"), max_failures)
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in sources.columns])
 

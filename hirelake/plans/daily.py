@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from hirelake.operators import companies as company_ops
 from hirelake.operators import enrich, lifecycle, queue as queue_ops, snapshots as snapshot_ops
 from hirelake.operators.hiring_stats import hiring_stats
+from hirelake.operators.joins import many_rows
 from hirelake.sources.payloads import normalize_postings, raw_postings, split_boards, split_postings
 
 
@@ -30,7 +31,8 @@ def crawl(
     ``cut`` (``session.cut_lineage``) for anything but tiny inputs: postings,
     companies and the diff each feed several outputs and are then computed once.
     """
-    settle = cut or (lambda df: df)
+    settle = (lambda df: many_rows(cut(df))) if cut else many_rows
+    boards, crawls, state, sources, companies, queue = map(many_rows, (boards, crawls, state, sources, companies, queue))
     good, bad = split_boards(boards)
     batch, broken = split_postings(settle(normalize_postings(raw_postings(good)).drop("crawl_run_id")))
     bad = bad.unionByName(good.drop("postings").join(broken, "source_id"))
@@ -40,7 +42,7 @@ def crawl(
     known = crawls.drop("error", "status").join(failures, "source_id", "left")
     outcome = known.selectExpr("*", "CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status")
     linked = company_ops.link_sources(sources, batch)
-    result = lifecycle.apply_crawl(state, batch, outcome, linked, queue, as_of, cut=cut, **options)
+    result = lifecycle.apply_crawl(state, batch, outcome, linked, queue, as_of, cut=cut and settle, **options)
     return CrawlOutput(result, companies, bad)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import payload as pay, scalar as fn, scope, text
 from hirelake.operators import enrich, lifecycle
+from hirelake.operators.joins import many_rows
 from hirelake.plans import daily
 from hirelake.plans.job_queries import _DECIDED_SQL, _DUE, _EXPIRY, _OUT, _WORKABLE
 from hirelake.plans.registry import query
@@ -271,8 +272,9 @@ _BOARDS = {
 }
 
 
-def boards(spark, sf):
-    return table(spark, sf, "customer").selectExpr(*[f"{e.replace('c_nationkey', 'CAST(c_nationkey AS STRING)')} AS {c}" for c, e in _BOARDS.items()])
+def boards(spark, sf, body=_BOARDS["body"]):
+    columns = _BOARDS | {"body": body}
+    return table(spark, sf, "customer").selectExpr(*[f"{e.replace('c_nationkey', 'CAST(c_nationkey AS STRING)')} AS {c}" for c, e in columns.items()])
 
 
 _BAD = "(c_acctbal > 8000 OR (c_acctbal > 7500 AND c_mktsegment <> 'BUILDING'))"
@@ -299,7 +301,7 @@ def s04(spark, sf):
 def l01_daily(spark, sf):
     """A whole first crawl: every board's response to jobs, events, queue rows, companies and crawl runs."""
     out = first_crawl(spark, sf)
-    jobs = out.result.jobs.select("job_id", "source_id")
+    jobs = many_rows(out.result.jobs.select("job_id", "source_id"))
     events = out.result.events.where("event_type = 'created'").join(jobs, "job_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("created"))
     queued = out.result.queue.join(jobs, "job_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("queued"))
     linked = out.result.sources.select("source_id", F.col("company_id").isNotNull().alias("has_company"))
@@ -363,21 +365,19 @@ SELECT source_id, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, CASE
 def l01_second(spark, sf):
     """The crawl after the first, through the whole chain: changes, removals, both anomalies, and sources that fail by themselves."""
     first = first_crawl(spark, sf)
-    state, sources, queue = (cut_lineage(df) for df in (first.result.jobs, first.result.sources, first.result.queue))
-    responses = boards(spark, sf).drop("body").join(
-        table(spark, sf, "customer").selectExpr("c_custkey AS source_id", f"{_NEXT_BODY.replace('c_nationkey', 'CAST(c_nationkey AS STRING)')} AS body"), "source_id"
-    ).withColumn("crawl_run_id", F.col("crawl_run_id") + 10_000_000)
+    state, sources, queue = (many_rows(cut_lineage(df)) for df in (first.result.jobs, first.result.sources, first.result.queue))
+    responses = boards(spark, sf, _NEXT_BODY).withColumn("crawl_run_id", F.col("crawl_run_id") + 10_000_000)
     now = "2026-09-30 12:30:00"
     crawls = responses.select("source_id", "crawl_run_id", F.lit(now).cast("timestamp").alias("started_at"))
     out = daily.crawl(
         responses, crawls, state, sources, first.companies, queue, now, cut=cut_lineage, min_previous=2, min_ratio=0.75
     ).result
-    owner = out.jobs.select("job_id", "source_id")
+    owner = many_rows(out.jobs.select("job_id", "source_id"))
 
     def per_source(rows, name):
-        return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias(name))
+        return many_rows(rows.groupBy("source_id").agg(F.count(F.lit(1)).alias(name)))
 
-    rows = out.crawl_runs.join(out.per_source.select("source_id", "jobs_new", "jobs_changed", "jobs_removed"), "source_id")
+    rows = out.crawl_runs.join(many_rows(out.per_source).select("source_id", "jobs_new", "jobs_changed", "jobs_removed"), "source_id")
     for counted in (
         per_source(out.events.where("event_type = 'created'").join(owner, "job_id"), "created"),
         per_source(out.versions.join(owner, "job_id"), "versions"),
@@ -385,7 +385,7 @@ def l01_second(spark, sf):
         per_source(out.jobs.where("active"), "active"),
     ):
         rows = rows.join(counted, "source_id", "left")
-    rows = rows.join(out.sources.select("source_id", "consecutive_failures", "last_job_count"), "source_id")
+    rows = rows.join(many_rows(out.sources.select("source_id", "consecutive_failures", "last_job_count")), "source_id")
     return plain(rows.fillna(0, ["created", "versions", "queued", "active"]).drop("crawl_run_id", "started_at", "finished_at"))
 
 

@@ -16,6 +16,7 @@ from hirelake.operators.quality import violations
 from hirelake.plans import daily, queries
 from hirelake.plans.search_queries import client
 from hirelake.plans.standins import ORDERS_AS_OF
+from hirelake.plans.text_queries import first_crawl
 from hirelake.session import cut_lineage
 from hirelake.sources import inventory as src, payloads, store
 from hirelake.sources.payloads import with_content_hash
@@ -649,6 +650,12 @@ def test_facet_counts_of_filtered_jobs_equal_a_scan(spark):
     assert tuple(facet_bitmaps.total(stored, {"workplace": ["remote"]}, hits).first()) == tuple(search.result_counts(found).first())
 
 
+def test_a_crawl_sends_no_side_that_grows_to_all_executors(spark):
+    out = first_crawl(spark, "/root/testdata/sf0.001")
+    for rows in (out.companies, out.result.sources, out.result.queue, out.result.per_source, out.quarantine):
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bitmaps_of_rare_options_take_no_more_than_their_jobs(spark):
     jobs = client(spark, "/root/testdata/sf0.001").limit(200).withColumn("number", F.col("id").cast("bigint") * 40_000)
     stored = facet_bitmaps.bitmaps(jobs, ORDERS_AS_OF)
