@@ -155,14 +155,14 @@ def _merge_entries(entries: Column, clean, key, levels: tuple[str, ...]) -> Colu
     def merged(rows: Column) -> Column:
         positions = F.transform(rows, lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos")))
         pairs = F.zip_with(
-            _first_of_key(F.array_sort(positions)),
-            _first_of_key(F.array_sort(rows)),
+            _first_of_key(F.sort_array(positions)),
+            _first_of_key(F.sort_array(rows)),
             lambda first, best: F.struct(
                 first["pos"].alias("pos"), best["name"].alias("name"), best["requirement"].alias("requirement")
             ),
         )
         return F.transform(
-            F.array_sort(pairs), lambda x: F.struct(x["name"].alias("name"), x["requirement"].alias("requirement"))
+            F.sort_array(pairs), lambda x: F.struct(x["name"].alias("name"), x["requirement"].alias("requirement"))
         )
 
     return let(keyed, merged)
@@ -205,6 +205,8 @@ _SHAPES = {
 }
 # Keys are listed in order, so one pattern describes a whole record.
 _RECORD_SHAPE = "^OBJECT<" + ", ".join(f"{k}: {_SHAPES[RECORD_FIELDS[k]]}" for k in sorted(RECORD_FIELDS)) + ">$"
+# A key of the contract with another shape, at any depth.
+_OFF_SHAPE = "[<,] ?(?:" + "|".join(f"{k}: (?!{_SHAPES[kind]}(?:, |>))" for k, kind in RECORD_FIELDS.items()) + ")"
 # Years are read as numbers first: 3.0 is 3, and 3.5 is no number of years.
 _YEARS = tuple(k for k, kind in RECORD_FIELDS.items() if kind == "int")
 _RAW_SCHEMA = RECORD_SCHEMA.replace(": int", ": double")
@@ -215,18 +217,18 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _entry_errors(entries: Column, levels: tuple[str, ...], reserved: tuple[str, ...] = ()) -> Column:
-    """True when some entry is null, has a blank or reserved name, or an unknown requirement."""
+    """True when some entry is null, has a blank or reserved name (of one word), or an unknown requirement."""
 
     def wrong(e: Column) -> Column:
-        name = collapse(e["name"])
+        name = strip(e["name"])
         bad = F.coalesce(name == "", F.lit(True)) | ~F.coalesce(e["requirement"].isin(*levels), F.lit(False))
         return bad | F.coalesce(F.lower(name).isin(*reserved), F.lit(False)) if reserved else bad
 
     return F.exists(entries, wrong)
 
 
-def _shape_rules(shape: Column, data: Column) -> list[Column]:
-    """Names of what is wrong with the keys and types of a record; NULL for what is right."""
+def _shape_rules(shape: Column, data: Column) -> Column:
+    """Names of what is wrong with the keys and types of a record."""
     required = F.array(*(F.lit(k) for k in RECORD_FIELDS))
     present = F.coalesce(F.json_object_keys(data), F.array().cast("array<string>"))
 
@@ -237,15 +239,22 @@ def _shape_rules(shape: Column, data: Column) -> list[Column]:
     lists = [mistyped(f, "ARRAY<.*>") for f in REQUIRED_LISTS]
     items = [mistyped(f, _SHAPES["array<string>"]) & ~mistyped(f, "ARRAY<.*>") for f in LIST_FIELDS]
     entries = {f: _SHAPES[RECORD_FIELDS[f]] for f in ("skills", "certifications", "locations")}
-    return [
+    # One search tells that all keys have their shapes; only where one has not are they looked at one by one.
+    off = F.when(
+        shape.rlike(_OFF_SHAPE),
+        F.array(
+            F.when(_any(scalars), "type"),
+            F.when(_any(lists), "list"),
+            F.when(_any(items), "item_type"),
+            *[F.when(mistyped(f, pattern) & ~mistyped(f, "ARRAY<.*>"), f) for f, pattern in entries.items()],
+        ),
+    )
+    rules = F.array(
         F.when(F.size(F.array_except(required, present)) > 0, "missing_keys"),
         F.when(F.size(F.array_except(present, required)) > 0, "extra_keys"),
-        F.when(_any(scalars), "type"),
-        F.when(_any(lists), "list"),
-        F.when(_any(items), "item_type"),
-        *[F.when(mistyped(f, pattern) & ~mistyped(f, "ARRAY<.*>"), f) for f, pattern in entries.items()],
         F.when(shape.isNull() | ~shape.startswith("OBJECT<"), "not_an_object"),
-    ]
+    )
+    return F.array_compact(F.concat(rules, F.coalesce(off, F.array().cast("array<string>"))))
 
 
 def _value_rules(raw: Column, places: Column) -> list[Column]:
@@ -288,18 +297,19 @@ def check_records(extracted: DataFrame, data: str = "data") -> DataFrame:
     """
     kept = [c for c in extracted.columns if c not in ("errors", "record")]
     variant = F.try_parse_json(F.col(data))
-    parsed = extracted.select(
+    parsed = extracted.select(*kept, F.col(data).alias("_data"), variant.alias("_variant"), F.from_json(data, _RAW_SCHEMA).alias("_raw"))
+    parsed = parsed.select(
         *kept,
-        F.col(data).alias("_data"),
-        F.from_json(data, _RAW_SCHEMA).alias("_raw"),
-        F.schema_of_variant(variant).alias("_shape"),
-        F.try_variant_get(variant, "$.locations", "array<map<string,string>>").alias("_places"),
+        "_data",
+        "_raw",
+        F.schema_of_variant("_variant").alias("_shape"),
+        F.try_variant_get("_variant", "$.locations", "array<map<string,string>>").alias("_places"),
     )
     shaped = F.coalesce(F.col("_shape").rlike(_RECORD_SHAPE), F.lit(False))
     values = F.array_compact(F.array(*_value_rules(F.col("_raw"), F.col("_places"))))
     # Most records have the right shape, which one pattern tells.
     shapes = F.when(shaped, F.array().cast("array<string>")).otherwise(
-        F.array_compact(F.array(*_shape_rules(F.col("_shape"), F.col("_data")), F.lit(None).cast("string")))
+        _shape_rules(F.col("_shape"), F.col("_data"))
     )
     found = parsed.select(*kept, "_raw", shaped.alias("_shaped"), F.array_union(shapes, values).alias("_found"))
     # A shape that no rule names is a wrong type still.

@@ -656,6 +656,11 @@ def test_a_crawl_sends_no_side_that_grows_to_all_executors(spark):
         assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_checking_parses_a_record_once_for_its_shape_and_places(spark):
+    plan = enrich.check_records(spark.range(1).selectExpr("id || '' AS data"))._jdf.queryExecution().optimizedPlan().toJSON()
+    assert plan.count('"parseJson"') == 1
+
+
 def test_bitmaps_of_rare_options_take_no_more_than_their_jobs(spark):
     jobs = client(spark, "/root/testdata/sf0.001").limit(200).withColumn("number", F.col("id").cast("bigint") * 40_000)
     stored = facet_bitmaps.bitmaps(jobs, ORDERS_AS_OF)
