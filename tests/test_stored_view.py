@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hirelake.operators import canonical as canon
 from hirelake.operators.stored_view import StoredView, Touched
 from hirelake.plans.standins import ORDERS_AS_OF, standin
+from hirelake.sources.buckets import BUCKET_ROWS, buckets_for
 
 SF = "/root/testdata/sf0.001"
 VERSION = "job_id bigint, title string, location string"
@@ -144,3 +145,38 @@ def test_a_small_day_reads_and_rewrites_few_buckets(spark, tmp_path):
     assert rows.select(F.input_file_name()).distinct().count() <= 2
     plan = built._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan.split("Exchange hashpartitioning")[0]
+
+
+def test_stored_records_are_not_shuffled_to_find_a_winner(spark, tmp_path):
+    kept = make(spark, tmp_path, "sv_dealt", buckets=16)
+    tables = [standin(spark, SF, n) for n in ("order_jobs", "enrichments", "job_versions", "order_events")]
+    kept.apply(0, *tables)
+    jobs = tables[0].select("job_id", "content_hash")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are not tiny
+    try:
+        plan = canon.enrichment_facts(jobs, kept.records.read().drop("batch_no"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Only the jobs are dealt, to lie like the buckets.
+    assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_records_of_a_day_are_dealt_once(spark, tmp_path, monkeypatch):
+    kept, plans = make(spark, tmp_path, "sv_once", buckets=16), []
+    write = type(kept.records)._write
+
+    def seen(self, rows, *rest, **named):
+        if self.name == kept.records.name:
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows, *rest, **named)
+
+    monkeypatch.setattr(type(kept.records), "_write", seen)
+    kept.apply(0, *[standin(spark, SF, n) for n in ("order_jobs", "enrichments", "job_versions", "order_events")])
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
+
+
+def test_buckets_grow_with_the_rows(spark):
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert buckets_for(spark, 0) == max(16, shuffled)
+    assert buckets_for(spark, 216_000_000) * BUCKET_ROWS >= 216_000_000
