@@ -70,22 +70,33 @@ CITIZENSHIP_PATTERN = "(?iu)" + _any_of(CITIZENSHIP_PHRASES)
 # --- single lines -----------------------------------------------------------
 
 
+# Every heading that counts starts with one of these; none has a blank so early.
+_STARTS = sorted({h[:3] for h in (*BOILERPLATE_HEADINGS, *RELEVANT_HEADINGS, *ROLE_ABOUT_HEADINGS, "about ")})
+
+
 def _heading_of(line: Column) -> Column:
-    """The lower-cased line without trailing dashes if it is short enough to be a heading."""
+    """The lower-cased tidy line without trailing dashes if it may be a heading: it is short
+    and starts like one.  Few lines do, so most cost no more than their first letters."""
     bare = F.rtrim(strip(F.lower(line)), F.lit(_DASHES))
-    return F.when(F.length(line) <= MAX_HEADING_CHARS, strip(F.regexp_replace(bare, f"{_ANY_BLANK}+", " ")))
+    starts = F.left(F.lower(F.left(line, F.lit(3))), F.lit(3)).isin(*_STARTS)
+    return F.when(starts & (F.length(line) <= MAX_HEADING_CHARS), strip(F.regexp_replace(bare, f"{_ANY_BLANK}+", " ")))
 
 
 def _is_sentence(line: Column) -> Column:
     return line.endswith(".") & (F.size(F.split(line, f"{_ANY_BLANK}+")) > MAX_SENTENCE_HEADING_WORDS)
 
 
-def _is_legal(line: Column) -> Column:
-    lowered = F.lower(line)
+def _is_legal(lowered: Column) -> Column:
     return reduce(or_, (F.contains(lowered, F.lit(p)) for p in LEGAL_PHRASES))
 
 
-def _tagged(line: Column, heading: Column) -> Column:
+def _parts(line: Column) -> Column:
+    """A line with what its tag is told by, each made once."""
+    return F.struct(line.alias("line"), F.lower(line).alias("lowered"), _heading_of(line).alias("heading"))
+
+
+def _tagged(parts: Column) -> Column:
+    line, heading = parts["line"], parts["heading"]
     about = heading.startswith("about ")
     drops = F.when(about, ~heading.isin(*ROLE_ABOUT_HEADINGS) & ~_is_sentence(line)).otherwise(
         heading.isin(*BOILERPLATE_HEADINGS)
@@ -93,14 +104,15 @@ def _tagged(line: Column, heading: Column) -> Column:
     return (
         F.when(heading.isNotNull() & drops, "B")
         .when(heading.isNotNull() & heading.isin(*RELEVANT_HEADINGS), "R")
-        .when(_is_legal(line), "L")
+        .when(_is_legal(parts["lowered"]), "L")
         .otherwise("N")
     )
 
 
 def line_tag(line: Column) -> Column:
     """B(oilerplate heading), R(elevant heading), L(egal) or N of a tidy line."""
-    return _tagged(line, _heading_of(line))
+    # The parts are a variable of a lambda: as an expression they would be made anew for every use.
+    return F.get(F.transform(F.array(_parts(line)), _tagged), 0)
 
 
 # --- whole descriptions -----------------------------------------------------
@@ -109,9 +121,11 @@ def line_tag(line: Column) -> Column:
 def tidy_lines(c: Column | str) -> Column:
     """The text with trimmed non-empty lines and single blanks."""
     text = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    # A run of blanks is entered at its first one only.
-    text = F.regexp_replace(text, rf"(?<!{BLANK}){BLANK}++(?=\n)", "")
+    # A single blank stays as it is and is no match.
+    text = F.regexp_replace(text, r"\t[ \t]*+| [ \t]++", " ")
+    # A run of blanks is entered at its first one only, which is told after a blank is met:
+    # at most places the next character is a visible one.
+    text = F.regexp_replace(text, rf"(?![!-~]){BLANK}(?<!{BLANK}{{2}}){BLANK}*+(?=\n)", "")
     return strip(F.regexp_replace(text, rf"\n{_ANY_BLANK}++", "\n"))
 
 
@@ -130,10 +144,10 @@ def compact_descriptions(df: DataFrame, column: str, out: str) -> DataFrame:
 
     staged = df.withColumn("_tidy", tidy_lines(F.regexp_replace(F.coalesce(col(column), F.lit("")), _MARKS, "")))
     staged = staged.withColumn(
-        "_lines", F.transform(F.split("_tidy", "\n"), lambda x: F.struct(x.alias("line"), _heading_of(x).alias("heading")))
+        "_lines", F.transform(F.split("_tidy", "\n"), _parts)
     )
     staged = staged.withColumn(
-        "_tags", F.transform("_lines", lambda x: F.struct(_tagged(x["line"], x["heading"]).alias("tag"), x["line"].alias("line")))
+        "_tags", F.transform("_lines", lambda x: F.struct(_tagged(x).alias("tag"), x["line"].alias("line")))
     )
     text = F.array_join(F.transform("_tags", marked), "\n")
     # A dropped heading and every line up to the next heading to keep.
