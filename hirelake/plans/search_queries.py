@@ -13,6 +13,7 @@ from hirelake.plans.registry import query
 from hirelake.plans.standins import EVENTS_AS_OF, ORDERS_AS_OF, SCHEMAS, cte, plain, snapshots, standin, table
 from hirelake.operators.lifecycle import JOB_SCHEMA, SOURCE_SCHEMA
 from hirelake.session import configure, cut_lineage, scratch
+from hirelake.sources.buckets import buckets_for
 from hirelake.sources.store import append_counted
 from hirelake.streaming import crawl_stream
 
@@ -172,9 +173,9 @@ def indexed(spark, sf):
     """An index of the jobs: most are stored on one day, some of them with other texts,
     beside jobs that will go; the rest comes, and those change, the day after."""
     rows = client(spark, sf).select("id", "title", "company", "description", "job_family", "job_subfamily", "skills", "related_roles", "location", "ai_locations")
-    rows = cut_lineage(rows, spark.sparkContext.getCheckpointDir())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    index = search_index.SearchIndex(spark, f"index_{uuid.uuid4().hex}", scratch(spark, "index"), schema, rows.schema["id"].dataType.simpleString(), buckets=16).create()
+    buckets = buckets_for(spark, table(spark, sf, "orders").count())  # a count of the files' footers
+    index = search_index.SearchIndex(spark, f"index_{uuid.uuid4().hex}", scratch(spark, "index"), schema, rows.schema["id"].dataType.simpleString(), buckets=buckets).create()
     late, stale = F.expr("pmod(hash(id), 3) = 0"), F.expr("pmod(hash(id), 5) = 0")
     known = rows.withColumn("title", F.when(stale, "analytics of an earlier day").otherwise(F.col("title")))
     going = known.where("pmod(hash(id), 7) = 0").withColumn("id", (-F.col("id") - 1).cast(rows.schema["id"].dataType))

@@ -94,6 +94,16 @@ def test_rare_words_read_few_segments_and_interrupted_updates_leave_no_trace(spa
     check(spark, index, jobs | changed, NEEDLES[:5])
 
 
+def test_a_shared_text_is_stored_as_bits_of_its_jobs(spark, tmp_path):
+    index = SearchIndex(spark, "idx_bits", f"file://{tmp_path}/index", SCHEMA, buckets=1).create()
+    rows = spark.range(5_000).select("id", *[F.lit(v).alias(c) for c, v in (("title", "Senior bridge engineer of the northern crossings"), ("description", "Keeps old ferries running"))])
+    ddl = [column.split(" ", 1) for column in SCHEMA.split(", ")]
+    index.update(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in ddl]), cut=cutter(tmp_path))
+    assert index.search("ridge eng").count() == 5_000 and index.candidates("ferries r").distinct().count() == 5_000
+    # 130 grams; 12 bits a job and gram, as a list of places needs, would be 900 kB.
+    assert sum(f.stat().st_size for f in (tmp_path / "index" / "grams").rglob("*.parquet")) < 100_000
+
+
 def test_grams(spark):
     texts = [("Abc",), ("a",), ("",), ("é🙂x",), (None,)]
     got = [r[0] for r in spark.createDataFrame(texts, "t string").select(grams(F.col("t"))).collect()]
