@@ -15,6 +15,7 @@ from hirelake.functions.payload import (
     structured_context,
 )
 from hirelake.functions.scalar import (
+    WS,
     collapse,
     employment_type,
     fold,
@@ -123,49 +124,79 @@ def key_differences(data: Column, schema_version: str = "v3") -> Column:
 # --- merging lists inside one record ----------------------------------------
 
 
-def _first_of_key(rows: Column) -> Column:
-    """First element of every run of equal keys in a sorted list."""
-    return let(rows, lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["key"] != x["key"])))
+# Stands between the names of a list that are handled as one text; no blank, letter or digit.
+_MARK = "\x01"
 
 
-def _merge_entries(entries: Column, clean, key, levels: tuple[str, ...]) -> Column:
+def _spelled(given: Column, clean, key, respelled: tuple[str, ...]) -> Column:
+    """STRUCT(names, keys): the tidy names of a list and what they are compared by.
+
+    The names are tidied and keyed as one text with a mark between them, which
+    takes a few calls a list instead of a few a name.  They are handled one by
+    one where some name is null or holds the mark, or some key is ``respelled``.
+    """
+    text = F.trim(F.regexp_replace(F.array_join(given, _MARK, _MARK), f"{WS}+", " "))
+    for side in (f" {_MARK}", f"{_MARK} "):
+        text = F.replace(text, F.lit(side), F.lit(_MARK))
+
+    def pair(names: Column, keys: Column) -> Column:
+        return F.struct(names.alias("names"), keys.alias("keys"))
+
+    def whole(x: Column) -> Column:
+        kept = F.size(x["names"]) == F.size(given)
+        if respelled:
+            kept = kept & ~F.arrays_overlap(x["keys"], F.array(*(F.lit(k) for k in respelled)))
+        each = let(F.transform(given, clean), lambda names: pair(names, F.transform(names, lambda n: key(n))))
+        return F.when(kept, x).otherwise(each)
+
+    cut = let(text, lambda t: pair(F.split(t, _MARK), F.split(key(t, _MARK), _MARK)))
+    return let(cut, whole)
+
+
+def _merge_entries(entries: Column, clean, key, levels: tuple[str, ...], respelled: tuple[str, ...] = ()) -> Column:
     """One entry per key in first-seen order, the strongest requirement winning.
 
-    Between equally strong entries the earlier one is kept.  Two sorts by key
-    give each key's first position and its strongest entry, so a long list
-    costs n log n.
+    Between equally strong entries the earlier one is kept.  Keys are sorted
+    with a number that holds strength and place, so a long list costs n log n;
+    names are fetched by their places in the end.
     """
 
-    strength = F.create_map(*[F.lit(x) for i, level in enumerate(levels, 1) for x in (level, i)])
+    strengths = F.array(*(F.lit(x) for x in levels))
 
-    def entry(name: Column, requirement: Column, pos: Column) -> Column:
-        return F.struct(
-            key(name).alias("key"),
-            (-F.coalesce(F.try_element_at(strength, requirement), F.lit(0))).alias("weakness"),
-            pos.alias("pos"),
-            name.alias("name"),
-            requirement.alias("requirement"),
-        )
+    def place(code: Column) -> Column:
+        return code.bitwiseAND(F.lit((1 << 31) - 1))
 
-    keyed = F.transform(
-        F.coalesce(entries, F.from_json(F.lit("[]"), f"array<{ENTRY}>")),
-        lambda e, i: let(clean(e["name"]), lambda n: entry(n, e["requirement"], i)),
-    )
+    def merged(requirements: Column, names: Column, keys: Column) -> Column:
+        def row(requirement: Column, i: Column) -> Column:
+            strength = F.coalesce(F.array_position(strengths, requirement), F.lit(0).cast("bigint"))
+            return F.struct(F.get(keys, i).alias("key"), (i - F.shiftleft(strength, 31)).alias("code"))
 
-    def merged(rows: Column) -> Column:
-        positions = F.transform(rows, lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos")))
-        pairs = F.zip_with(
-            _first_of_key(F.sort_array(positions)),
-            _first_of_key(F.sort_array(rows)),
-            lambda first, best: F.struct(
-                first["pos"].alias("pos"), best["name"].alias("name"), best["requirement"].alias("requirement")
-            ),
+        best = let(
+            F.sort_array(F.transform(requirements, row)),
+            lambda r: F.filter(r, lambda x, i: (i == 0) | ~F.get(r, i - 1)["key"].eqNullSafe(x["key"])),
+        )
+        seen = F.sort_array(
+            F.transform(F.array_distinct(keys), lambda k, i: F.struct(k.alias("key"), i.cast("bigint").alias("turn")))
+        )
+        # Both lists are in the order of the keys; now in the order of the turns.
+        turns = F.sort_array(
+            F.zip_with(seen["turn"], best["code"], lambda turn, code: F.shiftleft(turn, 31).bitwiseOR(place(code)))
         )
-        return F.transform(
-            F.sort_array(pairs), lambda x: F.struct(x["name"].alias("name"), x["requirement"].alias("requirement"))
+
+        def fetched(turn: Column) -> Column:
+            at = place(turn).cast("int")
+            return F.struct(F.get(names, at).alias("name"), F.get(requirements, at).alias("requirement"))
+
+        return F.transform(turns, fetched)
+
+    def spelled(e: Column) -> Column:
+        # The requirements are a variable of a lambda: as a field of the list they would be gathered anew for every use.
+        return let(
+            e["requirement"],
+            lambda r: let(_spelled(e["name"], clean, key, respelled), lambda x: merged(r, x["names"], x["keys"])),
         )
 
-    return let(keyed, merged)
+    return let(F.coalesce(entries, F.from_json(F.lit("[]"), f"array<{ENTRY}>")), spelled)
 
 
 def skill_name(c: Column) -> Column:
@@ -173,17 +204,19 @@ def skill_name(c: Column) -> Column:
     return let(collapse(c), lambda tidy: lookup(F.lower(tidy), SKILL_ALIASES, tidy))
 
 
-def skill_key(name: Column) -> Column:
-    """Letters and digits of the proper spelling, case-folded."""
-    return F.regexp_replace(fold(name), r"[^\p{L}\p{N}]", "")
+def skill_key(name: Column, kept: str = "") -> Column:
+    """Letters and digits (and ``kept``) of the proper spelling, case-folded."""
+    return F.regexp_replace(fold(name), rf"[^\p{{L}}\p{{N}}{kept}]+", "")
 
 
 def merge_skills(entries: Column) -> Column:
-    return _merge_entries(entries, skill_name, skill_key, SKILL_REQUIREMENTS)
+    # A name that has another proper spelling has one of these keys.
+    respelled = tuple({"".join(filter(str.isalnum, k)): None for k in SKILL_ALIASES})
+    return _merge_entries(entries, skill_name, skill_key, SKILL_REQUIREMENTS, respelled)
 
 
 def merge_certifications(entries: Column) -> Column:
-    return _merge_entries(entries, collapse, fold, CERTIFICATION_REQUIREMENTS)
+    return _merge_entries(entries, collapse, lambda c, _="": fold(c), CERTIFICATION_REQUIREMENTS)
 
 
 # --- validation -------------------------------------------------------------

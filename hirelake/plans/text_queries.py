@@ -419,14 +419,8 @@ _NEEDS = "CASE length(w) % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' ELSE
 
 
 def _word_entries():
-    words = F.split("text", " ")
-    return F.transform(
-        words,
-        lambda w: F.struct(
-            w.alias("name"),
-            F.when(F.length(w) % 3 == 0, "required").when(F.length(w) % 3 == 1, "preferred").otherwise("mentioned").alias("requirement"),
-        ),
-    )
+    needs = F.array(*(F.lit(x) for x in ("required", "preferred", "mentioned")))
+    return F.transform(F.split("text", " "), lambda w: F.struct(w.alias("name"), F.get(needs, F.length(w) % 3).alias("requirement")))
 
 
 _SKILL_WORDS = """WITH words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents),

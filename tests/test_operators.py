@@ -676,3 +676,30 @@ def test_daily_counts_wait_for_late_events(spark, tmp_path):
     query = daily_event_counts(stream).writeStream.format("memory").queryName("daily_counts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(str(r["day"]), r["n"]) for r in spark.table("daily_counts").collect()} == {("2026-01-01", 2), ("2026-01-02", 1)}
+
+
+def test_long_lists_of_skills_are_spelled_as_one_text(spark):
+    entries = "array<struct<name: string, requirement: string>>"
+
+    def plain(given):
+        strength = {"mentioned": 1, "preferred": 2, "required": 3}
+        best = {}
+        for name, requirement in given:
+            tidy = None if name is None else enrich.SKILL_ALIASES.get(" ".join(name.split()).lower(), " ".join(name.split()))
+            key = None if tidy is None else "".join(c for c in tidy.upper().lower() if c.isalnum())
+            if key not in best or strength.get(requirement, 0) > strength.get(best[key][1], 0):
+                best[key] = (tidy, requirement)
+        return list(best.values())
+
+    rng = random.Random(7)
+    names = ["Go", " go ", "GO", "C++", "c", "Data\n Ops", "data ops", "", "  ", "Straße", "STRAßE", "ΟΔΟΣ", "οδος", "İş", "R&D", "\xa0R D　"]
+    odd = ["JS", "java script", "node.js", "a\x01b", "A B", "\x01", None]
+    levels = ["mentioned", "preferred", "required", "other", None]
+    lists = [[(rng.choice(names + odd * (i % 2)), rng.choice(levels)) for _ in range(rng.randrange(40))] for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(lists)), f"id int, given {entries}")
+    merged = rows.select("id", enrich.merge_skills(F.col("given")).alias("merged"))
+    for row in merged.collect():
+        assert [tuple(x) for x in row.merged] == plain(lists[row.id]), lists[row.id]
+    # Blanks and signs are searched for in all names of a list at once.
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(array_join(" in plan
