@@ -180,3 +180,52 @@ def test_buckets_grow_with_the_rows(spark):
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert buckets_for(spark, 0) == max(16, shuffled)
     assert buckets_for(spark, 216_000_000) * BUCKET_ROWS >= 216_000_000
+
+
+def test_a_day_is_shuffled_packed_and_its_rebuild_not_at_all(spark, tmp_path, monkeypatch):
+    kept, plans, rebuild = make(spark, tmp_path, "sv_packed", buckets=16), [], StoredView._rebuild
+    write = type(kept.records)._write
+
+    def seen(self, rows, updates, batch_no):
+        built = rebuild(self, rows, updates, batch_no)
+        plans.append(built._jdf.queryExecution().executedPlan().toString())
+        return built
+
+    def written(self, rows, *rest, **named):
+        if self.name in (kept.records.name, kept.day.name):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows, *rest, **named)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are not tiny
+    monkeypatch.setattr(StoredView, "_rebuild", seen)
+    monkeypatch.setattr(type(kept.records), "_write", written)
+    tables = [standin(spark, SF, n) for n in ("order_jobs", "enrichments", "job_versions", "order_events")]
+    try:
+        for number in range(2):
+            kept.apply(number, *tables)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 6
+    for records, day, built in (plans[:3], plans[3:]):
+        # Rows leave their task as packs only: records, jobs and history, each once.
+        for plan, times in ((records, 1), (day, 2)):
+            shuffled = plan.split("Exchange")[1:]
+            assert len(shuffled) == times and all("MapInArrow" in below for below in shuffled)
+        assert "Exchange" not in built
+    # Nothing of a day is left but the tables.
+    assert kept.day.versions() == [] and kept.day.read().isEmpty()
+
+
+def test_of_rows_of_a_day_with_one_key_the_last_counts(spark, tmp_path):
+    kept = make(spark, tmp_path, "sv_last")
+    later = START + timedelta(hours=1)
+    records = [(1, 1, "a", "v3", later, 2.0, None), (1, 1, "a", "v3", START, 1.0, None), (1, 1, "a", "v3", None, 3.0, None)]
+    records += [(1, None, "a", "v3", START, 4.0, None), (1, None, "a", "v3", later + timedelta(hours=1), 5.0, None), (2, 1, "a", "v3", None, 6.0, None)]
+    # Of jobs seen at one time the one with the greater content, also of one that is NULL.
+    jobs = [(1, "a", "x", None, START), (1, None, "y", None, START), (2, "b", "x", None, START), (2, "a", "z", None, later)]
+    kept.apply(0, *day_of(spark, jobs, records))
+    held = sorted(map(str, kept.records.read().select("job_id", "enrichment_id", "salary_min").collect()))
+    assert held == sorted(f"Row(job_id={j}, enrichment_id={e}, salary_min={s})" for j, e, s in [(1, 1, 2.0), (1, None, 5.0), (2, 1, 6.0)])
+    # A record without a number cannot be the current one.
+    assert [r[:3] for r in shown(kept.read("2026-02-01"))] == [("1", "x", "None"), ("2", "z", "6.0")]
